@@ -116,8 +116,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
 
     The benchmark's index goes to the executors in blocks of block_bytes of text at most, one after the other over the
     same scan, so that what is sent at once is bounded and no document is shuffled. A null text has no words; items
-    without a word match nothing; the same window in many items counts for each of them. Extra columns of docs stay.
+    without a word match nothing; the same window in many items counts for each of them. Extra columns of docs stay, but
+    for those named like new ones.
     """
+    out = _found(docs.drop("n_words", "runs", "items"), benchmark, window, k, block_bytes)
+    return out.withColumnsRenamed({"_runs": "runs", "_items": "items", "_n_words": "n_words"})
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, k: int, block_bytes: int) -> DataFrame:
     spark = docs.sparkSession
     out = docs.withColumn("_runs", F.expr("cast(array() as array<struct<s: int, e: int>>)"))
     out = out.withColumn("_items", F.expr("cast(array() as array<string>)"))
@@ -126,7 +132,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
         rows = [(r[0], words(r[1])) for r in part.toLocalIterator()]
         sent = spark.sparkContext.broadcast([(str(i), w) for i, w in rows if i is not None])
         out = _scan(out, sent, window, k)
-    return out.withColumnsRenamed({"_runs": "runs", "_items": "items", "_n_words": "n_words"})
+    return out
 
 
 def _scan(docs: DataFrame, sent: object, window: int, k: int) -> DataFrame:
@@ -170,9 +176,9 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
     """The documents without a benchmark window, with the columns of docs."""
-    return contamination(docs, benchmark).filter(F.size("runs") == 0).select(*docs.columns)
+    return _found(docs, benchmark, window, k, block_bytes).filter(F.size("_runs") == 0).select(*docs.columns)
 
 
 def sha256_of(items: list[str]) -> str:
