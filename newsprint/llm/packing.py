@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -15,12 +16,36 @@ TOKENIZER = "word_bpe_49k.json"
 _MARK = "~"
 
 
+#: A chunk of Latin letters and, after them, signs that the tokenizer splits off as one piece.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*%#$&|()-]*)")
+
+
+class _Recent(dict):
+    """A table of bounded size that forgets what was not asked for lately: two generations of `most` entries."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def __missing__(self, key: str) -> bytes | None:
+        value = self.old.get(key)
+        if value is not None:
+            self[key] = value
+        return value
+
+    def make_room(self, n: int) -> None:
+        if len(self) + n > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 class ChunkEncoder:
     """Token ids of whole texts, from the ids of their chunks between white space.
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are those of its chunks in a row.
-    Chunks met before come from a table of bounded size; new ones are encoded together, set apart by a mark whose
-    single id shows where a chunk ends. Chunks that hold the mark themselves are encoded one by one.
+    It lower-cases, and letters and signs are pieces of their own, so a simple chunk's ids are those of its lower-cased
+    word and of its signs. Tables of bounded size hold chunks and words met before; new words are encoded together, set
+    apart by a mark whose single id shows where a word ends. Chunks that hold the mark themselves go one by one.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -28,38 +53,49 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         (self.mark,) = self.ids_of(_MARK)
-        self.most, self.known = most, {}
+        self.chunks, self.words = _Recent(most), _Recent(most)
 
     def ids_of(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def learn(self, chunks: list[str]) -> None:
-        if len(self.known) + len(chunks) > self.most:
-            self.known.clear()
-        plain = [c for c in chunks if _MARK not in c and "<|" not in c]
-        for c in set(chunks).difference(plain):
-            self.known[c] = np.array(self.ids_of(c), "<u4").tobytes()
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces, which have no white space."""
+        plain = [c for c in pieces if _MARK not in c and "<|" not in c]
+        out = {c: np.array(self.ids_of(c), "<u4").tobytes() for c in set(pieces).difference(plain)}
+        for at in range(0, len(plain), 500):
+            some = plain[at : at + 500]
             ids = np.array(self.ids_of(f" {_MARK} ".join(some)), "<u4")
             ends = np.flatnonzero(ids == self.mark)
             if len(ends) != len(some) - 1:
                 raise ValueError("the tokenizer joined chunks")
-            for c, part in zip(some, np.split(ids, ends), strict=True):
-                self.known[c] = (part[1:] if len(part) and part[0] == self.mark else part).tobytes()
+            raw = ids.tobytes()
+            starts = [0, *(4 * (ends + 1)).tolist()]
+            for c, lo, hi in zip(some, starts, [*(4 * ends).tolist(), len(raw)], strict=True):
+                out[c] = raw[lo:hi]
+        return out
+
+    def add(self, fresh: list[str]) -> None:
+        simple = {c: (m[1].lower(), m[2]) for c in fresh if (m := _SIMPLE.fullmatch(c))}
+        parts = {p for pair in simple.values() for p in pair if p}
+        known = self.words
+        missing = [p for p in parts if known[p] is None]
+        new = self.learn(missing)
+        table = {p: new[p] if p in new else known[p] for p in parts} | {"": b""}
+        known.make_room(len(new))
+        known.update(new)
+        self.chunks.make_room(len(fresh))
+        self.chunks.update((c, table[w] + table[signs]) for c, (w, signs) in simple.items())
+        self.chunks.update(self.learn([c for c in fresh if c not in simple]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [t.split() for t in texts]
-        fresh = list({c for words in split for c in words}.difference(self.known))
-        self.learn(fresh)
-        get = self.known.get
+        get = self.chunks.__getitem__
         out = []
-        for words in split:
-            found = list(map(get, words))
-            if None in found:  # the table was cleared meanwhile
-                found = [x if x is not None else np.array(self.ids_of(w), "<u4").tobytes() for w, x in zip(words, found, strict=True)]
-            out.append(b"".join(found))
+        for at in range(0, len(texts), 256):
+            split = [t.split() for t in texts[at : at + 256]]
+            fresh = [c for c in {c for words in split for c in words}.difference(self.chunks) if get(c) is None]
+            self.add(fresh)
+            out += [b"".join(map(get, words)) for words in split]
         return out
 
 
