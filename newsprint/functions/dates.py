@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 _WEEKDAY = r"^[A-Za-z]{3},\s*"
 #: Patterns tried in order; those with seconds need no weekday, those without do.
-WITH_SECONDS = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z")
-WITHOUT_SECONDS = ("d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm z")
+WITH_SECONDS = ("d MMM yyyy H:mm:ss Z", "d MMM yyyy H:mm:ss z")
+WITHOUT_SECONDS = ("d MMM yyyy H:mm Z", "d MMM yyyy H:mm z")
 ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})$"
 
 

@@ -39,17 +39,19 @@ def dedupe_items(items: DataFrame, keys: tuple[str, ...] = KEYS, tie: tuple[str,
     if "gen" not in items.columns:
         items = items.withColumn("gen", F.lit(0))
     slim = items.select(*keys, F.lower("link").alias("lk"), F.col("item_id").alias("ik"), order_struct(*tie).alias("o"))
-    left, kept = cut(slim), None
+    left, kept = slim, None
     for _ in range(most_rounds):
         by_link = left.groupBy(*keys, "lk").agg(F.min("o").alias("first_link"))
         by_id = left.groupBy(*keys, "ik").agg(F.min("o").alias("first_id"))
         marked = left.join(by_link, [*keys, "lk"]).join(by_id, [*keys, "ik"])
-        won = cut(marked.filter((F.col("o") == F.col("first_link")) & (F.col("o") == F.col("first_id"))).select(*keys, "lk", "ik", "o").distinct())
+        first = (F.col("o") == F.col("first_link")) & (F.col("o") == F.col("first_id"))
+        marked = cut(marked.select(*keys, "lk", "ik", "o", first.alias("won")))
+        won = marked.filter("won").select(*keys, "lk", "ik", "o").distinct()
         kept = won if kept is None else kept.unionByName(won)
-        rest = left.join(won.select(*keys, "lk"), [*keys, "lk"], "left_anti").join(won.select(*keys, "ik"), [*keys, "ik"], "left_anti")
-        left = cut(rest)
-        if left.isEmpty():
+        if marked.filter("not won").isEmpty():
             break
+        rest = marked.filter("not won").drop("won")
+        left = rest.join(won.select(*keys, "lk"), [*keys, "lk"], "left_anti").join(won.select(*keys, "ik"), [*keys, "ik"], "left_anti")
     else:
         raise RuntimeError(f"dedupe did not settle in {most_rounds} rounds")
     chosen = kept.select(*keys, "o")
