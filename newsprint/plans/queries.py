@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 from newsprint.functions import dates, text, urls
 from newsprint.operators import article, classify, dedupe, editions, filters, items, pages, registry
 from newsprint.plans import publish, reflow
-from newsprint.plans.fixtures import view, with_views
+from newsprint.plans.fixtures import VIEWS, view, with_views
+from newsprint.session import shared_dir
 from newsprint.sources import feeds as feed_docs
 from newsprint.sources import opml, store
+from newsprint.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -965,3 +968,167 @@ def reflow_edition(spark, sf):
     hosts = spark.createDataFrame([("site2.example",)], "host string")
     out = reflow.reflow(ev, view(spark, sf, "feeds_ev"), hosts, view(spark, sf, "reads_ev"), empty, empty, tie=TIE)
     return out.select("row_id", "edition_date")
+
+
+# Single columns and flavours, registered under names of their own
+
+
+def _case_links(spark: SparkSession, sf: str) -> DataFrame:
+    link = F.replace(F.element_at(F.array(*map(F.lit, _LINKS)), (F.col("row_id") % 9 + 1).cast("int")), F.lit("{}"), F.col("row_id").cast("string"))
+    return events(spark, sf).select("row_id", link.alias("link"))
+
+
+@query(f"select event_id as row_id, case event_id % 9 when 0 then 'ab c' || {_ID} when 1 then 'x' || {_ID} when 2 then 's' || {_ID} end as id from events where event_id % 9 < 4")
+def youtube_id(spark, sf):
+    return _case_links(spark, sf).filter("row_id % 9 < 4").select("row_id", urls.youtube_id(F.col("link")).alias("id"))
+
+
+@query(f"select event_id as row_id, case event_id % 9 when 4 then {_ID} end as id from events where event_id % 9 in (4, 5)")
+def vimeo_id(spark, sf):
+    return _case_links(spark, sf).filter("row_id % 9 in (4, 5)").select("row_id", urls.vimeo_id(F.col("link")).alias("id"))
+
+
+@query(with_views("select row_id, case when row_id % 5 = 0 then 'Channel' else source_title end as title from items_ev", "items_ev"))
+def source_title(spark, sf):
+    stored = F.when(F.col("row_id") % 10 == 0, "").when(F.col("row_id") % 5 > 0, F.col("source_title"))
+    return events(spark, sf).select("row_id", items.source_title(stored, F.lit("Channel")).alias("title"))
+
+
+@query("select doc_id, md5(case when doc_id % 2 = 0 then coalesce(text, '') else 'd' end) as digest from documents where coalesce(text, '') <> ''")
+def choose_body(spark, sf):
+    content = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("")
+    return _documents(spark, sf).filter("text <> ''").select("doc_id", F.md5(items.choose_body(content, F.lit("d"))).alias("digest"))
+
+
+@query(with_views("select row_id, case when row_id % 3 = 0 then item_id else link end as item_id from items_ev", "items_ev"))
+def item_id(spark, sf):
+    return events(spark, sf).select("row_id", items.item_id(F.when(F.col("row_id") % 3 == 0, F.col("item_id")).otherwise(""), F.col("link")).alias("item_id"))
+
+
+@query("select page_id, case when page_id % 2 = 0 then 'T ' || cast(page_id as varchar) end as title from pages")
+def feed_title_sniff(spark, sf):
+    head = F.concat(F.lit("<feed><TITLE type='text'> T "), F.col("page_id").cast("string"), F.lit(" </TITLE>"))
+    body = F.when(F.col("page_id") % 2 == 0, head).otherwise("<feed><title> </title>")
+    return _pages(spark, sf).select("page_id", pages.feed_title_sniff(body).alias("title"))
+
+
+@query("select doc_id % 3 as kind, count(*) as docs, sum(case when doc_id % 3 < 2 then 1 else 0 end)::bigint as links, sum(case when doc_id % 3 < 2 then 1 else 0 end)::bigint as titles from documents group by 1")
+def feed_flavour(spark, sf):
+    """RSS, Atom and RDF documents: the link is text, an attribute, or (as the root is unknown) nothing."""
+    link = F.concat(F.lit("https://d.example/"), F.col("doc_id").cast("string"))
+    rss = F.concat(F.lit("<rss><channel><title>C</title><item><title>t</title><title>late</title><link>"), link, F.lit("</link><link>late</link></item></channel></rss>"))
+    atom = F.concat(F.lit("<feed><title>C</title><entry><title>t</title><link rel='self' href='self'/><link href='"), link, F.lit("'/><link href='late'/></entry></feed>"))
+    rdf = F.concat(F.lit("<RDF><item><title>t</title><link>"), link, F.lit("</link></item></RDF>"))
+    body = F.when(F.col("doc_id") % 3 == 0, rss).when(F.col("doc_id") % 3 == 1, atom).otherwise(rdf)
+    docs = _documents(spark, sf).select(F.col("doc_id").cast("string").alias("feed_id"), F.encode(body, "utf-8").alias("body"), link.alias("want"))
+    out = feed_docs.parse_feed_documents(docs).filter("pos = 0").join(docs.select("feed_id", "want"), "feed_id")
+    kind = (F.col("feed_id").cast("long") % 3).alias("kind")
+    return out.groupBy(kind).agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("link") == F.col("want")).alias("links"), F.count_if(F.col("channel_title") == "C").alias("titles"))
+
+
+@query(with_views("select token, sum(n)::bigint as n, string_agg(section || '=' || n, ',' order by section) as sections from counts group by 1", "moves_doc", ctes=_MODEL))
+def state_pack(spark, sf):
+    packed = classify.state_pack(*_model(spark, sf)).select(F.explode("tokenCounts").alias("token", "by"))
+    pairs = F.array_sort(F.transform(F.map_entries("by"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
+    total = F.aggregate(F.map_values("by"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return packed.select("token", total.alias("n"), F.array_join(pairs, ",").alias("sections"))
+
+
+# Tables on disk
+
+
+@query(with_views("select feed_id, url, section, title, user_id % 10 = 0 and user_id % 4 > 0 as is_paused, 0 as seen from feeds_ev", "feeds_ev"))
+def read_feed_registry(spark, sf):
+    """The registry as a JSON array for each reader, in which some rows lack the newer fields, and read again."""
+    path = f"{shared_dir(spark)}/registry-{uuid.uuid4().hex}"
+    paused = F.when(F.col("user_id") % 4 > 0, F.col("is_paused"))
+    row = F.struct("feed_id", "url", "section", "title", paused.alias("is_paused"))
+    files = view(spark, sf, "feeds_ev").groupBy((F.col("user_id") % 5).alias("reader")).agg(F.to_json(F.collect_list(row)).alias("value"))
+    files.write.partitionBy("reader").text(path)
+    return feed_docs.read_feed_registry(spark, path).select("feed_id", "url", "section", "title", "is_paused", F.size("last_seen_item_ids").alias("seen"))
+
+
+@query(with_views("select row_id, title from items_ev where edition_date = date '2024-01-07' and row_id % 2 = 0 union all select row_id, title from items_ev where edition_date = date '2024-01-08'", "items_ev"))
+def write_edition(spark, sf):
+    """All days written, one of them written again by half of its rows, and two days read."""
+    path = f"{shared_dir(spark)}/editions-{uuid.uuid4().hex}"
+    ev = events(spark, sf).select("row_id", "title", "edition_date")
+    store.write_edition(ev, path)
+    store.write_edition(ev.filter("edition_date = '2024-01-07' and row_id % 2 = 0"), path)
+    return store.read_edition(spark, path, "2024-01-07").unionByName(store.read_edition(spark, path, "2024-01-08")).select("row_id", "title")
+
+
+# Streams over the events, run to their end, against batch SQL
+
+
+def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    source, columns, where = VIEWS[name]
+    path = f"{sf}/{source}.parquet"
+    live = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    return live.where(where).selectExpr(*[f"{e} as {c}" for c, e in columns.items()])
+
+
+def _drain(df: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream has put out at its end, as a table in the shared folder."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+
+    def batch(out: DataFrame, number: int) -> None:
+        out.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
+
+    query_ = df.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query_.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{path}/out")
+
+
+@query(with_views("select edition_date, feed_id, count(*) as n from items_ev group by 1, 2", "items_ev"))
+def stream_day_counts(spark, sf):
+    return _drain(jobs.stream_day_counts(_stream(spark, sf, "items_ev").drop("edition_date"), "60 days"), "complete")
+
+
+@query(with_views("select distinct edition_date, lower(link) as link from items_ev", "items_ev"))
+def stream_dedupe(spark, sf):
+    return _drain(jobs.stream_dedupe(_stream(spark, sf, "items_ev").drop("edition_date"), delay="60 days").select("edition_date", F.lower("link").alias("link")))
+
+
+@query(with_views("select row_id, case when edition_date < date '2024-01-10' then 'late' when edition_date > date '2024-01-10' then 'early' else 'today' end as timing from items_ev", "items_ev"))
+def stream_late_items(spark, sf):
+    return _drain(jobs.stream_late_items(_stream(spark, sf, "items_ev"), "2024-01-10").select("row_id", "timing"))
+
+
+@query(with_views("select feed_id, epoch_us(won) as success, case when won is null or lost > won then epoch_us(lost) end as failure from st", "fetch_log_ev", ctes=(_STATE,)))
+def stream_feed_health(spark, sf):
+    out = _drain(jobs.stream_feed_health(_stream(spark, sf, "fetch_log_ev").withColumn("ts", F.col("ts").cast("timestamp"))), "complete")
+    return out.select("feed_id", F.unix_micros("last_success_at").alias("success"), F.unix_micros("last_failure_at").alias("failure"))
+
+
+@query(with_views("select row_id from kept", "items_ev", ctes=_KEPT))
+def stream_accumulate(spark, sf):
+    path = f"{shared_dir(spark)}/paper-{uuid.uuid4().hex}"
+    live = _stream(spark, sf, "items_ev").drop("edition_date").withColumn("published_at", F.col("published_at").cast("timestamp"))
+    jobs.stream_accumulate(live, f"{path}/editions", f"{path}/checkpoint", TIE).awaitTermination()
+    return spark.read.parquet(f"{path}/editions").select("row_id")
+
+
+@query(with_views("select item_id, section from best where r = 1 and margin >= 1", "moves_doc", "items_doc", ctes=_SCORE))
+def stream_classify(spark, sf):
+    path = f"{shared_dir(spark)}/filed-{uuid.uuid4().hex}"
+    jobs.stream_classify(_stream(spark, sf, "items_doc"), *_model(spark, sf), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("item_id", "section")
+
+
+@query(with_views("select row_id from items_ev where edition_date >= date '2024-01-14'", "items_ev"))
+def stream_retention(spark, sf):
+    path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
+    store.write_edition(events(spark, sf).select("row_id", "edition_date"), path)
+    return jobs.stream_retention(spark, path, "2024-01-20").select("row_id")
+
+
+@query(
+    with_views(
+        """select l.reader_id, l.item_id from (select reader_id, item_id, arg_max(op, seq) as op, max(seq) as seq from read_log_ev where op <> 'clear' group by 1, 2) l
+        left join (select reader_id, max(seq) as c from read_log_ev where op = 'clear' group by 1) c on l.reader_id = c.reader_id where l.op = 'read' and l.seq > coalesce(c.c, -1)""",
+        "read_log_ev",
+    )
+)
+def stream_read_state(spark, sf):
+    return jobs.stream_read_state(_drain(_stream(spark, sf, "read_log_ev")))
