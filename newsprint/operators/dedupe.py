@@ -32,26 +32,24 @@ def dedupe_items(items: DataFrame, keys: tuple[str, ...] = KEYS, tie: tuple[str,
     """Items that no earlier *kept* item of their edition shares the lower-cased link or the id with.
 
     The greedy rule goes in parallel rounds: an undecided item that comes first for both its link and its id is kept, and
-    the undecided items that share either with a kept one go. Minima are group-bys with partial sums, so that a guid
-    that very many items share costs a row a task; each round works on what the last one left undecided.
+    the undecided items that share either with a kept one go. Minima are group-bys with partial results, so a guid that
+    very many items share costs a row a task, and only the minima of either kind meet in a join; the anti joins that
+    follow start from plain shuffles, of which Spark can split a hot key's. Each round works on what the last one left.
     """
     keys = list(keys)
     if "gen" not in items.columns:
         items = items.withColumn("gen", F.lit(0))
-    slim = items.select(*keys, F.lower("link").alias("lk"), F.col("item_id").alias("ik"), order_struct(*tie).alias("o"))
-    left, kept = slim, None
+    key = F.coalesce(F.lower("link"), F.lit("")).alias("lk"), F.coalesce("item_id", F.lit("")).alias("ik")
+    left, kept = items.select(*keys, *key, order_struct(*tie).alias("o")), None
     for _ in range(most_rounds):
-        by_link = left.groupBy(*keys, "lk").agg(F.min("o").alias("first_link"))
-        by_id = left.groupBy(*keys, "ik").agg(F.min("o").alias("first_id"))
-        marked = left.join(by_link, [*keys, "lk"]).join(by_id, [*keys, "ik"])
-        first = (F.col("o") == F.col("first_link")) & (F.col("o") == F.col("first_id"))
-        marked = cut(marked.select(*keys, "lk", "ik", "o", first.alias("won")))
-        won = marked.filter("won").select(*keys, "lk", "ik", "o").distinct()
+        by_link = left.groupBy(*keys, "lk").agg(F.min("o").alias("o"))
+        by_id = left.groupBy(*keys, "ik").agg(F.min("o").alias("o"))
+        won = cut(by_link.join(by_id, [*keys, "o"]))
         kept = won if kept is None else kept.unionByName(won)
-        if marked.filter("not won").isEmpty():
+        rest = left.join(won.select(*keys, "lk"), [*keys, "lk"], "left_anti").join(won.select(*keys, "ik"), [*keys, "ik"], "left_anti")
+        left = cut(rest)
+        if left.isEmpty():
             break
-        rest = marked.filter("not won").drop("won")
-        left = rest.join(won.select(*keys, "lk"), [*keys, "lk"], "left_anti").join(won.select(*keys, "ik"), [*keys, "ik"], "left_anti")
     else:
         raise RuntimeError(f"dedupe did not settle in {most_rounds} rounds")
     chosen = kept.select(*keys, "o")
