@@ -44,6 +44,44 @@ def _probe_keys(line: Column, n: Column, threshold: int) -> Column:
     return F.array_compact(F.array(*keys))
 
 
+_BLOCKS = 16
+
+
+def _blocks_of(s: Column, t: Column) -> tuple[Column, Column, Column]:
+    """Characters of s and of t, and a block size that gives about _BLOCKS blocks of the shorter one."""
+    n, m = F.length(s), F.length(t)
+    return n, m, F.greatest(F.lit(1), F.floor(F.least(n, m) / _BLOCKS).cast("int"))
+
+
+def may_be_within(s: Column, t: Column, threshold: int) -> Column:
+    """Whether all but `threshold` of the blocks of s stand in t at a shift of `threshold` at most: else more edits lie between.
+
+    A block without an edit inside is moved by the edits before it only.
+    """
+    _, _, size = _blocks_of(s, t)
+    lost = F.lit(0)
+    for i in range(_BLOCKS):
+        block = F.substring(s, size * i + 1, size)
+        found = reduce(
+            lambda x, y: x | y, [(size * i + shift >= 0) & (F.substring(t, size * i + 1 + shift, size) == block) for shift in range(-threshold, threshold + 1)]
+        )
+        lost = lost + F.when(found, 0).otherwise(1)
+    return lost <= threshold
+
+
+def trimmed(s: Column, t: Column) -> tuple[Column, Column]:
+    """s and t without the blocks that they begin and end with alike, which leaves their edit distance as it is."""
+    n, m, size = _blocks_of(s, t)
+
+    def alike(block_s, block_t) -> Column:
+        return F.coalesce(*[F.when(block_s(i) != block_t(i), F.lit(i)) for i in range(_BLOCKS)], F.lit(_BLOCKS))
+
+    head = alike(lambda i: F.substring(s, size * i + 1, size), lambda i: F.substring(t, size * i + 1, size))
+    tail = alike(lambda i: F.substring(s, n - size * (i + 1) + 1, size), lambda i: F.substring(t, m - size * (i + 1) + 1, size))
+    tail = F.least(tail, F.floor(F.least(n, m) / size).cast("int") - head)
+    return tuple(F.substring(x, size * head + 1, k - size * (head + tail)) for x, k in ((s, n), (t, m)))
+
+
 def edits_within(s: Column, t: Column, threshold: int) -> Column:
     """Whether two strings are at most `threshold` edits apart: a banded automaton, a bit for each diagonal.
 
@@ -51,25 +89,26 @@ def edits_within(s: Column, t: Column, threshold: int) -> Column:
     the diagonal, a substitution too, a deletion goes one down and an insertion one up, at the cost of an edit each.
     """
     width, full = 2 * threshold + 1, (1 << (2 * threshold + 1)) - 1
-    a, b = F.split(s, ""), F.split(t, "")
-    first = F.struct(*[F.lit(sum(1 << (threshold + k) for k in range(e + 1))).cast("int").alias(f"r{e}") for e in range(threshold + 1)])
+    start = [F.lit(sum(1 << (threshold + k) for k in range(e + 1))).cast("int").alias(f"r{e}") for e in range(threshold + 1)]
+    # The characters travel in the state: an expression inside the step would be computed anew for each character.
+    first = F.struct(F.split(s, "").alias("s"), F.split(t, "").alias("t"), *start)
 
     def step(state: Column, i: Column) -> Column:
-        here = F.get(a, i)
-        same = reduce(lambda x, y: x.bitwiseOR(y), [F.when(here == F.get(b, i + (d - threshold)), F.lit(1 << d)).otherwise(F.lit(0)) for d in range(width)])
+        here, other = F.get(state["s"], i), state["t"]
+        same = reduce(lambda x, y: x.bitwiseOR(y), [F.when(here == F.get(other, i + (d - threshold)), F.lit(1 << d)).otherwise(F.lit(0)) for d in range(width)])
         new: list[Column] = []
         for e in range(threshold + 1):
-            old = state[f"r{e}"]
-            now = old.bitwiseAND(same)
+            now = state[f"r{e}"].bitwiseAND(same)
             if e:
                 less = state[f"r{e - 1}"]
                 now = now.bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(new[e - 1], 1)).bitwiseAND(F.lit(full))
             new.append(now)
-        return F.struct(*[x.alias(f"r{e}") for e, x in enumerate(new)])
+        return F.struct(state["s"].alias("s"), other.alias("t"), *[x.alias(f"r{e}") for e, x in enumerate(new)])
 
     end = F.length(t) - F.length(s) + threshold
     reach = F.aggregate(F.sequence(F.lit(0), F.length(s) - 1), first, step, lambda r: r[f"r{threshold}"])
-    return F.when(F.abs(F.length(t) - F.length(s)) > threshold, False).otherwise(F.call_function("shiftright", reach, end).bitwiseAND(F.lit(1)) == 1)
+    fits = F.abs(F.length(t) - F.length(s)) <= threshold
+    return F.when(~fits, False).when(F.length(s) == 0, fits).otherwise(F.call_function("shiftright", reach, end).bitwiseAND(F.lit(1)) == 1)
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -79,23 +118,77 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return out.filter(F.col("line").rlike(r"[^\x09-\x0D\x20]")).select("*", F.xxhash64("line").alias("lid"), F.length("line").alias("n"))
 
 
-def near_links(lines: DataFrame, threshold: int = 1, least: int = 24) -> DataFrame:
+def _finer(text: Column, shorter: int | None, depth: int) -> list[tuple[Column, Column]]:
+    """(key of depth - 1, key of depth) for one edit: the half that is untouched, then of the rest the half that is, and so on.
+
+    shorter is None for the index side; for the probing side it says by how many characters the other line is shorter,
+    and the rest is longer than the other line's rest by just as many.
+    """
+    by = shorter or 0
+    n = F.length(text).cast("long") - by
+    half = F.floor(n / 2).cast("int")
+    size = n.cast("int") - half
+    sides = (
+        (0, F.substring(text, F.lit(1), half), F.substring(text, half + 1, size + by)),
+        (1, F.substring(text, half + 1 + by, size), F.substring(text, F.lit(1), half + by)),
+    )
+    out = []
+    for i, same, rest in sides:
+        key = F.xxhash64(n, F.lit(i), same)
+        if depth == 1:
+            out.append((F.lit(0).cast("long"), key))
+        for parent, sub in _finer(rest, shorter, depth - 1) if depth > 1 else ():
+            out.append((key if depth == 2 else F.xxhash64(key, parent), F.xxhash64(key, sub)))
+    return out
+
+
+def _keyed(lines: DataFrame, name: str, keys: Column) -> DataFrame:
+    return lines.select(F.col("lid").alias(name), F.explode(keys).alias("key")).distinct()
+
+
+def _candidates(long: DataFrame, threshold: int, hot: int, depth: int) -> DataFrame:
+    """(lid, other) that share a key. Keys that more than `hot` lines are indexed under give no pairs; the lines under
+    them are keyed anew by more of their text, as long as `depth` allows, so a common half costs no square of lines."""
+    line, n = F.col("line"), F.col("n").cast("long")
+    index, probe = _keyed(long, "lid", _index_keys(line, n, threshold)), _keyed(long, "other", _probe_keys(line, n, threshold))
+    if threshold > 1:
+        return index.join(probe, "key")
+    found = []
+    for level in range(2, depth + 1):
+        index = written(index)
+        common = written(index.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > hot).select("key"))
+        if common.isEmpty():
+            break
+        found.append(index.join(common, "key", "left_anti").join(probe, "key"))
+
+        def under(name: str, keys: list[tuple[Column, Column]], common: DataFrame = common) -> DataFrame:
+            both = F.array(*[F.struct(a.alias("parent"), b.alias("key")) for a, b in keys])
+            rows = long.select(F.col("lid").alias(name), F.explode(both).alias("k")).select(name, "k.parent", "k.key")
+            return rows.join(common.withColumnRenamed("key", "parent"), "parent", "left_semi").select(name, "key").distinct()
+
+        index = under("lid", _finer(line, None, level))
+        probe = under("other", [*_finer(line, 0, level), *_finer(line, 1, level)])
+    return reduce(DataFrame.unionByName, found, index.join(probe, "key"))
+
+
+def near_links(lines: DataFrame, threshold: int = 1, least: int = 24, hot: int = 256, depth: int = 5) -> DataFrame:
     """(a, b): ids of different lines (lid, line, n) of `least` characters or more, at most `threshold` edits apart.
 
     Keys are computed where the lines are read. Copies of a line meet in a group-by of (key, line) before any pair is
     made, so only different lines form pairs. Candidates share a whole segment at a place that the threshold allows; the
-    texts of candidates alone are fetched, and the banded automaton decides.
+    texts of candidates alone are fetched, and the banded automaton decides. With one edit, segments that more than
+    `hot` lines have are refined; at `depth` halvings, lines that still meet differ in a few characters at most.
     """
     long = lines.filter(F.col("n") >= max(least, threshold + 1))
-    line, n = F.col("line"), F.col("n").cast("long")
-    index = long.select("lid", F.explode(_index_keys(line, n, threshold)).alias("key")).distinct()
-    probe = long.select(F.col("lid").alias("other"), F.explode(_probe_keys(line, n, threshold)).alias("key")).distinct()
-    pairs = index.join(probe, "key").filter("lid <> other")
+    pairs = _candidates(long, threshold, hot, depth).filter("lid <> other")
     pairs = written(pairs.select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
     texts = written(long.select("lid", "line").join(wanted, "lid").groupBy("lid").agg(F.min("line").alias("line")))
     sides = pairs.join(texts.withColumnsRenamed({"lid": "a", "line": "s"}), "a").join(texts.withColumnsRenamed({"lid": "b", "line": "t"}), "b")
-    return written(sides.filter(edits_within(F.col("s"), F.col("t"), threshold)).select("a", "b"))
+    likely = sides.filter(may_be_within(F.col("s"), F.col("t"), threshold))
+    short_s, short_t = trimmed(F.col("s"), F.col("t"))
+    likely = written(likely.select("a", "b", short_s.alias("s"), short_t.alias("t")))
+    return written(likely.filter(edits_within(F.col("s"), F.col("t"), threshold)).select("a", "b"))
 
 
 def duplicate_lines(docs: DataFrame, threshold: int = 1, least: int = 24) -> DataFrame:

@@ -382,9 +382,14 @@ def test_edits_within(spark, threshold):
     rng = random.Random(threshold)
     some = random_lines(rng)
     pairs = [(a, b) for a in some[:60] for b in rng.sample(some, 12)] + [(some[i], some[40 + 4 * i + k]) for i in range(30) for k in range(4) if 40 + 4 * i + k < len(some)]
+    pairs += [("", ""), ("", "a"), ("ab", "b"), ("x" * 50, "x" * 51), ("x" * 50, "x" * 53)]
     df = spark.createDataFrame(pairs, "s string, t string")
-    for r in df.withColumn("w", lines.edits_within(F.col("s"), F.col("t"), threshold)).collect():
-        assert r.w == (distance(r.s, r.t) <= threshold), (r.s, r.t)
+    s, t = lines.trimmed(F.col("s"), F.col("t"))
+    df = df.withColumns({"w": lines.edits_within(F.col("s"), F.col("t"), threshold), "may": lines.may_be_within(F.col("s"), F.col("t"), threshold), "ss": s, "tt": t})
+    for r in df.withColumn("again", lines.edits_within(F.col("ss"), F.col("tt"), threshold)).collect():
+        near = distance(r.s, r.t) <= threshold
+        assert r.w == near and r.again == near and (r.may or not near), (r.s, r.t)
+        assert distance(r.ss, r.tt) == distance(r.s, r.t)
 
 
 @pytest.mark.parametrize("threshold", [1, 2])
@@ -395,6 +400,8 @@ def test_near_links(spark, threshold):
     df = spark.createDataFrame([(x,) for x in some + some[:9]], "line string").withColumns({"lid": F.xxhash64("line"), "n": F.length("line")})
     ids = {r.line: r.lid for r in df.collect()}
     got = rows_of(lines.near_links(df, threshold, least=8), "a", "b")
+    if threshold == 1:  # common segments refined
+        assert rows_of(lines.near_links(df, 1, least=8, hot=1, depth=3), "a", "b") == got
     want = Counter(
         (min(ids[a], ids[b]), max(ids[a], ids[b]))
         for i, a in enumerate(some)
@@ -490,7 +497,11 @@ def test_chunks_are_local():
 
     e = packing.encoder(public_tokenizers.path(packing.TOKENIZER))
     cases = ["~ a~b ~~", "it's WE'LL İstanbul ΣΑΣ naïve é ́x", "a b c　d", "x<|endoftext|>y z", "", "tab\tnew\nline", "1234 5.6,7 ...!", "😀 👩‍👩‍👧"]
-    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(cases)] == [e.ids_of(c) for c in cases]
+    cases += ["Word, word. WORD!! (no) Çà ÷× straße; Éöÿ- x_y it's, ... a.b", *(prose(random.Random(i), 40) for i in range(20))]
+    small = packing.ChunkEncoder(public_tokenizers.path(packing.TOKENIZER), 30)  # forgets all the time
+    for encoder in (e, small):
+        for _ in range(2):
+            assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(cases)] == [e.ids_of(c) for c in cases]
 
 
 def test_pipeline(spark, tmp_path):
