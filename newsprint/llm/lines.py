@@ -171,19 +171,33 @@ def _candidates(long: DataFrame, threshold: int, hot: int, depth: int) -> DataFr
     return reduce(DataFrame.unionByName, found, index.join(probe, "key"))
 
 
-def near_links(lines: DataFrame, threshold: int = 1, least: int = 24, hot: int = 256, depth: int = 5) -> DataFrame:
+def sieved(lines: DataFrame, wanted: DataFrame, bits: int = 24) -> DataFrame:
+    """The lines whose lid is wanted, and some others: a table of 2 ** bits bits, packed in words of 64, tells them apart.
+
+    The table has at most 2 ** (bits - 6) rows whatever the input is, so it may be broadcast; the lines themselves need
+    no shuffle to be told apart.
+    """
+    place = F.pmod(F.xxhash64(F.lit("sieve"), "lid"), F.lit(1 << bits))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("place", F.lit(64)).cast("int"))
+    words = wanted.withColumn("place", place).groupBy(F.floor(F.col("place") / 64).alias("word")).agg(F.bit_or(bit).alias("set"))
+    marked = lines.withColumn("place", place).withColumn("word", F.floor(F.col("place") / 64))
+    return marked.join(F.broadcast(words), "word").filter(F.col("set").bitwiseAND(bit) != 0).select(*lines.columns)
+
+
+def near_links(lines: DataFrame, threshold: int = 1, least: int = 24, hot: int = 32, depth: int = 6) -> DataFrame:
     """(a, b): ids of different lines (lid, line, n) of `least` characters or more, at most `threshold` edits apart.
 
     Keys are computed where the lines are read. Copies of a line meet in a group-by of (key, line) before any pair is
     made, so only different lines form pairs. Candidates share a whole segment at a place that the threshold allows; the
-    texts of candidates alone are fetched, and the banded automaton decides. With one edit, segments that more than
+    texts of candidates alone are fetched (see sieved), and the banded automaton decides. With one edit, segments that more than
     `hot` lines have are refined; at `depth` halvings, lines that still meet differ in a few characters at most.
     """
     long = lines.filter(F.col("n") >= max(least, threshold + 1))
     pairs = _candidates(long, threshold, hot, depth).filter("lid <> other")
     pairs = written(pairs.select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    texts = written(long.select("lid", "line").join(wanted, "lid").groupBy("lid").agg(F.min("line").alias("line")))
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct())
+    some = sieved(long.select("lid", "line"), wanted).groupBy("lid").agg(F.min("line").alias("line"))
+    texts = written(some.join(wanted, "lid"))
     sides = pairs.join(texts.withColumnsRenamed({"lid": "a", "line": "s"}), "a").join(texts.withColumnsRenamed({"lid": "b", "line": "t"}), "b")
     likely = sides.filter(may_be_within(F.col("s"), F.col("t"), threshold))
     short_s, short_t = trimmed(F.col("s"), F.col("t"))

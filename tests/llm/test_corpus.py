@@ -411,6 +411,13 @@ def test_near_links(spark, threshold):
     assert got == want and len(want) > 20
 
 
+def test_sieve(spark):
+    df = spark.range(4000).withColumnRenamed("id", "lid").selectExpr("xxhash64(lid) as lid", "lid as n")
+    wanted = df.filter("n % 100 = 0").select("lid")
+    got = {r.n for r in lines.sieved(df, wanted, bits=12).collect()}
+    assert set(range(0, 4000, 100)) <= got and len(got) < 400
+
+
 def plain_lines(rows: list[tuple], threshold: int, least: int) -> dict:
     whole = sorted({(i or 0, k, x) for i, t, *_ in rows for k, x in enumerate((t or "").split("\n")) if x.strip(" \t\n\v\f\r")})
     names = sorted({x for *_, x in whole})
