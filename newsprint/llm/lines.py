@@ -118,11 +118,11 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return out.filter(F.col("line").rlike(r"[^\x09-\x0D\x20]")).select("*", F.xxhash64("line").alias("lid"), F.length("line").alias("n"))
 
 
-def _finer(text: Column, shorter: int | None, depth: int) -> list[tuple[Column, Column]]:
-    """(key of depth - 1, key of depth) for one edit: the half that is untouched, then of the rest the half that is, and so on.
+def _halves(text: Column, shorter: int | None) -> Column:
+    """For one edit, which leaves one half of a text as it is: (key of that half, rest) for either half.
 
-    shorter is None for the index side; for the probing side it says by how many characters the other line is shorter,
-    and the rest is longer than the other line's rest by just as many.
+    shorter is None for the index side; for the probing side it says by how many characters the other text is shorter,
+    and the rest is longer than the other text's rest by just as many.
     """
     by = shorter or 0
     n = F.length(text).cast("long") - by
@@ -132,14 +132,7 @@ def _finer(text: Column, shorter: int | None, depth: int) -> list[tuple[Column,
         (0, F.substring(text, F.lit(1), half), F.substring(text, half + 1, size + by)),
         (1, F.substring(text, half + 1 + by, size), F.substring(text, F.lit(1), half + by)),
     )
-    out = []
-    for i, same, rest in sides:
-        key = F.xxhash64(n, F.lit(i), same)
-        if depth == 1:
-            out.append((F.lit(0).cast("long"), key))
-        for parent, sub in _finer(rest, shorter, depth - 1) if depth > 1 else ():
-            out.append((key if depth == 2 else F.xxhash64(key, parent), F.xxhash64(key, sub)))
-    return out
+    return F.array(*[F.struct(F.xxhash64(n, F.lit(i), same).alias("key"), rest.alias("rest")) for i, same, rest in sides])
 
 
 def _keyed(lines: DataFrame, name: str, keys: Column) -> DataFrame:
@@ -153,22 +146,28 @@ def _candidates(long: DataFrame, threshold: int, hot: int, depth: int) -> DataFr
     index, probe = _keyed(long, "lid", _index_keys(line, n, threshold)), _keyed(long, "other", _probe_keys(line, n, threshold))
     if threshold > 1:
         return index.join(probe, "key")
-    found = []
-    for level in range(2, depth + 1):
-        index = written(index)
-        common = written(index.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > hot).select("key"))
-        if common.isEmpty():
-            break
+    index = written(index)
+    common = _common(index, hot)
+    if common.isEmpty():
+        return index.join(probe, "key")
+    found = [index.join(common, "key", "left_anti").join(probe, "key")]
+    rows = {by: long.select("lid", F.explode(_halves(line, by)).alias("h")).select("lid", "h.key", "h.rest") for by in (None, 0, 1)}
+    for _ in range(depth):
+        # Rows under common keys alone go on, each with what is left of its text.
+        rows = {by: written(r.join(common, "key", "left_semi").distinct()) for by, r in rows.items()}
+        finer = F.xxhash64(F.col("key"), F.col("h.key")).alias("key"), F.col("h.rest").alias("rest")
+        rows = {by: r.select("lid", "key", F.explode(_halves(F.col("rest"), by)).alias("h")).select("lid", *finer) for by, r in rows.items()}
+        index = written(rows[None].select("lid", "key").distinct())
+        probe = rows[0].unionByName(rows[1]).select(F.col("lid").alias("other"), "key").distinct()
+        common = _common(index, hot)
         found.append(index.join(common, "key", "left_anti").join(probe, "key"))
+        if common.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, [*found, index.join(common, "key", "left_semi").join(probe, "key")])
 
-        def under(name: str, keys: list[tuple[Column, Column]], common: DataFrame = common) -> DataFrame:
-            both = F.array(*[F.struct(a.alias("parent"), b.alias("key")) for a, b in keys])
-            rows = long.select(F.col("lid").alias(name), F.explode(both).alias("k")).select(name, "k.parent", "k.key")
-            return rows.join(common.withColumnRenamed("key", "parent"), "parent", "left_semi").select(name, "key").distinct()
 
-        index = under("lid", _finer(line, None, level))
-        probe = under("other", [*_finer(line, 0, level), *_finer(line, 1, level)])
-    return reduce(DataFrame.unionByName, found, index.join(probe, "key"))
+def _common(index: DataFrame, hot: int) -> DataFrame:
+    return written(index.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > hot).select("key"))
 
 
 def sieved(lines: DataFrame, wanted: DataFrame, bits: int = 24) -> DataFrame:
