@@ -90,7 +90,7 @@ def _by_document(rows: DataFrame, texts: DataFrame, *fields: str) -> DataFrame:
 def _open_classes(rows: DataFrame, bucket: list[str], name: list[str], row: list[str]) -> tuple[DataFrame, DataFrame]:
     """Names that two rows or more share; and one row of each name in buckets of more than one name."""
     classes = written(rows.groupBy(*bucket, *name).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*row)).alias("one")))
-    several = classes.groupBy(*bucket).agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").drop("classes")
+    several = written(classes.groupBy(*bucket).agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").drop("classes"))
     return classes.filter("n > 1").select(*bucket, *name), classes.join(several, bucket).select("one.*")
 
 
@@ -126,7 +126,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, q: int = 50, block: int =
 
     scanned = written(map_arrow(keyed, "doc_id long, rid long, did long, n_bytes long, kept_sha256 string, pos array<int>, name array<long>", scan))
     at = scanned.select(*_KEY, F.explode(F.arrays_zip("pos", "name")).alias("a")).select(*_KEY, "a.pos", "a.name")
-    shared = at.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name")
+    # Written, so that the join that follows starts from two plain shuffles, of which Spark can split a hot name.
+    shared = written(at.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name"))
     chosen = at.join(shared, "name", "left_semi")
 
     def context(cols: dict[str, list]) -> dict[str, object]:
@@ -182,7 +183,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, q: int = 50, block: int =
         return out
 
     single = written(map_arrow(_by_document(left, texts, "pos", "lo", "hi"), "rid long, did long, s int, whole binary", windows))
-    twice = single.groupBy("whole").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("whole")
+    twice = written(single.groupBy("whole").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("whole"))
     settled.append(single.join(twice, "whole", "left_semi").select(*_KEY, "s", F.col("s").alias("e")))
     starts = settled[0].unionByName(settled[1]).unionByName(settled[2])
 
