@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsprint.llm import decontaminate, lines, packing, quality, simhash
+from newsprint.llm import decontaminate, lines, packing, quality, similar
 from newsprint.llm.common import table, written
 
 
@@ -19,8 +19,8 @@ def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every near-duplicate class stays."""
-    return simhash.keep_one(docs)
+    """One document of every class of texts that share 0.8 of their five-word shingles stays."""
+    return similar.keep_one(docs)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

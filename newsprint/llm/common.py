@@ -71,6 +71,25 @@ def salted_count(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
+def one_row_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The least row of docs by (doc_id, nulls last, hash of the text) for each root, with all columns.
+
+    rows (doc_id, rid, root) holds a row for each row of docs, rid as the hash of the text (see docs_of). Rows alike in
+    doc_id and text are told apart by their other columns, and one stays.
+    """
+    counted = rows.groupBy("root", "doc_id", "rid").agg(F.count(F.lit(1)).alias("n"))
+    least = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "n")).alias("x"))
+    # One key for both, so that neither a text with many copies nor a null id gathers rows.
+    chosen = written(least.select(F.xxhash64("x.none", "x.doc_id", "x.rid").alias("_row"), F.col("x.n").alias("_n")).distinct())
+    doc_id, text = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))
+    found = docs.withColumn("_row", F.xxhash64(doc_id.isNull(), doc_id, text)).join(chosen, "_row")
+    if chosen.filter("_n > 1").isEmpty():
+        return found.select(*docs.columns)
+    row = F.struct(*docs.columns)
+    again = found.filter("_n > 1").groupBy("_row").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("r")).select("r.*")
+    return found.filter("_n = 1").select(*docs.columns).unionByName(again)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of undirected edges (a, b); root is the smallest node reachable.
 

@@ -16,16 +16,20 @@ _LANES = np.arange(8, dtype=np.int64) * 256
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def fingerprint(text: str, shingle: int = 3) -> int:
-    """SimHash of a text: words between ASCII white space, A-Z lower-cased, XXH64 (seed 42) of every shingle."""
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle: words between ASCII white space, A-Z lower-cased; fewer words are one shingle."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     grams = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    count = max(1, len(words) - shingle + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64, count)
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64, max(1, len(words) - shingle + 1))
+
+
+def simhash_of(hashes: np.ndarray) -> int:
+    """SimHash of shingle hashes; zero if there are none."""
+    count = len(hashes)
     ones = np.zeros((8, 256), np.int64)
     for at in range(0, count, 1 << 16):
         lanes = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8) + _LANES
@@ -34,6 +38,11 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, shingle: int = 3) -> int:
+    """SimHash of a text's shingles; zero for a text without a word."""
+    return simhash_of(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
