@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsprint.llm.common import components, docs_of, map_arrow, salted_count, written
+from newsprint.llm.common import components, docs_of, map_arrow, one_row_each, salted_count, written
 
 _LANES = np.arange(8, dtype=np.int64) * 256
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -44,13 +44,13 @@ def fingerprint(text: str, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, rid, fp): fp is the fingerprint as a signed long, rid the hash of the text."""
 
     def rows(cols: dict[str, list]) -> dict[str, object]:
         fps = np.array([fingerprint(t, shingle) for t in cols["text"]], np.uint64)
-        return {"doc_id": cols["doc_id"], "fp": fps.view(np.int64)}
+        return {"doc_id": cols["doc_id"], "rid": cols["rid"], "fp": fps.view(np.int64)}
 
-    return map_arrow(docs_of(docs), "doc_id long, fp long", rows)
+    return map_arrow(docs_of(docs).withColumn("rid", F.xxhash64("text")), "doc_id long, rid long, fp long", rows)
 
 
 class BKTree:
@@ -168,6 +168,13 @@ def links(fps: DataFrame, radius: int = 3, bands: int = 5, shard: int = 4096) ->
     return dealt.select("cell", "fp").repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
+def _classes(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, root, head, n_copies): the least linked fingerprint, the least doc_id and the rows of each fingerprint."""
+    groups = written(prints.groupBy("fp").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n_copies")))
+    roots = components(links(groups.select("fp"), radius)).withColumnsRenamed({"node": "fp"})
+    return groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id, n_copies): classes of documents whose fingerprints link within the radius.
 
@@ -177,9 +184,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     unless all of its members are null. An empty table gives an empty result; further columns are ignored.
     """
     prints = written(fingerprints(docs, shingle))
-    groups = written(prints.groupBy("fp").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n_copies")))
-    roots = components(links(groups.select("fp"), radius)).withColumnsRenamed({"node": "fp"})
-    named = groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = _classes(prints, radius)
     least = named.groupBy("root").agg(F.min("head").alias("component_id"))
     classes = named.join(least, "root").select("fp", "component_id", "n_copies")
     out = prints.join(classes, "fp")
@@ -187,9 +192,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of docs whose doc_id names their class: one document of each class stays, with its columns.
-
-    Rows that repeat one doc_id all stay or all go.
-    """
-    chosen = near_duplicates(docs, shingle, radius).filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi")
+    """One row of every class of near_duplicates, with its columns: the least by (doc_id, nulls last, hash of the text)."""
+    prints = written(fingerprints(docs, shingle))
+    rows = prints.join(_classes(prints, radius).select("fp", "root"), "fp")
+    return one_row_each(docs, rows.select("doc_id", "rid", "root"))
