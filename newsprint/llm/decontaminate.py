@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from newsprint.llm.common import map_arrow
+from newsprint.llm.common import map_arrow, written
 
 #: Bytes that belong to no word turn into a space; A-Z turn into a-z. Bytes from 0x80 on are parts of words.
 _TO_WORDS = bytes(
@@ -69,7 +69,7 @@ class Index:
                 continue
             for i in range(len(ids) - n + 1):
                 owners = self.windows[n][ids[i : i + n].tobytes()]
-                if item not in owners:
+                if item is not None and item not in owners:
                     owners.append(item)
             kk = min(k, n)
             h = _kgrams(ids, kk)
@@ -94,7 +94,7 @@ class Index:
             windows = self.windows[n]
             for s in starts[(starts >= 0) & (starts <= len(ids) - n)].tolist():
                 owners = windows.get(ids[s : s + n].tobytes())
-                if owners:
+                if owners is not None:
                     runs.append((s, s + n))
                     items.update(owners)
         return runs, items
@@ -116,7 +116,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
 
     The benchmark's index goes to the executors in blocks of block_bytes of text at most, one after the other over the
     same scan, so that what is sent at once is bounded and no document is shuffled. A null text has no words; items
-    without a word match nothing; the same window in many items counts for each of them. Extra columns of docs stay, but
+    without a word match nothing; the same window in many items counts for each of them; repeated rows of an item count
+    once. A row whose item_id is null has windows like any other: its hits count as runs, and name no item. Extra columns of docs stay, but
     for those named like new ones.
     """
     out = _found(docs.drop("n_words", "runs", "items"), benchmark, window, k, block_bytes)
@@ -127,10 +128,10 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, k: int, block_byt
     spark = docs.sparkSession
     out = docs.withColumn("_runs", F.expr("cast(array() as array<struct<s: int, e: int>>)"))
     out = out.withColumn("_items", F.expr("cast(array() as array<string>)"))
-    items = benchmark.select("item_id", "text")
+    items = written(benchmark.select("item_id", "text").distinct())
     for part in _blocks(items, block_bytes):
         rows = [(r[0], words(r[1])) for r in part.toLocalIterator()]
-        sent = spark.sparkContext.broadcast([(str(i), w) for i, w in rows if i is not None])
+        sent = spark.sparkContext.broadcast([(None if i is None else str(i), w) for i, w in rows])
         out = _scan(out, sent, window, k)
     return out
 
