@@ -19,8 +19,16 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _HEX_ANY = re.compile(r"(?:[0-9a-fA-F]{2}){24,}")
 _B64 = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
-_TOKEN = re.compile(r"([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY)-----([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
+_SEGMENT = re.compile(r"[A-Za-z0-9_-]{8,}")
+_TAIL = re.compile(r"\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+#: How a JSON object, a DER sequence and an ssh key begin in base64.
+_OBJECT = re.compile(r"e[w-z0-9_-]")
+_OPENING = re.compile(r"(?=(M[A-I]|AAAA|b3BlbnNzaC1rZXk))")
+_PEM = re.compile(
+    r"-----BEGIN ([A-Z0-9 ]{0,40}KEY)-----(?:\s|\\[rn])*((?:[A-Za-z][A-Za-z0-9-]{0,40}: [^\n\\]{0,200}(?:\n|\\[rn])(?:\s|\\[rn])*){0,8}+)"
+    r"((?:[A-Za-z0-9+/=\s]|\\[rn]){16,}?)-----END \1-----"
+)
+_ENCRYPTED = re.compile(r"Proc-Type: 4,ENCRYPTED\b.*DEK-Info: [A-Z0-9-]+,[0-9A-Fa-f]{16,}", re.S)
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "jwt", "der_key", "ssh_key", "pem_key")
 
@@ -102,6 +110,54 @@ def _key_kind(data: bytes | None) -> str | None:
     return "ssh_key" if _is_ssh_key(data) else "der_key" if _is_der_key(data) else None
 
 
+def _tokens(text: str, lo: int, hi: int) -> list[tuple[int, int, str]]:
+    """Signed tokens: a header may begin wherever a JSON object can, behind other words and dots too."""
+    out, done = [], lo
+    for seg in _SEGMENT.finditer(text, lo, hi):
+        if seg.start() < done or not (tail := _TAIL.match(text, seg.end(), hi)):
+            continue
+        for m in _OBJECT.finditer(text, seg.start(), seg.end() - 7):
+            # The first bytes settle most places, so that few are decoded whole.
+            if re.match(rb"\{\s*(\"[ -~]|\s|$)", _b64(text[m.start() : m.start() + 4]) or b"") and _is_token_header(text[m.start() : seg.end()]):
+                out.append((m.start(), tail.end(), "jwt"))
+                done = tail.end()
+                break
+    return out
+
+
+def _key_inside(text: str, lo: int, hi: int) -> list[tuple[int, int, str]]:
+    """Keys inside a run of base64, at their known openings; a DER key ends where its length says."""
+    out, done = [], lo
+    for m in _OPENING.finditer(text, lo, hi):
+        at, end = m.start(), hi
+        if at < done:
+            continue
+        head = _b64(text[at : min(at + 24, hi) - (min(at + 24, hi) - at) % 4])
+        if m[1][0] == "M":
+            width = head[1] & 0x7F if head and len(head) > 6 and head[1] & 0x80 else 0
+            if not head or len(head) < 7 or width > 4:
+                continue
+            size = 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])
+            end = at + -(-size * 4 // 3)
+            if end > hi:
+                continue
+            end += len(re.match("={0,2}", text[end:hi])[0]) if size % 3 else 0
+        elif not head or m[1] == "AAAA" and not head[4:].startswith((b"ssh-", b"ecdsa-", b"sk-")):
+            continue
+        if kind := _key_kind(_b64(text[at:end])):
+            out.append((at, end, kind))
+            done = end
+    return out
+
+
+def _is_pem_key(headers: str, body: str) -> bool:
+    """The body is a key; or, encrypted as its headers say, whole cipher blocks."""
+    data = _b64("".join(re.sub(r"\\[rn]", " ", body).split()))
+    if _ENCRYPTED.match(headers):
+        return bool(data) and len(data) % 8 == 0
+    return bool(_key_kind(data))
+
+
 def scan(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every finding, in code points; by start, then kind in the order of KINDS, then end."""
     out = []
@@ -115,12 +171,14 @@ def scan(text: str) -> list[tuple[int, int, str]]:
         for m in _HEX_ANY.finditer(text, lo, hi):
             if kind := _key_kind(bytes.fromhex(m[0])):
                 out.append((m.start(), m.end(), kind))
-        out += [(m.start(), m.end(), "jwt") for m in _TOKEN.finditer(text, lo, hi) if _is_token_header(m[1])]
+        out += _tokens(text, lo, hi)
         for m in _B64.finditer(text, lo, hi):
             if kind := _key_kind(_b64(m[0])):
                 out.append((m.start(), m.end(), kind))
+            else:
+                out += _key_inside(text, m.start(), m.end())
     if "-----BEGIN " in text:
-        out += [(m.start(), m.end(), "pem_key") for m in _PEM.finditer(text) if _key_kind(_b64("".join(m[2].split())))]
+        out += [(m.start(), m.end(), "pem_key") for m in _PEM.finditer(text) if _is_pem_key(m[2], m[3])]
     return sorted(set(out), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
