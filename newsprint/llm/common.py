@@ -38,6 +38,14 @@ def row_key() -> list[Column]:
     return [F.xxhash64("doc_id", "text").alias("rid"), F.coalesce("doc_id", F.lit(0)).alias("did")]
 
 
+def unlike(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have, whatever the case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def docs_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and text alone, a null text as an empty one."""
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

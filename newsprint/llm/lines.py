@@ -7,81 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsprint.llm.common import components, row_key, written
+from newsprint.llm.common import components, row_key, unlike, written
 
 _KEY = ["rid", "did"]
 
 
-def _segment(line: Column, n: Column, count: int, i: int) -> Column:
-    """Segment i of a line of n characters: the lengths differ by one at most."""
-    lo, hi = F.floor(n * i / count), F.floor(n * (i + 1) / count)
-    return F.substring(line, (lo + 1).cast("int"), (hi - lo).cast("int"))
-
-
-def _index_keys(line: Column, n: Column, threshold: int) -> Column:
-    return F.array(*[F.xxhash64(n, F.lit(i), _segment(line, n, threshold + 1, i)) for i in range(threshold + 1)])
-
-
-def _probe_keys(line: Column, n: Column, threshold: int) -> Column:
-    """Keys under which a line finds lines that are shorter by 0 to `threshold` characters, or of its length.
-
-    Of the threshold + 1 segments of the shorter line one is untouched by `threshold` edits. Where it can lie in the
-    longer one follows from the number of edits that are left on either side of it (multi-match-aware selection).
-    """
-    keys = []
-    for shorter in range(threshold + 1):
-        m = n - shorter
-        for i in range(threshold + 1):
-            count = threshold + 1
-            lo, size = F.floor(m * i / count), F.floor(m * (i + 1) / count) - F.floor(m * i / count)
-            # i edits at most before the segment, or threshold - i after it
-            left = range(-i, i + 1)
-            right = range(shorter - (threshold - i), shorter + (threshold - i) + 1)
-            for shift in sorted(set(left) & set(right)):
-                at = lo + shift
-                fits = (m > threshold) & (at >= 0) & (at + size <= n)
-                keys.append(F.when(fits, F.xxhash64(m, F.lit(i), F.substring(line, (at + 1).cast("int"), size.cast("int")))))
-    return F.array_compact(F.array(*keys))
-
-
-_BLOCKS = 16
-
-
-def _blocks_of(s: Column, t: Column) -> tuple[Column, Column, Column]:
-    """Characters of s and of t, and a block size that gives about _BLOCKS blocks of the shorter one."""
-    n, m = F.length(s), F.length(t)
-    return n, m, F.greatest(F.lit(1), F.floor(F.least(n, m) / _BLOCKS).cast("int"))
-
-
-def may_be_within(s: Column, t: Column, threshold: int) -> Column:
-    """Whether all but `threshold` of the blocks of s stand in t at a shift of `threshold` at most: else more edits lie between.
-
-    A block without an edit inside is moved by the edits before it only.
-    """
-    _, _, size = _blocks_of(s, t)
-    lost = F.lit(0)
-    for i in range(_BLOCKS):
-        block = F.substring(s, size * i + 1, size)
-        found = reduce(
-            lambda x, y: x | y, [(size * i + shift >= 0) & (F.substring(t, size * i + 1 + shift, size) == block) for shift in range(-threshold, threshold + 1)]
-        )
-        lost = lost + F.when(found, 0).otherwise(1)
-    return lost <= threshold
-
-
-def trimmed(s: Column, t: Column) -> tuple[Column, Column]:
-    """s and t without the blocks that they begin and end with alike, which leaves their edit distance as it is."""
-    n, m, size = _blocks_of(s, t)
-
-    def alike(block_s, block_t) -> Column:
-        return F.coalesce(*[F.when(block_s(i) != block_t(i), F.lit(i)) for i in range(_BLOCKS)], F.lit(_BLOCKS))
-
-    head = alike(lambda i: F.substring(s, size * i + 1, size), lambda i: F.substring(t, size * i + 1, size))
-    tail = alike(lambda i: F.substring(s, n - size * (i + 1) + 1, size), lambda i: F.substring(t, m - size * (i + 1) + 1, size))
-    tail = F.least(tail, F.floor(F.least(n, m) / size).cast("int") - head)
-    return tuple(F.substring(x, size * head + 1, k - size * (head + tail)) for x, k in ((s, n), (t, m)))
-
-
 def edits_within(s: Column, t: Column, threshold: int) -> Column:
     """Whether two strings are at most `threshold` edits apart: a banded automaton, a bit for each diagonal.
 
@@ -118,128 +48,146 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return out.filter(F.col("line").rlike(r"[^\x09-\x0D\x20]")).select("*", F.xxhash64("line").alias("lid"), F.length("line").alias("n"))
 
 
-def _halves(text: Column, shorter: int | None) -> Column:
-    """For one edit, which leaves one half of a text as it is: (key of that half, rest) for either half.
+def sieved(rows: DataFrame, wanted: DataFrame, on: str = "lid", bits: int = 24) -> DataFrame:
+    """The rows whose `on` is wanted, and some others: a table of 2 ** bits bits, packed in words of 64, tells them apart.
 
-    shorter is None for the index side; for the probing side it says by how many characters the other text is shorter,
-    and the rest is longer than the other text's rest by just as many.
-    """
-    by = shorter or 0
-    n = F.length(text).cast("long") - by
-    half = F.floor(n / 2).cast("int")
-    size = n.cast("int") - half
-    sides = (
-        (0, F.substring(text, F.lit(1), half), F.substring(text, half + 1, size + by)),
-        (1, F.substring(text, half + 1 + by, size), F.substring(text, F.lit(1), half + by)),
-    )
-    return F.array(*[F.struct(F.xxhash64(n, F.lit(i), same).alias("key"), rest.alias("rest")) for i, same, rest in sides])
-
-
-def _keyed(lines: DataFrame, name: str, keys: Column) -> DataFrame:
-    return lines.select(F.col("lid").alias(name), F.explode(keys).alias("key")).distinct()
-
-
-def _candidates(long: DataFrame, threshold: int, hot: int, depth: int) -> DataFrame:
-    """(lid, other) that share a key. Keys that more than `hot` lines are indexed under give no pairs; the lines under
-    them are keyed anew by more of their text, as long as `depth` allows, so a common half costs no square of lines."""
-    line, n = F.col("line"), F.col("n").cast("long")
-    index, probe = _keyed(long, "lid", _index_keys(line, n, threshold)), _keyed(long, "other", _probe_keys(line, n, threshold))
-    if threshold > 1:
-        return index.join(probe, "key")
-    index = written(index)
-    common = _common(index, hot)
-    if common.isEmpty():
-        return index.join(probe, "key")
-    found = [index.join(common, "key", "left_anti").join(probe, "key")]
-    rows = {by: long.select("lid", F.explode(_halves(line, by)).alias("h")).select("lid", "h.key", "h.rest") for by in (None, 0, 1)}
-    for _ in range(depth):
-        # Rows under common keys alone go on, each with what is left of its text.
-        rows = {by: written(r.join(common, "key", "left_semi").distinct()) for by, r in rows.items()}
-        finer = F.xxhash64(F.col("key"), F.col("h.key")).alias("key"), F.col("h.rest").alias("rest")
-        rows = {by: r.select("lid", "key", F.explode(_halves(F.col("rest"), by)).alias("h")).select("lid", *finer) for by, r in rows.items()}
-        index = written(rows[None].select("lid", "key").distinct())
-        probe = rows[0].unionByName(rows[1]).select(F.col("lid").alias("other"), "key").distinct()
-        common = _common(index, hot)
-        found.append(index.join(common, "key", "left_anti").join(probe, "key"))
-        if common.isEmpty():
-            return reduce(DataFrame.unionByName, found)
-    return reduce(DataFrame.unionByName, [*found, index.join(common, "key", "left_semi").join(probe, "key")])
-
-
-def _common(index: DataFrame, hot: int) -> DataFrame:
-    return written(index.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > hot).select("key"))
-
-
-def sieved(lines: DataFrame, wanted: DataFrame, bits: int = 24) -> DataFrame:
-    """The lines whose lid is wanted, and some others: a table of 2 ** bits bits, packed in words of 64, tells them apart.
-
-    The table has at most 2 ** (bits - 6) rows whatever the input is, so it may be broadcast; the lines themselves need
-    no shuffle to be told apart.
+    The table has at most 2 ** (bits - 6) rows whatever the input is, so it may be broadcast; the rows themselves need
+    no shuffle to be told apart. It only saves work: a join with `wanted` decides, however full the table is.
     """
-    place = F.pmod(F.xxhash64(F.lit("sieve"), "lid"), F.lit(1 << bits))
+    place = F.pmod(F.xxhash64(F.lit("sieve"), on), F.lit(1 << bits))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("place", F.lit(64)).cast("int"))
     words = wanted.withColumn("place", place).groupBy(F.floor(F.col("place") / 64).alias("word")).agg(F.bit_or(bit).alias("set"))
-    marked = lines.withColumn("place", place).withColumn("word", F.floor(F.col("place") / 64))
-    return marked.join(F.broadcast(words), "word").filter(F.col("set").bitwiseAND(bit) != 0).select(*lines.columns)
+    marked = rows.withColumn("place", place).withColumn("word", F.floor(F.col("place") / 64))
+    return marked.join(F.broadcast(words), "word").filter(F.col("set").bitwiseAND(bit) != 0).select(*rows.columns)
 
 
-def near_links(lines: DataFrame, threshold: int = 1, least: int = 24, hot: int = 32, depth: int = 6) -> DataFrame:
-    """(a, b): ids of different lines (lid, line, n) of `least` characters or more, at most `threshold` edits apart.
+def _cut(rows: DataFrame, count: int) -> DataFrame:
+    """Every row once for each of `count` segments of its rest: keyed by all of the rest but the segment, which is the new rest.
 
-    Keys are computed where the lines are read. Copies of a line meet in a group-by of (key, line) before any pair is
-    made, so only different lines form pairs. Candidates share a whole segment at a place that the threshold allows; the
-    texts of candidates alone are fetched (see sieved), and the banded automaton decides. With one edit, segments that more than
-    `hot` lines have are refined; at `depth` halvings, lines that still meet differ in a few characters at most.
+    rows: (key, lid, longer, size, rest, before, last). Under a key lie rests of `size` characters and, where `longer` says
+    so, of one more, which one deletion has to bring to `size`. Two rests are one edit apart just if, for some segment, all
+    else is equal and the segments are one edit apart. before is the character in front of the rest; last says whether the
+    line ends with it.
     """
-    long = lines.filter(F.col("n") >= max(least, threshold + 1))
-    pairs = _candidates(long, threshold, hot, depth).filter("lid <> other")
-    pairs = written(pairs.select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")).distinct())
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct())
-    some = sieved(long.select("lid", "line"), wanted).groupBy("lid").agg(F.min("line").alias("line"))
-    texts = written(some.join(wanted, "lid"))
-    sides = pairs.join(texts.withColumnsRenamed({"lid": "a", "line": "s"}), "a").join(texts.withColumnsRenamed({"lid": "b", "line": "t"}), "b")
-    likely = sides.filter(may_be_within(F.col("s"), F.col("t"), threshold))
-    short_s, short_t = trimmed(F.col("s"), F.col("t"))
-    likely = written(likely.select("a", "b", short_s.alias("s"), short_t.alias("t")))
-    return written(likely.filter(edits_within(F.col("s"), F.col("t"), threshold)).select("a", "b"))
-
-
-def duplicate_lines(docs: DataFrame, threshold: int = 1, least: int = 24) -> DataFrame:
+    parts = F.least(F.lit(count), F.col("size"))
+    out = rows.withColumn("j", F.explode(F.sequence(F.lit(0), parts - 1)))
+    out = out.withColumns({"lo": F.expr(f"int(size * j div least({count}, size))"), "hi": F.expr(f"int(size * (j + 1) div least({count}, size))"), "more": F.col("longer").cast("int")})
+    tail = F.expr("substring(rest, hi + more + 1, size)")
+    return out.select(
+        F.xxhash64("key", "size", "j", F.expr("substring(rest, 1, lo)"), tail).alias("key"), "lid", "longer", (F.col("hi") - F.col("lo")).alias("size"),
+        F.expr("substring(rest, lo + 1, hi - lo + more)").alias("rest"), F.when(F.col("lo") > 0, F.expr("substring(rest, lo, 1)")).otherwise(F.col("before")).alias("before"),
+        (F.col("last") & (F.col("j") == parts - 1)).alias("last"),
+    )
+
+
+def _halved(lines: DataFrame, least: int) -> DataFrame:
+    """The rows of _cut for both halves of each line, as it is and as the longer one of two."""
+    whole = lines.select("lid", F.col("line").alias("rest"), "n", F.explode(F.array(F.lit(False), F.lit(True))).alias("longer"))
+    whole = whole.withColumn("size", F.col("n") - F.col("longer").cast("int")).filter(F.col("size") >= max(2, least))
+    return _cut(whole.select(F.lit(0).cast("long").alias("key"), "lid", "longer", "size", "rest", F.lit("").alias("before"), F.lit(True).alias("last")), 2)
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): rows of a key whose rests are one edit apart. Each pair of lines is given under one key alone.
+
+    Of the deletions that turn a rest into a shorter one, the leftmost counts: it must not be possible further left, in
+    front of the rest, nor lie at the end of a segment, which is the beginning of the next one.
+    """
+    own = rows.filter("not longer").select("key", F.col("lid").alias("a"), F.col("rest").alias("t"), "size", "before", "last")
+    other = rows.select("key", F.col("lid").alias("b"), F.col("rest").alias("s"), "longer")
+    met = own.join(other, "key").filter("longer or a < b").filter(edits_within(F.col("t"), F.col("s"), 1))
+    left = F.expr("substring(s, 1, 1) = before and substring(s, 2, size) = t")
+    right = F.expr("not last and substring(s, 1, size) = t and substring(s, size + 1, 1) <> substring(s, size, 1)")
+    return met.filter(~F.col("longer") | ~(left | right)).select("a", "b")
+
+
+def _single(rows: DataFrame) -> DataFrame:
+    """(a, b) for rows whose rest is one character, or two in longer ones, of which one deletion leaves one (see _pairs)."""
+    first, second = F.substring("rest", 1, 1), F.substring("rest", 2, 1)
+    left = F.array_compact(F.array(F.when(first != F.col("before"), second), F.when(F.col("last") & (first != second), first)))
+    longer = rows.filter("longer").select("key", F.col("lid").alias("b"), F.explode(left).alias("rest"))
+    return rows.filter("not longer").select("key", "rest", F.col("lid").alias("a")).join(longer, ["key", "rest"]).select("a", "b")
+
+
+def one_edit(lines: DataFrame, least: int = 24, hot: int = 8, fan: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Links between different lines (lid, line, n) one edit apart, the shorter of `least` characters or more.
+
+    First (a, b): edges that connect just what all links connect. Second (lid, links): the number of a line's links.
+
+    Halves are the segments: of two lines one edit apart, one half of the shorter stands in the longer at its own place, or
+    one further on. Keys are computed where the lines are read, and only keys that two different lines have go on. The
+    lines of a key are compared pair by pair while they are `hot` at most. A larger family is keyed anew by segments of
+    what is left of its lines (see _cut), until one character is left: then all lines of the key are links of one another,
+    which a star and their number stand for. So the rows stay a multiple of the lines, however large a family is.
+    """
+    keyed = _halved(lines, least)
+    shared = keyed.groupBy("key").agg(F.min("lid").alias("low"), F.max("lid").alias("high"), F.min("longer").alias("none")).filter("low <> high and not none")
+    shared = written(shared.select("key"))
+    rows = written(sieved(keyed, shared, "key").join(shared, "key").distinct())
+    pairs, stars, degrees = [], [], []
+    while True:
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.count_if(~F.col("longer")).alias("own"), F.min(F.when(~F.col("longer"), F.col("lid"))).alias("head"))
+        live = written(rows.join(written(sizes.filter("m > 1 and own > 0")), "key"))
+        leaf, small = live.filter("size = 1"), live.filter(f"size > 1 and m <= {hot}")
+        pairs += [written(_pairs(small)), written(_single(leaf))]
+        same = leaf.filter("not longer and own > 1")
+        stars.append(same.filter("lid <> head").select(F.col("head").alias("a"), F.col("lid").alias("b")))
+        degrees.append(same.select("lid", (F.col("own") - 1).alias("links")))
+        large = live.filter(f"size > 1 and m > {hot}")
+        if large.isEmpty():
+            break
+        rows = written(_cut(large.select(*rows.columns), fan))
+    found = reduce(DataFrame.unionByName, pairs)
+    degrees.append(found.select(F.explode(F.array("a", "b")).alias("lid")).groupBy("lid").agg(F.count(F.lit(1)).alias("links")))
+    count = reduce(DataFrame.unionByName, degrees).groupBy("lid").agg(F.sum("links").alias("links"))
+    return reduce(DataFrame.unionByName, stars, found), written(count)
+
+
+def duplicate_lines(docs: DataFrame, least: int = 24) -> DataFrame:
     """(rid, did, removed, n_links): for each document with any, the numbers of the lines that go, and its lines' links.
 
-    Lines that equal one another, or that links of near_links connect, are a class; its first line, by doc_id and then
+    Lines that equal one another, or that links of one_edit connect, are a class; its first line, by doc_id and then
     place, stays. Lines of white space are left alone. Rows alike in doc_id and text count as one document.
     """
     lines = split_lines(docs)
     place = F.struct("did", "rid", "idx")
     found = written(lines.groupBy("lid").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
-    links = near_links(lines, threshold, least)
+    links, degree = one_edit(lines, least)
     classes = components(links).withColumnsRenamed({"node": "lid"})
-    degree = links.select(F.explode(F.array("a", "b")).alias("lid")).groupBy("lid").agg(F.count(F.lit(1)).alias("links"))
     known = found.join(classes, "lid", "left").join(degree, "lid", "left").filter("n > 1 or root is not null")
     known = written(known.withColumn("root", F.coalesce("root", "lid")))
     keeper = known.groupBy("root").agg(F.min("first").alias("keep"))
-    judged = known.join(keeper, "root").select("lid", "keep", F.coalesce("links", F.lit(0)).alias("links"))
-    rows = lines.select(*_KEY, "idx", "lid").join(judged, "lid").withColumn("gone", place != F.col("keep"))
-    return rows.groupBy(*_KEY).agg(F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("idx")))).alias("removed"), F.sum("links").cast("long").alias("n_links"))
+    judged = written(known.join(keeper, "root").select("lid", "keep", F.coalesce("links", F.lit(0)).alias("links")))
+    rows = lines.select(*_KEY, "idx", "lid").join(judged, "lid").select(*_KEY, "idx", (place != F.col("keep")).alias("gone"), "links")
+    mine = rows.groupBy(*_KEY).agg(F.collect_set(F.struct("idx", "gone", "links")).alias("x"))
+    removed = F.array_sort(F.transform(F.filter("x", lambda e: e["gone"]), lambda e: e["idx"]))
+    return mine.select(*_KEY, removed.alias("removed"), F.aggregate("x", F.lit(0).cast("long"), lambda s, e: s + e["links"]).alias("n_links"))
+
+
+def _judged(docs: DataFrame, least: int) -> tuple[DataFrame, str]:
+    """docs with a further column, a struct (text, n_lines, n_removed, n_links), whose name is returned too."""
+    rid, did, new = unlike(docs, "rid"), unlike(docs, "did"), unlike(docs, "new")
+    text, doc_id = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
+    keyed = docs.withColumns({rid: F.xxhash64(doc_id, text), did: F.coalesce(doc_id, F.lit(0))})
+    gone = duplicate_lines(docs, least).select(F.col("rid").alias(rid), F.col("did").alias(did), F.struct("removed", "n_links").alias(new))
+    lines, empty = F.split(text, "\n"), F.array().cast("array<int>")
+    removed = F.coalesce(F.col(f"{new}.removed"), empty)
+    kept = F.when(F.size(removed) == 0, text).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(removed, i)), "\n"))
+    what = F.struct(kept.alias("text"), F.size(lines).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), F.coalesce(F.col(f"{new}.n_links"), F.lit(0)).alias("n_links"))
+    return keyed.join(gone, [rid, did], "left").withColumn(new, what).select(*docs.columns, new), new
 
 
-def dedup_lines(docs: DataFrame, threshold: int = 1, least: int = 24) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 24) -> DataFrame:
     """docs with text cut to its first lines, and n_lines, n_removed, n_links; one row a document, all columns stay.
 
-    A null text is empty: one blank line, which stays. An empty table gives an empty result. Columns of docs with the
-    names of the new ones are replaced.
+    A line links to those one edit away, if the shorter has `least` characters (an edit for `least` characters is the
+    measure of likeness, so shorter lines are alike only if equal); n_links adds up the links of the document's lines. A
+    null text is empty: one blank line, which stays. A null doc_id counts as 0 for which line is first. Repeated rows are
+    one document, and each of them is returned. An empty table gives an empty result. Columns of docs named like the new
+    ones are replaced.
     """
-    plain = docs.drop("n_lines", "n_removed", "n_links", "_rid", "_did")
-    text, doc_id = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
-    keyed = plain.withColumns({"_rid": F.xxhash64(doc_id, text), "_did": F.coalesce(doc_id, F.lit(0))})
-    gone = duplicate_lines(plain, threshold, least).withColumnsRenamed({"rid": "_rid", "did": "_did"})
-    out = keyed.join(gone, ["_rid", "_did"], "left").drop("_rid", "_did")
-    lines = F.split(text, "\n")
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    kept = F.when(F.size(removed) == 0, text).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(removed, i)), "\n"))
-    out = out.withColumns({"n_lines": F.size(lines).cast("long"), "n_removed": F.size(removed).cast("long"), "n_links": F.coalesce("n_links", F.lit(0)), "text": kept})
-    return out.select(*plain.columns, "n_lines", "n_removed", "n_links")
+    out, new = _judged(docs.drop("n_lines", "n_removed", "n_links"), least)
+    return out.withColumn("text", F.col(f"{new}.text")).select("*", f"{new}.n_lines", f"{new}.n_removed", f"{new}.n_links").drop(new)
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -248,9 +196,14 @@ def digest(docs: DataFrame) -> DataFrame:
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_lines", "n_removed", "n_links", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
 
 
-def keep_first_lines(docs: DataFrame, threshold: int = 1, least: int = 24) -> DataFrame:
-    """docs with each class of lines once; documents of which no line is left go. n_chars, if there, follows the text."""
-    out = dedup_lines(docs, threshold, least).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x09-\x0D\x20]"))
+def keep_first_lines(docs: DataFrame, least: int = 24) -> DataFrame:
+    """docs with each class of lines once (see dedup_lines); documents of which no line is left go.
+
+    The columns are those of docs, whatever their names; n_chars, if there, follows the text.
+    """
+    out, new = _judged(docs, least)
+    text = F.col(f"{new}.text")
+    out = out.filter((F.col(f"{new}.n_removed") == 0) | text.rlike(r"[^\x09-\x0D\x20]")).withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
