@@ -13,11 +13,13 @@ from pyspark.sql.types import StructType
 from newsprint.llm.common import docs_of, map_arrow, written
 
 TOKENIZER = "word_bpe_49k.json"
-_MARK = "~"
 
-
-#: A chunk of Latin letters and, after them, signs that the tokenizer splits off as one piece.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*%#$&|()-]*)")
+#: What the tokenizer takes for white space (not U+001C to U+001F, which are tokens).
+_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: ASCII and the Latin letters of U+00C0 to U+00FF, of which every one is a character of its own in normal form.
+_PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+#: How the tokenizer splits lower-cased plain text.
+_PIECE = re.compile(r"[a-zß-öø-ÿ]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\s0-9a-zß-öø-ÿ]+")
 
 
 class _Recent(dict):
@@ -39,73 +41,67 @@ class _Recent(dict):
             self.clear()
 
 
-class ChunkEncoder:
-    """Token ids of whole texts, from the ids of their chunks between white space.
+class PieceEncoder:
+    """Token ids of whole texts, from the ids of the pieces that the tokenizer splits them into.
 
-    The tokenizer drops white space and never joins what it separates, so a text's ids are those of its chunks in a row.
-    It lower-cases, and letters and signs are pieces of their own, so a simple chunk's ids are those of its lower-cased
-    word and of its signs. Tables of bounded size hold chunks and words met before; new words are encoded together, set
-    apart by a mark whose single id shows where a word ends. Chunks that hold the mark themselves go one by one.
+    Plain text is lower-cased and split here, and the tokenizer's model gives the ids of each new piece; a table of bounded
+    size holds those met before. The tokenizer drops white space and never joins what it separates, so of other text the
+    chunks between white space are encoded whole, and are pieces like any other (a chunk that is not plain, or holds the
+    beginning of a special string, is never a plain piece).
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        (self.mark,) = self.ids_of(_MARK)
-        self.chunks, self.words = _Recent(most), _Recent(most)
+        self.model = self.tokenizer.model
+        in_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: in_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self.known = _Recent(most)
 
     def ids_of(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces, which have no white space."""
-        plain = [c for c in pieces if _MARK not in c and "<|" not in c]
-        out = {c: np.array(self.ids_of(c), "<u4").tobytes() for c in set(pieces).difference(plain)}
-        for at in range(0, len(plain), 500):
-            some = plain[at : at + 500]
-            ids = np.array(self.ids_of(f" {_MARK} ".join(some)), "<u4")
-            ends = np.flatnonzero(ids == self.mark)
-            if len(ends) != len(some) - 1:
-                raise ValueError("the tokenizer joined chunks")
-            raw = ids.tobytes()
-            starts = [0, *(4 * (ends + 1)).tolist()]
-            for c, lo, hi in zip(some, starts, [*(4 * ends).tolist(), len(raw)], strict=True):
-                out[c] = raw[lo:hi]
+    def pieces(self, text: str) -> list[str]:
+        if "<|" not in text and _PLAIN.fullmatch(text):
+            return _PIECE.findall(text.lower())
+        chunks = _SPACES.split(text)
+        if len(chunks) == 1:
+            return [text]
+        out: list[str] = []
+        for c in chunks:
+            if c:
+                out += self.pieces(c)
         return out
 
-    def add(self, fresh: list[str]) -> None:
-        simple = {c: (m[1].lower(), m[2]) for c in fresh if (m := _SIMPLE.fullmatch(c))}
-        parts = {p for pair in simple.values() for p in pair if p}
-        known = self.words
-        missing = [p for p in parts if known[p] is None]
-        new = self.learn(missing)
-        table = {p: new[p] if p in new else known[p] for p in parts} | {"": b""}
-        known.make_room(len(new))
-        known.update(new)
-        self.chunks.make_room(len(fresh))
-        self.chunks.update((c, table[w] + table[signs]) for c, (w, signs) in simple.items())
-        self.chunks.update(self.learn([c for c in fresh if c not in simple]))
+    def learn(self, piece: str) -> bytes:
+        if "<|" in piece or not _PLAIN.fullmatch(piece):
+            return np.array(self.ids_of(piece), "<u4").tobytes()
+        part = piece if piece.isascii() else piece.translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(part)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        get = self.chunks.__getitem__
+        get = self.known.__getitem__
         out = []
         for at in range(0, len(texts), 256):
-            split = [t.split() for t in texts[at : at + 256]]
-            fresh = [c for c in {c for words in split for c in words}.difference(self.chunks) if get(c) is None]
-            self.add(fresh)
-            out += [b"".join(map(get, words)) for words in split]
+            split = [self.pieces(t) for t in texts[at : at + 256]]
+            fresh = [p for p in set().union(*split).difference(self.known) if get(p) is None]
+            self.known.make_room(len(fresh))
+            # What was moved to the older generation just now is asked for again.
+            self.known.update((p, self.learn(p)) for p in fresh)
+            out += [b"".join(map(get, pieces)) for pieces in split]
         return out
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str) -> PieceEncoder:
     """One encoder a worker process and file."""
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
+        _encoders[path] = PieceEncoder(path)
     return _encoders[path]
 
 

@@ -544,13 +544,18 @@ def test_packing(docs, texts, none):
     assert packing.pack(none).collect() == []
 
 
-def test_chunks_are_local():
+def test_pieces_give_the_tokenizers_ids():
     import public_tokenizers
 
     e = packing.encoder(public_tokenizers.path(packing.TOKENIZER))
     cases = ["~ a~b ~~", "it's WE'LL İstanbul ΣΑΣ naïve é ́x", "a b c　d", "x<|endoftext|>y z", "", "tab\tnew\nline", "1234 5.6,7 ...!", "😀 👩‍👩‍👧"]
     cases += ["Word, word. WORD!! (no) Çà ÷× straße; Éöÿ- x_y it's, ... a.b", *(prose(random.Random(i), 40) for i in range(20))]
-    small = packing.ChunkEncoder(public_tokenizers.path(packing.TOKENIZER), 30)  # forgets all the time
+    # every control, space and Latin character, and marks, between, before and after letters
+    odd = [chr(c) for c in [*range(0x250), *range(0x300, 0x308), *range(0x2000, 0x2070), 0x1680, 0x3000, 0xFEFF, 0xFFFD, 0x1F600, 0xE0001]]
+    cases += [x for c in odd for x in (f"a{c}b", f"{c}A {c} 1{c}", f"'s{c}'{c}ll")]
+    rng = random.Random(0)
+    cases += ["".join(rng.choices(odd + list("abAB 12.'!") * 40, k=rng.randrange(1, 40))) for _ in range(1500)]
+    small = packing.PieceEncoder(public_tokenizers.path(packing.TOKENIZER), 30)  # forgets all the time
     for encoder in (e, small):
         for _ in range(2):
             assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(cases)] == [e.ids_of(c) for c in cases]
