@@ -1,4 +1,4 @@
-"""Repeated byte strings across a corpus: sampled suffixes in buckets that are refined by names of longer strings."""
+"""Repeated byte strings across a corpus: buckets of sampled suffixes, refined by the identifiers of later offsets."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from newsprint.llm.common import docs_of, map_arrow, row_key, written
 _CHUNK = 1 << 20
 _KEY = ["rid", "did"]
 _POS = np.int64((1 << 24) - 1)
+#: Two odd numbers: two identifiers of 64 bits each tell strings apart.
+_BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -21,12 +23,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class _Names:
-    """64-bit names of all q-byte strings of a text, by a rolling polynomial with wrapping arithmetic."""
+def _pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The identifier that a bucket x gets by the bucket y at a later offset."""
+    with np.errstate(over="ignore"):
+        return _mix(x * np.uint64(0x9FB21C651E98DF25) + (y ^ (y >> np.uint64(29))) + np.uint64(1))
 
-    def __init__(self, most: int):
+
+class _Grams:
+    """Identifiers of all q-byte strings of a text, the initial buckets: a rolling polynomial with wrapping arithmetic."""
+
+    def __init__(self, base: int, most: int):
         with np.errstate(over="ignore"):
-            base = 0x9E3779B97F4A7C15 | 1
             self.byte = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(base))
             self.power = np.cumprod(np.r_[np.uint64(1), np.full(most, base, np.uint64)])
             self.inverse = np.cumprod(np.r_[np.uint64(1), np.full(most, pow(base, -1, 1 << 64), np.uint64)])
@@ -38,6 +45,54 @@ class _Names:
             return _mix((sums[q:] - sums[:-q]) * self.inverse[: len(data) - q + 1])
 
 
+_grams: list[_Grams] = []
+
+
+def _tables() -> list[_Grams]:
+    if not _grams:
+        _grams.extend(_Grams(base, _CHUNK + 4096) for base in _BASES)
+    return _grams
+
+
+def identifiers(data: bytes, starts: np.ndarray, length: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two identifiers of the `length`-byte strings of a text that begin at `starts`.
+
+    Bucket pointers: a bucket of q bytes is refined by the bucket at offset q, which gives the buckets of 2 q bytes, these
+    by one another at offset 2 q, and so on; every pass works on the identifiers of the last one. A string whose length
+    lies between two passes is the pair of the buckets that it begins and ends with.
+    """
+    raw = np.frombuffer(data, np.uint8)
+    out = np.zeros((2, len(starts)), np.uint64)
+    step = max(1, _CHUNK - length)
+    part_of = starts // step
+    for part in np.unique(part_of).tolist():
+        mine = part_of == part
+        at = starts[mine] - part * step
+        near = raw[part * step : part * step + int(at.max()) + length]
+        for lane, grams in enumerate(_tables()):
+            ids, size = grams.of(near, q), q
+            while 2 * size <= length:
+                ids, size = _pair(ids[:-size], ids[size:]), 2 * size
+            out[lane, mine] = _pair(ids[at], ids[at + length - size])
+    return out[0].view(np.int64), out[1].view(np.int64)
+
+
+def _run(data: bytes, first: np.ndarray, last: np.ndarray, length: int, q: int, *parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Identifiers of runs of windows: of all bytes from a first window to a last one, and numbers that go with them.
+
+    The windows of a run overlap, so the buckets of the first and the last one tell all of its bytes.
+    """
+    ids = identifiers(data, np.r_[first, last], length, q)
+    out = []
+    for x in ids:
+        x = x.view(np.uint64)
+        h = _pair(x[: len(first)], x[len(first) :])
+        for y in parts:
+            h = _pair(h, y.astype(np.uint64))
+        out.append(h.view(np.int64))
+    return out[0], out[1]
+
+
 def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     """Least of every w values in a row (van Herk's two passes)."""
     n = len(x) - w + 1
@@ -48,9 +103,6 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-_names: list[_Names] = []
-
-
 def anchors(data: bytes, length: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places p, their names, and lo, hi: the windows of `length` bytes that start at p - hi .. p - lo point at p.
 
@@ -60,13 +112,11 @@ def anchors(data: bytes, length: int, q: int) -> tuple[np.ndarray, np.ndarray, n
     if len(data) < length:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, empty
-    if not _names:
-        _names.append(_Names(_CHUNK + 4096))
     raw = np.frombuffer(data, np.uint8)
     out = []
     for base in range(0, len(raw) - length + 1, _CHUNK - 4096):
         part = raw[base : base + _CHUNK - 4096 + length - 1]
-        names = _names[0].of(part, q)
+        names = _tables()[0].of(part, q)
         packed = ((names >> np.uint64(25)) << np.uint64(24)).astype(np.int64) | np.arange(len(names))
         at = _window_min(packed, length - q + 1) & _POS
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
@@ -76,22 +126,28 @@ def anchors(data: bytes, length: int, q: int) -> tuple[np.ndarray, np.ndarray, n
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _name(*parts: object, data: bytes) -> bytes:
-    import xxhash
+def _by_document(rows: DataFrame, texts: DataFrame, *fields: str) -> DataFrame:
+    """Different rows gathered for the document they belong to (no more than its own bytes give), with its text."""
+    return texts.join(rows.groupBy(*_KEY).agg(F.collect_set(F.struct(*fields)).alias("at")), _KEY)
 
-    return xxhash.xxh3_128_digest(data + repr(parts).encode())
 
+def _listed(mine: list[dict], *fields: str) -> list[np.ndarray]:
+    return [np.array([m[f] for m in mine], np.int64) for f in fields]
 
-def _by_document(rows: DataFrame, texts: DataFrame, *fields: str) -> DataFrame:
-    """Rows gathered for the document they belong to (there are no more than its own bytes give), with its text."""
-    return texts.join(rows.groupBy(*_KEY).agg(F.collect_list(F.struct(*fields)).alias("at")), _KEY)
+
+def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For all numbers from lo to hi of each row: the row, and the number."""
+    n = hi - lo + 1
+    row = np.repeat(np.arange(len(lo)), n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + lo[row]
 
 
 def _open_classes(rows: DataFrame, bucket: list[str], name: list[str], row: list[str]) -> tuple[DataFrame, DataFrame]:
     """Names that two rows or more share; and one row of each name in buckets of more than one name."""
-    classes = written(rows.groupBy(*bucket, *name).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*row)).alias("one")))
+    # All columns of one row: `first` takes them together.
+    classes = written(rows.groupBy(*bucket, *name).agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in row]))
     several = written(classes.groupBy(*bucket).agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").drop("classes"))
-    return classes.filter("n > 1").select(*bucket, *name), classes.join(several, bucket).select("one.*")
+    return classes.filter("n > 1").select(*bucket, *name), classes.join(several, bucket).select(*row)
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, q: int = 50, block: int = 32) -> DataFrame:
@@ -99,19 +155,20 @@ def repeated_spans(docs: DataFrame, length: int = 400, q: int = 50, block: int =
     start anywhere else too, in the same document or another.
 
     Bucket-pointer refinement over sampled suffixes. Suffixes at `anchors` (about two in `length` bytes) fall into
-    buckets by their first q bytes; buckets of one are done. The others are refined by names of longer strings around the
-    suffix, and what is settled at a depth is used again below it:
-    1. all windows that point at a suffix, as one string: equal names settle all of these windows at once, and one
-       suffix stands for the class from here on;
+    buckets by their first q bytes; buckets of one are done. The others are refined by the identifiers of buckets at other
+    offsets, which are themselves made by refining (see identifiers), and what is settled in a pass is used again below it:
+    1. all windows that point at a suffix, by the buckets of the first and the last one: equal identifiers settle all of
+       these windows at once, and one suffix stands for the class from here on;
     2. classes left in a bucket with others: blocks of `block` windows, first bucketed by the bytes that all of a
-       block's windows share, then named by all of their bytes;
-    3. single windows of blocks that share a bucket but not a name.
-    Names are 128-bit hashes. Every step is a group-by with partial sums and an equi-join, so no bucket is ever gathered,
-    whatever its size; a document's own rows are gathered with its text (once, for documents with a shared bucket).
+       block's windows share, then refined by the buckets of its first and last window;
+    3. single windows of blocks that share a bucket but not an identifier.
+    Identifiers have 128 bits and follow from the bytes alone, so tasks agree on them without a global order. Every pass is
+    a group-by with partial sums and an equi-join, so no bucket is ever gathered, whatever its size; a document's own
+    rows are gathered with its text (once, for documents with a shared bucket).
 
     Strings are judged as UTF-8 bytes on the input; a null text is empty. Texts shorter than `length` keep all their
-    bytes. Rows alike in doc_id and text repeat each other. An empty table gives an empty result; further columns are
-    ignored.
+    bytes. Rows alike in doc_id and text repeat each other; a row that stands R times is gathered once, not R times. An
+    empty table gives an empty result; further columns are ignored, whatever their names.
     """
     keyed = docs_of(docs).select("doc_id", F.encode("text", "utf-8").alias("data"), *row_key())
 
@@ -131,61 +188,54 @@ def repeated_spans(docs: DataFrame, length: int = 400, q: int = 50, block: int =
     chosen = at.join(shared, "name", "left_semi")
 
     def context(cols: dict[str, list]) -> dict[str, object]:
-        out = []
+        out: dict[str, list] = {c: [] for c in ("pos", "name", "lo", "hi", "w1", "w2")}
         for data, mine in zip(cols["data"], cols["at"], strict=True):
-            wanted = np.array([m["pos"] for m in mine])
             p, name, lo, hi = anchors(data, length, q)
-            keep = np.isin(p, wanted)
-            out.append(
-                [
-                    {"pos": a, "name": n, "lo": x, "hi": y, "whole": _name(x, y, data=data[a - y : a - x + length])}
-                    for a, n, x, y in zip(p[keep].tolist(), name[keep].tolist(), lo[keep].tolist(), hi[keep].tolist(), strict=True)
-                ]
-            )
-        return {c: cols[c] for c in ("doc_id", *_KEY, "data")} | {"a": out}
-
-    texts = written(
-        map_arrow(
-            _by_document(chosen, keyed, "pos"),
-            "doc_id long, rid long, did long, data binary, a array<struct<pos: int, name: long, lo: int, hi: int, whole: binary>>",
-            context,
-        )
-    )
-    suffixes = texts.select(*_KEY, F.explode("a").alias("a")).select(*_KEY, "a.*")
-    texts = texts.drop("a")
-    same, left = _open_classes(suffixes, ["name"], ["whole"], [*_KEY, "pos", "lo", "hi"])
-    settled = [suffixes.join(same, ["name", "whole"], "left_semi").select(*_KEY, (F.col("pos") - F.col("hi")).alias("s"), (F.col("pos") - F.col("lo")).alias("e"))]
+            keep = np.isin(p, _listed(mine, "pos")[0])
+            p, name, lo, hi = p[keep], name[keep], lo[keep], hi[keep]
+            for c, v in zip(out, (p, name, lo, hi, *_run(data, p - hi, p - lo, length, q, lo, hi)), strict=True):
+                out[c].append(v)
+        return {c: cols[c] for c in ("doc_id", *_KEY, "data")} | out
+
+    arrays = "pos array<int>, name array<long>, lo array<int>, hi array<int>, w1 array<long>, w2 array<long>"
+    texts = written(map_arrow(_by_document(chosen, keyed, "pos"), f"doc_id long, rid long, did long, data binary, {arrays}", context))
+    names = ("pos", "name", "lo", "hi", "w1", "w2")
+    suffixes = texts.select(*_KEY, F.explode(F.arrays_zip(*names)).alias("a")).select(*_KEY, "a.*")
+    texts = texts.drop(*names)
+    same, left = _open_classes(suffixes, ["name"], ["w1", "w2"], [*_KEY, "pos", "lo", "hi"])
+    starts = [F.col("pos") - F.col("hi"), F.col("pos") - F.col("lo")]
+    settled = [suffixes.join(same, ["name", "w1", "w2"], "left_semi").select(*_KEY, starts[0].alias("s"), starts[1].alias("e"))]
 
     def blocks(cols: dict[str, list]) -> dict[str, object]:
-        out: dict[str, list] = {c: [] for c in (*_KEY, "pos", "b", "lo", "hi", "core", "whole")}
+        out: dict[str, list] = {c: [] for c in (*_KEY, "pos", "lo", "hi", "c1", "c2", "w1", "w2")}
         for rid, did, data, mine in zip(cols["rid"], cols["did"], cols["data"], cols["at"], strict=True):
-            for m in mine:
-                p = m["pos"]
-                for b in range(m["lo"] // block, m["hi"] // block + 1):
-                    lo, hi = max(m["lo"], b * block), min(m["hi"], (b + 1) * block - 1)
-                    core = _name(b, data=data[p - b * block : p - (b + 1) * block + 1 + length])
-                    for c, v in zip(out, (rid, did, p, b, lo, hi, core, _name(b, lo, hi, data=data[p - hi : p - lo + length])), strict=True):
-                        out[c].append(v)
-        return out
+            p, low, high = _listed(mine, "pos", "lo", "hi")
+            row, b = _spread(low // block, high // block)
+            p, lo, hi = p[row], np.maximum(low[row], b * block), np.minimum(high[row], (b + 1) * block - 1)
+            core = [_pair(x.view(np.uint64), b.astype(np.uint64)).view(np.int64) for x in identifiers(data, p - b * block, length + 1 - block, q)]
+            values = (np.full(len(p), rid), np.full(len(p), did), p, lo, hi, *core, *_run(data, p - hi, p - lo, length, q, b, lo, hi))
+            for c, v in zip(out, values, strict=True):
+                out[c].append(v)
+        return {c: np.concatenate(v) if v else [] for c, v in out.items()}
 
-    parts = map_arrow(_by_document(left, texts, "pos", "lo", "hi"), "rid long, did long, pos int, b int, lo int, hi int, core binary, whole binary", blocks)
+    parts = map_arrow(_by_document(left, texts, "pos", "lo", "hi"), "rid long, did long, pos int, lo int, hi int, c1 long, c2 long, w1 long, w2 long", blocks)
     parts = written(parts)
-    same, left = _open_classes(parts, ["core"], ["whole"], [*_KEY, "pos", "lo", "hi"])
-    settled.append(parts.join(same, ["core", "whole"], "left_semi").select(*_KEY, (F.col("pos") - F.col("hi")).alias("s"), (F.col("pos") - F.col("lo")).alias("e")))
+    same, left = _open_classes(parts, ["c1", "c2"], ["w1", "w2"], [*_KEY, "pos", "lo", "hi"])
+    settled.append(parts.join(same, ["c1", "c2", "w1", "w2"], "left_semi").select(*_KEY, starts[0].alias("s"), starts[1].alias("e")))
 
     def windows(cols: dict[str, list]) -> dict[str, object]:
-        out: dict[str, list] = {c: [] for c in (*_KEY, "s", "whole")}
+        out: dict[str, list] = {c: [] for c in (*_KEY, "s", "w1", "w2")}
         for rid, did, data, mine in zip(cols["rid"], cols["did"], cols["data"], cols["at"], strict=True):
-            for m in mine:
-                for s in range(m["pos"] - m["hi"], m["pos"] - m["lo"] + 1):
-                    for c, v in zip(out, (rid, did, s, _name(data=data[s : s + length])), strict=True):
-                        out[c].append(v)
-        return out
+            p, lo, hi = _listed(mine, "pos", "lo", "hi")
+            _, s = _spread(p - hi, p - lo)
+            for c, v in zip(out, (np.full(len(s), rid), np.full(len(s), did), s, *identifiers(data, s, length, q)), strict=True):
+                out[c].append(v)
+        return {c: np.concatenate(v) if v else [] for c, v in out.items()}
 
-    single = written(map_arrow(_by_document(left, texts, "pos", "lo", "hi"), "rid long, did long, s int, whole binary", windows))
-    twice = written(single.groupBy("whole").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("whole"))
-    settled.append(single.join(twice, "whole", "left_semi").select(*_KEY, "s", F.col("s").alias("e")))
-    starts = settled[0].unionByName(settled[1]).unionByName(settled[2])
+    single = written(map_arrow(_by_document(left, texts, "pos", "lo", "hi"), "rid long, did long, s int, w1 long, w2 long", windows))
+    twice = written(single.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2"))
+    settled.append(single.join(twice, ["w1", "w2"], "left_semi").select(*_KEY, "s", F.col("s").alias("e")))
+    found = settled[0].unionByName(settled[1]).unionByName(settled[2])
 
     def remove(cols: dict[str, list]) -> dict[str, object]:
         out: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "spans", "n_removed", "kept_sha256")}
@@ -198,7 +248,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, q: int = 50, block: int =
         return out
 
     schema = "doc_id long, n_bytes long, spans array<struct<s: int, e: int>>, n_removed long, kept_sha256 string"
-    ranges = written(starts.groupBy(*_KEY).agg(F.collect_list(F.struct("s", "e")).alias("at")))
+    ranges = written(found.groupBy(*_KEY).agg(F.collect_set(F.struct("s", "e")).alias("at")))
     touched = map_arrow(texts.join(ranges, _KEY), schema, remove)
     clean = scanned.join(ranges, _KEY, "left_anti")
     none = F.expr("cast(array() as array<struct<s: int, e: int>>)")
