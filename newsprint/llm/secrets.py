@@ -7,6 +7,7 @@ import binascii
 import hashlib
 import json
 import re
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 
@@ -17,13 +18,16 @@ _STARTS = ("passw", "secret", "token", "api")
 _LONG = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
-_HEX_ANY = re.compile(r"(?:[0-9a-fA-F]{2}){24,}")
+_HEX_ANY = re.compile(r"[0-9a-fA-F]{48,}")
 _B64 = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 _SEGMENT = re.compile(r"[A-Za-z0-9_-]{8,}")
 _TAIL = re.compile(r"\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-#: How a JSON object, a DER sequence and an ssh key begin in base64.
-_OBJECT = re.compile(r"e[w-z0-9_-]")
-_OPENING = re.compile(r"(?=(M[A-I]|AAAA|b3BlbnNzaC1rZXk))")
+#: How a DER sequence and an ssh key begin in base64, and in hex.
+_OPENING = re.compile(r"(?=M[A-I]|AAAA[B-P][GHWXmn23]|b3BlbnNzaC1rZXk)")
+_HEX_OPENING = re.compile(r"(?=30(?:8[1-4]|[1-7])|000000[0-3][0-9a-f](?:73|65)|6f70656e7373682d6b6579)", re.I)
+_MAGIC = b"openssh-key-v1\0"
+#: Keys have fewer parts than this at any level.
+_PARTS = 64
 _PEM = re.compile(
     r"-----BEGIN ([A-Z0-9 ]{0,40}KEY)-----(?:\s|\\[rn])*((?:[A-Za-z][A-Za-z0-9-]{0,40}: [^\n\\]{0,200}(?:\n|\\[rn])(?:\s|\\[rn])*){0,8}+)"
     r"((?:[A-Za-z0-9+/=\s]|\\[rn]){16,}?)-----END \1-----"
@@ -41,112 +45,152 @@ def _b64(text: str) -> bytes | None:
         return None
 
 
-def _der(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
-    """Tag, start and end of the element at a place; None if its length does not fit."""
-    if at + 2 > end:
+#: Bytes of a candidate from a place on, as many as asked for or as there are; decoded only where they are looked at.
+Read = Callable[[int, int], bytes]
+
+
+def _in_base64(text: str, at: int, hi: int) -> tuple[Read, int]:
+    """The bytes that base64 between two places stands for, and their number."""
+
+    def read(i: int, n: int) -> bytes:
+        lo = at + i // 3 * 4
+        return (_b64(text[lo : min(hi, at + -(-(i + n) // 3) * 4)]) or b"")[i % 3 : i % 3 + n]
+
+    return read, (hi - at) * 3 // 4
+
+
+def _in_hex(text: str, at: int, hi: int) -> tuple[Read, int]:
+    size = (hi - at) // 2
+    return lambda i, n: bytes.fromhex(text[at + 2 * i : at + 2 * min(size, i + n)]), size
+
+
+def _element(read: Read, at: int, end: int) -> tuple[int, int, int] | None:
+    """Tag, start and end of the DER element at a place; None if its length does not fit."""
+    head = read(at, 6)
+    if at + 2 > end or len(head) < 2:
         return None
-    tag, n, at = data[at], data[at + 1], at + 2
+    tag, n, at = head[0], head[1], at + 2
     if n & 0x80:
         width = n & 0x7F
-        if not 1 <= width <= 4 or at + width > end or data[at] == 0:
+        if not 1 <= width <= 4 or len(head) < 2 + width or head[2] == 0:
             return None
-        n, at = int.from_bytes(data[at : at + width], "big"), at + width
+        n, at = int.from_bytes(head[2 : 2 + width], "big"), at + width
     return (tag, at, at + n) if at + n <= end else None
 
 
-def _is_der_key(data: bytes) -> bool:
-    """A SEQUENCE that spans the data, whose elements' lengths nest and fit, with a key's integers, strings or algorithm."""
-    top = _der(data, 0, len(data))
-    if not top or top[0] != 0x30 or top[2] != len(data):
-        return False
-    at, end, tags = top[1], top[2], []
+def _elements(read: Read, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """The elements that fill a stretch, if they do."""
+    out = []
     while at < end:
-        item = _der(data, at, end)
-        if not item:
-            return False
-        if item[0] == 0x30:
-            inner = item[1]
-            while inner < item[2]:
-                part = _der(data, inner, item[2])
-                if not part:
-                    return False
-                inner = part[2]
-        tags.append(item[0])
+        item = _element(read, at, end)
+        if not item or len(out) == _PARTS:
+            return None
+        out.append(item)
         at = item[2]
-    return len(tags) >= 2 and (tags.count(0x02) >= 2 or 0x30 in tags and bool({0x03, 0x04} & set(tags)) or tags[:2] == [0x02, 0x04])
+    return out
 
 
-def _is_ssh_key(data: bytes) -> bool:
+def _der_key(read: Read, size: int) -> int | None:
+    """Bytes of the DER key that the data begin with: a SEQUENCE whose elements' lengths nest and fit, with a key's parts.
+
+    These are the integers of a key (of an RSA public key, a long one and another), or an algorithm with a string that
+    holds the key, or a version and the string of a curve's key. A string that begins like a SEQUENCE is parsed too.
+    """
+    top = _element(read, 0, size)
+    items = _elements(read, top[1], top[2]) if top and top[0] == 0x30 else None
+    if not items:
+        return None
+    for tag, lo, hi in items:
+        if tag == 0x30 and _elements(read, lo, hi) is None:
+            return None
+        lo += tag == 0x03
+        if tag in (0x03, 0x04) and read(lo, 1) == b"\x30" and ((inner := _element(read, lo, hi)) is None or inner[2] != hi or _elements(read, inner[1], hi) is None):
+            return None
+    tags = [tag for tag, *_ in items]
+    if set(tags) == {0x02}:
+        good = len(tags) > 4 or len(tags) == 2 and items[0][2] - items[0][1] >= 48
+    else:
+        good = 0x30 in tags and bool({0x03, 0x04} & set(tags)) or tags[:2] == [0x02, 0x04]
+    return top[2] if good else None
+
+
+def _ssh_key(read: Read, size: int) -> bool:
     """The private-key magic, or length-prefixed fields that begin with a key type and fill the data."""
-    magic = b"openssh-key-v1\0"
-    if data.startswith(magic):
-        data = data[len(magic) :]
-        n = int.from_bytes(data[:4], "big")
-        return 4 <= n + 4 <= len(data) and data[4 : 4 + n].isascii()
-    at, fields = 0, []
-    while at + 4 <= len(data):
-        n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + n > len(data):
+    if read(0, len(_MAGIC)) == _MAGIC:
+        n = int.from_bytes(read(len(_MAGIC), 4), "big")
+        return len(_MAGIC) + 4 + n <= size and read(len(_MAGIC) + 4, min(n, 64)).isascii()
+    at, fields = 0, 0
+    while at + 4 <= size and fields < _PARTS:
+        n = int.from_bytes(read(at, 4), "big")
+        if at + 4 + n > size or not fields and not read(4, min(n, 8)).startswith((b"ssh-", b"ecdsa-", b"sk-")):
             return False
-        fields.append(data[at + 4 : at + 4 + n])
-        at += 4 + n
-    return at == len(data) and len(fields) >= 2 and fields[0].startswith((b"ssh-", b"ecdsa-", b"sk-"))
+        at, fields = at + 4 + n, fields + 1
+    return at == size and fields >= 2
 
 
-def _is_token_header(text: str) -> bool:
-    data = _b64(text)
-    if data is None or not data.startswith(b"{"):
-        return False
-    try:
-        head = json.loads(data)
-    except ValueError:
-        return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str)
+def _key_bytes(read: Read, size: int) -> tuple[str, int] | None:
+    """Kind and length in bytes of the key that the data begin with."""
+    if _ssh_key(read, size):
+        return "ssh_key", size
+    end = _der_key(read, size)
+    return ("der_key", end) if end else None
 
 
-def _key_kind(data: bytes | None) -> str | None:
-    if not data:
-        return None
-    return "ssh_key" if _is_ssh_key(data) else "der_key" if _is_der_key(data) else None
+def _headers(data: bytes) -> Iterator[int]:
+    """Where, at bytes that a multiple of four characters precede, an object begins that ends with the data and names an algorithm."""
+    if not data.rstrip(b" \t\r\n").endswith(b"}"):
+        return
+    text = data.decode("latin-1")
+    size = len(text.rstrip())
+    for m in _OBJECT.finditer(text):
+        if m.start() % 3 == 0:
+            try:
+                head, end = _JSON.raw_decode(text, m.start())
+                if end == size and isinstance(head.get("alg"), str) and data[m.start() :].decode():
+                    yield m.start()
+            except (ValueError, RecursionError):
+                pass
+
+
+_OBJECT = re.compile(r"\{\s*\"")
+_JSON = json.JSONDecoder()
 
 
 def _tokens(text: str, lo: int, hi: int) -> list[tuple[int, int, str]]:
     """Signed tokens: a header may begin wherever a JSON object can, behind other words and dots too."""
     out, done = [], lo
     for seg in _SEGMENT.finditer(text, lo, hi):
-        if seg.start() < done or not (tail := _TAIL.match(text, seg.end(), hi)):
+        start, end = seg.span()
+        if start < done or not (tail := _TAIL.match(text, end, hi)):
             continue
-        for m in _OBJECT.finditer(text, seg.start(), seg.end() - 7):
-            # The first bytes settle most places, so that few are decoded whole.
-            if re.match(rb"\{\s*(\"[ -~]|\s|$)", _b64(text[m.start() : m.start() + 4]) or b"") and _is_token_header(text[m.start() : seg.end()]):
-                out.append((m.start(), tail.end(), "jwt"))
-                done = tail.end()
-                break
+        found = [start + shift + at // 3 * 4 for shift in range(4) for at in _headers(_b64(text[start + shift : end]) or b"")]
+        if found:
+            out.append((min(found), tail.end(), "jwt"))
+            done = tail.end()
     return out
 
 
-def _key_inside(text: str, lo: int, hi: int) -> list[tuple[int, int, str]]:
+def _keys(text: str, lo: int, hi: int) -> list[tuple[int, int, str]]:
     """Keys inside a run of base64, at their known openings; a DER key ends where its length says."""
     out, done = [], lo
-    for m in _OPENING.finditer(text, lo, hi):
-        at, end = m.start(), hi
-        if at < done:
-            continue
-        head = _b64(text[at : min(at + 24, hi) - (min(at + 24, hi) - at) % 4])
-        if m[1][0] == "M":
-            width = head[1] & 0x7F if head and len(head) > 6 and head[1] & 0x80 else 0
-            if not head or len(head) < 7 or width > 4:
-                continue
-            size = 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])
-            end = at + -(-size * 4 // 3)
-            if end > hi:
-                continue
-            end += len(re.match("={0,2}", text[end:hi])[0]) if size % 3 else 0
-        elif not head or m[1] == "AAAA" and not head[4:].startswith((b"ssh-", b"ecdsa-", b"sk-")):
-            continue
-        if kind := _key_kind(_b64(text[at:end])):
-            out.append((at, end, kind))
-            done = end
+    end = hi - (hi - lo - len(text[lo:hi].rstrip("=")))
+    for m in _OPENING.finditer(text, lo, end):
+        at = m.start()
+        if at >= done and (key := _key_bytes(*_in_base64(text, at, end))):
+            done = at + -(-key[1] * 4 // 3)
+            done = hi if done == end else done
+            out.append((at, done, key[0]))
+    return out
+
+
+def _hex_keys(text: str, lo: int, hi: int) -> list[tuple[int, int, str]]:
+    """Keys inside a run of hex digits."""
+    out, done = [], lo
+    for m in _HEX_OPENING.finditer(text, lo, hi):
+        at = m.start()
+        if at >= done and (key := _key_bytes(*_in_hex(text, at, hi))):
+            done = at + 2 * key[1]
+            out.append((at, done, key[0]))
     return out
 
 
@@ -155,7 +199,8 @@ def _is_pem_key(headers: str, body: str) -> bool:
     data = _b64("".join(re.sub(r"\\[rn]", " ", body).split()))
     if _ENCRYPTED.match(headers):
         return bool(data) and len(data) % 8 == 0
-    return bool(_key_kind(data))
+    key = _key_bytes(lambda i, n: data[i : i + n], len(data)) if data else None
+    return bool(key) and key[1] == len(data)
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
@@ -169,14 +214,10 @@ def scan(text: str) -> list[tuple[int, int, str]]:
         out += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text, lo, hi) if m.end() - m.start() >= 20]
         out += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text, lo, hi) if m.end() - m.start() >= 24]
         for m in _HEX_ANY.finditer(text, lo, hi):
-            if kind := _key_kind(bytes.fromhex(m[0])):
-                out.append((m.start(), m.end(), kind))
+            out += _hex_keys(text, *m.span())
         out += _tokens(text, lo, hi)
         for m in _B64.finditer(text, lo, hi):
-            if kind := _key_kind(_b64(m[0])):
-                out.append((m.start(), m.end(), kind))
-            else:
-                out += _key_inside(text, m.start(), m.end())
+            out += _keys(text, *m.span())
     if "-----BEGIN " in text:
         out += [(m.start(), m.end(), "pem_key") for m in _PEM.finditer(text) if _is_pem_key(m[2], m[3])]
     return sorted(set(out), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
@@ -192,8 +233,9 @@ def findings(docs: DataFrame) -> DataFrame:
     Base patterns find assignments, access key ids and long hex runs. Structural confirmation then decodes base64 and
     hex candidates and reports those that parse: DER sequences with nested lengths, ssh keys with length-prefixed
     fields, PEM blocks whose body is one of these, and signed tokens whose header is JSON that names an algorithm. It
-    only adds spans. A null text is empty and has none; every row is judged alone, so copies and a null doc_id are no
-    special case. Further columns are ignored.
+    only adds spans. A null text is empty and has none; every row is judged alone, so copies, ties and a null doc_id are no
+    special case. The time goes with a text's length, whatever it holds: candidates are parsed where they are looked at. An
+    empty table gives an empty result. Further columns are ignored, whatever their names.
     """
 
     def rows(cols: dict[str, list]) -> dict[str, object]:
