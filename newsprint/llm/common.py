@@ -51,8 +51,8 @@ def docs_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def map_arrow(df: DataFrame, schema: str | StructType, rows: Callable[[dict[str, list]], dict[str, object]]) -> DataFrame:
-    """mapInArrow by a function from columns of a batch (as Python lists) to columns of the result."""
+def map_arrow(df: DataFrame, schema: str | StructType, rows: Callable[[dict[str, list]], dict[str, object]], most: int = 8 << 20) -> DataFrame:
+    """mapInArrow by a function from columns (as Python lists) of `most` bytes or a row to columns of the result."""
     target = StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +60,7 @@ def map_arrow(df: DataFrame, schema: str | StructType, rows: Callable[[dict[str,
 
         arrow = to_arrow_schema(target)
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, most):
                 out = rows(piece.to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
@@ -74,6 +74,42 @@ def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatc
         yield batch.slice(at, step)
 
 
+def sieved(rows: DataFrame, wanted: DataFrame, on: str = "lid", bits: int = 24) -> DataFrame:
+    """The rows whose `on` is wanted, and some others: a table of 2 ** bits bits, packed in words of 64, tells them apart.
+
+    The table has at most 2 ** (bits - 6) rows whatever the input is, so it may be broadcast; the rows themselves need
+    no shuffle to be told apart. It only saves work: a join with `wanted` decides, however full the table is.
+    """
+    marked, may = _marked(rows, wanted, on, bits)
+    return marked.filter(may).select(*rows.columns)
+
+
+def _marked(rows: DataFrame, wanted: DataFrame, on: str, bits: int) -> tuple[DataFrame, Column]:
+    """rows with further columns, and the condition over them that a row may be wanted."""
+    word, mask = unlike(rows, "word"), unlike(rows, "mask")
+
+    def place(column: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit("sieve"), column), F.lit(1 << bits))
+
+    def bit(column: str) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place(column), F.lit(64)).cast("int"))
+
+    table = wanted.groupBy(F.floor(place(on) / 64).alias(word)).agg(F.bit_or(bit(on)).alias(mask))
+    marked = rows.withColumn(word, F.floor(place(on) / 64)).join(F.broadcast(table), word, "left")
+    return marked, F.coalesce(F.col(mask).bitwiseAND(bit(on)) != 0, F.lit(False))
+
+
+def absent(docs: DataFrame, keys: DataFrame, bits: int = 24) -> DataFrame:
+    """The rows of docs whose row_key is not among keys (rid, did). Few rows beside those among them are shuffled."""
+    rid, did = unlike(docs, "rid"), unlike(docs, "did")
+    text, doc_id = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
+    keyed = docs.withColumns({rid: F.xxhash64(doc_id, text), did: F.coalesce(doc_id, F.lit(0))})
+    keys = written(keys.select(F.col("rid").alias(rid), F.col("did").alias(did)).distinct())
+    marked, may = _marked(keyed, keys, rid, bits)
+    rest = marked.filter(may).join(keys, [rid, did], "left_anti")
+    return marked.filter(~may).select(*docs.columns).unionByName(rest.select(*docs.columns))
+
+
 def salted_count(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
     """Rows of each key; partial sums are built before the shuffle, so a hot key sends one row a task."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsprint.llm.common import components, row_key, unlike, written
+from newsprint.llm.common import components, row_key, sieved, unlike, written
 
 _KEY = ["rid", "did"]
 
@@ -48,19 +48,6 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return out.filter(F.col("line").rlike(r"[^\x09-\x0D\x20]")).select("*", F.xxhash64("line").alias("lid"), F.length("line").alias("n"))
 
 
-def sieved(rows: DataFrame, wanted: DataFrame, on: str = "lid", bits: int = 24) -> DataFrame:
-    """The rows whose `on` is wanted, and some others: a table of 2 ** bits bits, packed in words of 64, tells them apart.
-
-    The table has at most 2 ** (bits - 6) rows whatever the input is, so it may be broadcast; the rows themselves need
-    no shuffle to be told apart. It only saves work: a join with `wanted` decides, however full the table is.
-    """
-    place = F.pmod(F.xxhash64(F.lit("sieve"), on), F.lit(1 << bits))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("place", F.lit(64)).cast("int"))
-    words = wanted.withColumn("place", place).groupBy(F.floor(F.col("place") / 64).alias("word")).agg(F.bit_or(bit).alias("set"))
-    marked = rows.withColumn("place", place).withColumn("word", F.floor(F.col("place") / 64))
-    return marked.join(F.broadcast(words), "word").filter(F.col("set").bitwiseAND(bit) != 0).select(*rows.columns)
-
-
 def _cut(rows: DataFrame, count: int) -> DataFrame:
     """Every row once for each of `count` segments of its rest: keyed by all of the rest but the segment, which is the new rest.
 
@@ -87,6 +74,17 @@ def _halved(lines: DataFrame, least: int) -> DataFrame:
     return _cut(whole.select(F.lit(0).cast("long").alias("key"), "lid", "longer", "size", "rest", F.lit("").alias("before"), F.lit(True).alias("last")), 2)
 
 
+def _but_one_part(t: Column, s: Column, size: Column, parts: int = 8) -> Column:
+    """Whether s is t but for one of `parts` parts, behind which s may be shifted: it is, if one edit lies between."""
+    shift = F.length(s) - size
+    found = []
+    for j in range(parts):
+        lo, hi = F.floor(size * j / parts).cast("int"), F.floor(size * (j + 1) / parts).cast("int")
+        front = F.substring(t, F.lit(1), lo) == F.substring(s, F.lit(1), lo)
+        found.append(front & (F.substring(t, hi + 1, size) == F.substring(s, hi + 1 + shift, size)))
+    return reduce(lambda x, y: x | y, found)
+
+
 def _pairs(rows: DataFrame) -> DataFrame:
     """(a, b): rows of a key whose rests are one edit apart. Each pair of lines is given under one key alone.
 
@@ -95,7 +93,8 @@ def _pairs(rows: DataFrame) -> DataFrame:
     """
     own = rows.filter("not longer").select("key", F.col("lid").alias("a"), F.col("rest").alias("t"), "size", "before", "last")
     other = rows.select("key", F.col("lid").alias("b"), F.col("rest").alias("s"), "longer")
-    met = own.join(other, "key").filter("longer or a < b").filter(edits_within(F.col("t"), F.col("s"), 1))
+    met = own.join(other, "key").filter("longer or a < b").filter(_but_one_part(F.col("t"), F.col("s"), F.col("size")))
+    met = met.filter(edits_within(F.col("t"), F.col("s"), 1))
     left = F.expr("substring(s, 1, 1) = before and substring(s, 2, size) = t")
     right = F.expr("not last and substring(s, 1, size) = t and substring(s, size + 1, 1) <> substring(s, size, 1)")
     return met.filter(~F.col("longer") | ~(left | right)).select("a", "b")

@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsprint.llm.common import components, docs_of, map_arrow, one_row_each, written
-from newsprint.llm.lines import sieved
+from newsprint.llm.common import components, docs_of, map_arrow, one_row_each, sieved, written
 from newsprint.llm.simhash import BKTree, shingle_hashes, simhash_of
 
 #: Least hashes of BANDS times ROWS orders route a document; a pair at similarity 0.8 shares a band with 0.9996.
