@@ -3,24 +3,19 @@
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
 
-from newsprint.llm.common import map_arrow, written
+from newsprint.llm.common import absent, docs_of, map_arrow, row_key, unlike, written
 
 #: Bytes that belong to no word turn into a space; A-Z turn into a-z. Bytes from 0x80 on are parts of words.
 _TO_WORDS = bytes(
     b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256)
 )
-_NEVER = np.iinfo(np.uint64).max
-
-
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_TO_WORDS).split()
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_KEY = ["rid", "did"]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -29,157 +24,199 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _kgrams(ids: np.ndarray, k: int) -> np.ndarray:
-    """A hash of every k ids in a row; _NEVER where one of them is no benchmark word (id -1)."""
-    if len(ids) < k:
-        return np.zeros(0, np.uint64)
+with np.errstate(over="ignore"):
+    _BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, one text after the other, and the number of the text that each belongs to."""
+    data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    raw = np.frombuffer(b" ".join(data).translate(_TO_WORDS), np.uint8)
+    inside = raw != 32
+    edges = np.flatnonzero(np.diff(np.r_[False, inside, False].view(np.int8)))
+    starts, size = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
     with np.errstate(over="ignore"):
-        h = np.zeros(len(ids) - k + 1, np.uint64)
-        known = np.ones(len(h), bool)
-        for i in range(k):
-            part = ids[i : len(h) + i]
-            h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64) + np.uint64(1))
-            known &= part >= 0
-    h[~known] = _NEVER
+        power = np.cumprod(np.full(int(size.max()), _ODD, np.uint64))
+        hashes = _mix(np.add.reduceat(_BYTE[raw[inside]] * power[place], first) + size.astype(np.uint64))
+    text_starts = np.cumsum([0, *(len(d) + 1 for d in data)])
+    return hashes, np.searchsorted(text_starts, starts, "right") - 1
+
+
+def _chained(words: np.ndarray, starts: np.ndarray | None, n: int, seed: int) -> np.ndarray:
+    """A hash of the n words from each start on (from each word on, if no starts are given)."""
+    count = len(words) - n + 1 if starts is None else len(starts)
+    h = np.full(max(0, count), seed, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(n):
+            part = words[i : i + count] if starts is None else words[starts + i]
+            h = _mix(h * _ODD + part)
     return h
 
 
-def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Positions of the (rightmost) least hash of every `width` hashes in a row; windows of _NEVER alone give none."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(hashes, min(width, len(hashes)))
-    at = np.arange(len(view)) + view.shape[1] - 1 - view[:, ::-1].argmin(axis=1)
-    at = np.unique(at)
-    return at[hashes[at] != _NEVER]
-
-
-class Index:
-    """Windows of one block of the benchmark, found by winnowed fingerprints."""
-
-    def __init__(self, items: list[tuple[object, list[bytes]]], window: int, k: int):
-        self.window, self.k, self.vocab = window, k, {}
-        self.windows: dict[int, dict[bytes, list]] = defaultdict(lambda: defaultdict(list))
-        self.prints: dict[int, list] = {}
-        prints: dict[int, list[np.ndarray]] = defaultdict(list)
-        for item, w in items:
-            ids = np.array([self.vocab.setdefault(x, len(self.vocab)) for x in w], np.int32)
-            n = min(window, len(ids))
-            if not n:
-                continue
-            for i in range(len(ids) - n + 1):
-                owners = self.windows[n][ids[i : i + n].tobytes()]
-                if item is not None and item not in owners:
-                    owners.append(item)
-            kk = min(k, n)
-            h = _kgrams(ids, kk)
-            prints[n].append(h[winnow(h, n - kk + 1)])
-        self.prints = {n: np.unique(np.concatenate(p)) for n, p in prints.items()}
-        self.windows = {n: dict(x) for n, x in self.windows.items()}
-
-    def hits(self, doc: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-        """Word runs (start, end) of the document that equal a window, and the items of those windows."""
-        get = self.vocab.get
-        ids = np.fromiter((get(w, -1) for w in doc), np.int32, len(doc))
-        runs, items = [], set()
-        for n, prints in self.prints.items():
-            kk = min(self.k, n)
-            h = _kgrams(ids, kk)
-            at = winnow(h, n - kk + 1)
-            if not len(at):
-                continue
-            at = at[np.isin(h[at], prints)]
-            # A shared window of n words holds a fingerprint that both sides chose; extend it to where windows may start.
-            starts = np.unique((at[:, None] - np.arange(n - kk + 1)).ravel())
-            windows = self.windows[n]
-            for s in starts[(starts >= 0) & (starts <= len(ids) - n)].tolist():
-                owners = windows.get(ids[s : s + n].tobytes())
-                if owners is not None:
-                    runs.append((s, s + n))
-                    items.update(owners)
-        return runs, items
-
-
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
-    """The benchmark in parts of about block_bytes at most (at least one part)."""
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    return [benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
-    """docs with n_words, runs (merged word runs inside benchmark windows) and items (ids as sorted strings).
+def winnow(words: np.ndarray, text: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all windows of n words inside a text, and the least hash of k words in a row in each."""
+    k = min(k, n)
+    grams = _chained(words, None, k, 1)
+    count = len(words) - n + 1
+    if count <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    least = grams[:count].copy()
+    for i in range(1, n - k + 1):
+        np.minimum(least, grams[i : i + count], out=least)
+    starts = np.flatnonzero(text[:count] == text[n - 1 :])
+    return starts, least[starts]
+
+
+def _place(prints: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Where fingerprints of windows of n words stand in a table of 2 ** bits bits."""
+    with np.errstate(over="ignore"):
+        return _mix(prints * _ODD + np.uint64(n)) >> np.uint64(64 - bits)
 
-    Winnowing: of every window - k + 1 hashes of k words in a row the least is kept, on both sides, so any `window` words
-    in common share a kept hash. Kept hashes are joined, and each hit is extended to the whole windows around it. An item
-    of fewer words than `window` is one window by itself, winnowed at its own length.
 
-    The benchmark's index goes to the executors in blocks of block_bytes of text at most, one after the other over the
-    same scan, so that what is sent at once is bounded and no document is shuffled. A null text has no words; items
-    without a word match nothing; the same window in many items counts for each of them; repeated rows of an item count
-    once. A row whose item_id is null has windows like any other: its hits count as runs, and name no item. Extra columns of docs stay, but
-    for those named like new ones.
+def benchmark_windows(benchmark: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
+    """(item, n, print, h1, h2): every different window of every item, with its fingerprint and a hash of 128 bits.
+
+    item is the id as a string. An item of fewer words than `window`, but not none, is one window.
     """
-    out = _found(docs.drop("n_words", "runs", "items"), benchmark, window, k, block_bytes)
-    return out.withColumnsRenamed({"_runs": "runs", "_items": "items", "_n_words": "n_words"})
 
+    def rows(cols: dict[str, list]) -> dict[str, object]:
+        out: dict[str, list] = {c: [] for c in ("item", "n", "print", "h1", "h2")}
+        for item, text in zip(cols["item"], cols["text"], strict=True):
+            words, owner = word_hashes([text])
+            if n := min(window, len(words)):
+                starts, prints = winnow(words, owner, n, k)
+                out["item"] += [item] * len(starts)
+                for c, v in zip(("n", "print", "h1", "h2"), (np.full(len(starts), n), prints, *(_chained(words, starts, n, s) for s in (2, 3))), strict=True):
+                    out[c].append(v.astype(np.uint64).view(np.int64))
+        return {c: v if c == "item" else np.concatenate(v) if v else [] for c, v in out.items()}
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    return written(map_arrow(items, "item string, n long, print long, h1 long, h2 long", rows).distinct())
+
+
+def _sieve(windows: DataFrame, most_bits: int) -> tuple[dict[int, int], np.ndarray]:
+    """Lengths of windows, and a bit table of all fingerprints: 2 ** most_bits bits at most, whatever the benchmark."""
+    prints = windows.select("n", "print").distinct()
+    count = {r["n"]: r["count"] for r in prints.groupBy("n").count().collect()}
+    bits = max(12, min(most_bits, int(sum(count.values()) * 16).bit_length()))
 
-def _found(docs: DataFrame, benchmark: DataFrame, window: int, k: int, block_bytes: int) -> DataFrame:
-    spark = docs.sparkSession
-    out = docs.withColumn("_runs", F.expr("cast(array() as array<struct<s: int, e: int>>)"))
-    out = out.withColumn("_items", F.expr("cast(array() as array<string>)"))
-    items = written(benchmark.select("item_id", "text").distinct())
-    for part in _blocks(items, block_bytes):
-        rows = [(r[0], words(r[1])) for r in part.toLocalIterator()]
-        sent = spark.sparkContext.broadcast([(None if i is None else str(i), w) for i, w in rows])
-        out = _scan(out, sent, window, k)
-    return out
+    def rows(cols: dict[str, list]) -> dict[str, object]:
+        places = [int(_place(np.array([p], np.int64).view(np.uint64), n, bits)[0]) for p, n in zip(cols["print"], cols["n"], strict=True)]
+        return {"place": places}
 
+    places = map_arrow(prints, "place long", rows)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("place", F.lit(64)).cast("int"))
+    found = places.groupBy(F.floor(F.col("place") / 64).alias("word")).agg(F.bit_or(bit).alias("set")).toPandas()
+    table = np.zeros(max(1, 1 << (bits - 6)), np.uint64)
+    table[found["word"].to_numpy(np.int64)] = found["set"].to_numpy(np.int64).view(np.uint64)
+    return count, table
 
-def _scan(docs: DataFrame, sent: object, window: int, k: int) -> DataFrame:
-    held: dict[str, Index] = {}
+
+def scanned(docs: DataFrame, windows: DataFrame, k: int = 5, most_bits: int = 27) -> DataFrame:
+    """(doc_id, rid, did, n_words, found): found holds the windows (n, s, h1, h2) whose fingerprint may be a benchmark's."""
+    lengths, table = _sieve(windows, most_bits)
+    bits = len(table).bit_length() + 5
+    sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def rows(cols: dict[str, list]) -> dict[str, object]:
-        if "index" not in held:
-            held["index"] = Index(sent.value, window, k)
-        counts, runs, items = [], [], []
-        for text, r, i in zip(cols["text"], cols["_runs"], cols["_items"], strict=True):
-            w = words(text)
-            new, owners = held["index"].hits(w)
-            counts.append(len(w))
-            runs.append(_merged([(x["s"], x["e"]) for x in r] + new))
-            items.append(sorted({*i, *owners}))
-        return cols | {"_n_words": counts, "_runs": runs, "_items": items}
-
-    schema = StructType([*docs.schema.fields])
-    if "_n_words" not in docs.columns:
-        schema = schema.add("_n_words", LongType())
-    return map_arrow(docs, schema, rows)
-
-
-def _merged(runs: list[tuple[int, int]]) -> list[dict[str, int]]:
-    out: list[list[int]] = []
-    for s, e in sorted(runs):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [{"s": s, "e": e} for s, e in out]
+        words, text = word_hashes(cols["text"])
+        count = len(cols["text"])
+        owner, values = [], {c: [] for c in ("n", "s", "h1", "h2")}
+        first = np.searchsorted(text, np.arange(count + 1))
+        for n in lengths:
+            starts, prints = winnow(words, text, n, k)
+            at = _place(prints, n, bits)
+            starts = starts[(sent.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+            owner.append(text[starts])
+            for c, v in zip(values, (np.full(len(starts), n), starts - first[text[starts]], *(_chained(words, starts, n, s) for s in (2, 3))), strict=True):
+                values[c].append(v.astype(np.uint64).view(np.int64))
+        owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
+        order = np.argsort(owner, kind="stable")
+        cuts = np.searchsorted(owner[order], np.arange(1, count))
+        lists = {c: np.split(np.concatenate(v)[order] if v else np.zeros(0, np.int64), cuts) for c, v in values.items()}
+        return {c: cols[c] for c in ("doc_id", *_KEY)} | {"n_words": np.diff(first)} | lists
+
+    keyed = docs_of(docs).select("doc_id", "text", *row_key())
+    out = map_arrow(keyed, "doc_id long, rid long, did long, n_words long, n array<long>, s array<long>, h1 array<long>, h2 array<long>", rows, 1 << 20)
+    return written(out.select("doc_id", *_KEY, "n_words", F.arrays_zip("n", "s", "h1", "h2").alias("found")))
+
+
+def hits(found: DataFrame, windows: DataFrame) -> DataFrame:
+    """(rid, did, runs, items) of the documents with a benchmark window: runs are merged word runs, items in order."""
+    window = ["n", "h1", "h2"]
+    rows = found.select(*_KEY, F.explode("found").alias("w")).select(*_KEY, "w.*")
+    # Both sides written: Spark can split the rows of a window that very many documents hold.
+    rows = written(rows.join(written(windows.select(*window).distinct()), window))
+    runs = rows.groupBy(*_KEY).agg(F.array_sort(F.collect_set(F.struct(F.col("s").cast("int").alias("s"), (F.col("s") + F.col("n")).cast("int").alias("e")))).alias("runs"))
+    named = rows.select(*_KEY, *window).distinct().join(written(windows.filter("item is not null").select(*window, "item").distinct()), window)
+    items = named.groupBy(*_KEY).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    empty = F.array().cast("array<string>")
+    return written(runs.join(items, _KEY, "left").select(*_KEY, _merged("runs").alias("runs"), F.coalesce("items", empty).alias("items")))
+
+
+def _merged(runs: str):
+    """Runs in order, those that meet or overlap made one."""
+    none = F.array().cast("array<struct<s:int,e:int>>")
+
+    def add(done, run):
+        last = F.element_at(done, -1)
+        apart = (F.size(done) == 0) | (run["s"] > last["e"])
+        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], run["e"]).alias("e"))))
+        return F.when(apart, F.concat(done, F.array(run))).otherwise(longer)
+
+    return F.aggregate(runs, none, add)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
+    """docs with n_words, runs (merged word runs inside benchmark windows) and items (ids as sorted strings).
+
+    Winnowing: of every window - k + 1 hashes of k words in a row the least is kept, on both sides, so equal windows have
+    an equal fingerprint. A bit table of the benchmark's fingerprints, of bounded size, goes to the executors and leaves
+    few windows of the documents, at any size of the benchmark; these are extended to hashes of all of their words, which
+    are joined with those of the benchmark. An item of fewer words than `window` is one window by itself, winnowed at its
+    own length.
+
+    A null text has no words; items without a word match nothing; the same window in many items counts for each of them;
+    repeated rows of an item count once. A row whose item_id is null has windows like any other: its hits count as runs,
+    and name no item. Repeated documents are each returned. An empty table on either side gives no hits. Extra columns of
+    docs stay, but for those named like new ones.
+    """
+    windows = benchmark_windows(benchmark, window, k)
+    plain = docs.drop("n_words", "runs", "items")
+    found = scanned(plain, windows, k)
+    counts = found.groupBy(*_KEY).agg(F.max("n_words").alias("n_words"))
+    rid, did, new = unlike(plain, "rid"), unlike(plain, "did"), unlike(plain, "new")
+    every = _filled(counts.join(hits(found, windows), _KEY, "left"))
+    every = every.select(F.col("rid").alias(rid), F.col("did").alias(did), F.struct("n_words", "runs", "items").alias(new))
+    text, doc_id = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
+    keyed = plain.withColumns({rid: F.xxhash64(doc_id, text), did: F.coalesce(doc_id, F.lit(0))})
+    return keyed.join(every, [rid, did]).select(*plain.columns, f"{new}.*")
+
+
+def _filled(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in (("runs", "array<struct<s:int,e:int>>"), ("items", "array<string>"))})
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), one row a document."""
-    found = contamination(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark)
+    windows = benchmark_windows(benchmark)
+    found = scanned(docs, windows)
+    out = _filled(found.drop("found").join(hits(found, windows), _KEY, "left"))
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + (r["e"] - r["s"]).cast("long"))
-    return found.select(
+    return out.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("runs") > 0).alias("contaminated"),
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
-    """The documents without a benchmark window, with the columns of docs."""
-    return _found(docs, benchmark, window, k, block_bytes).filter(F.size("_runs") == 0).select(*docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
+    """The documents without a benchmark window, with the columns of docs, whatever their names."""
+    windows = benchmark_windows(benchmark, window, k)
+    return absent(docs, hits(scanned(docs, windows, k), windows))
 
 
 def sha256_of(items: list[str]) -> str:
