@@ -53,6 +53,11 @@ def docs_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 def map_arrow(df: DataFrame, schema: str | StructType, rows: Callable[[dict[str, list]], dict[str, object]], most: int = 8 << 20) -> DataFrame:
     """mapInArrow by a function from columns (as Python lists) of `most` bytes or a row to columns of the result."""
+    return map_pieces(df, schema, lambda piece: rows(piece.to_pydict()), most)
+
+
+def map_pieces(df: DataFrame, schema: str | StructType, rows: Callable[[pa.RecordBatch], dict[str, object]], most: int) -> DataFrame:
+    """mapInArrow by a function from record batches of `most` bytes or a row to columns of the result."""
     target = StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,8 +66,9 @@ def map_arrow(df: DataFrame, schema: str | StructType, rows: Callable[[dict[str,
         arrow = to_arrow_schema(target)
         for batch in batches:
             for piece in slices(batch, most):
-                out = rows(piece.to_pydict())
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+                out = rows(piece)
+                arrays = [out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return df.mapInArrow(run, target)
 

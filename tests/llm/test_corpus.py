@@ -83,9 +83,29 @@ def test_repeats_over_chunks(monkeypatch):
     monkeypatch.setattr(repeats, "_CHUNK", 5000)
     rng = random.Random(1)
     data = bytes(rng.choices(b"abcd", k=9000))
-    p, name, lo, hi = repeats.anchors(data, 400, 50)
-    covered = sorted(x for a, low, high in zip(p, lo, hi, strict=True) for x in range(a - high, a - low + 1))
-    assert covered == list(range(len(data) - 399))
+    p, name, first, last = repeats.anchors(data + data[:700] + data[:90] + data[:400], np.array([0, 9000, 9700, 9790, 10190]), 400, 50)
+    covered = sorted(x for s, e in zip(first, last, strict=True) for x in range(s, e + 1))
+    assert covered == [*range(9000 - 399), *range(9000, 9301), 9790]
+    assert ((p >= first) & (p <= last + 350)).all() and {p[0], p[0] + 9000} <= set(p.tolist())
+
+
+def test_shares_passage(spark):
+    """A common string of 250 bytes is always told, one of under 200 never; copies inside one text are not another's."""
+    rng = random.Random(6)
+    fill = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    rows, want = [], {}
+    for i in range(60):
+        n = 250 + i if i % 3 else 197 - i  # the marks beside it make the common string longer by two
+        passage = fill(n)
+        for j in range(2):
+            rows.append((2 * i + j, fill(rng.randrange(600)) + "<" * (j + 1) + passage + ">" * (j + 1) + fill(rng.randrange(600))))
+            want[2 * i + j] = n >= 250
+    alone = fill(300)
+    twice = (501, fill(260))
+    rows += [(500, alone + fill(500) + alone), twice, twice, (502, None)]
+    want |= {500: False, 501: False, 502: False}
+    got = {r.doc_id: r.shares_passage for r in repeats.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
 
 
 def test_repeats_empty(none):
