@@ -5,12 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from newsprint.llm import trees
-from newsprint.llm.common import docs_of, map_arrow, written
+from newsprint.llm.common import docs_of, map_arrow
 from newsprint.llm.stats import NAMES, counts, features, remainder, training_rows
 
 
@@ -32,13 +32,18 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
 
 
-def fit_discriminant(x: np.ndarray, y: np.ndarray, shrink: float = 0.15, ridge: float = 0.05) -> Discriminant:
-    """Covariance of a class: (1 - shrink) own + shrink pooled, plus ridge on the diagonal, over standardised features."""
+def fit_discriminant(x: np.ndarray, y: np.ndarray, shrink: float = 0.15, ridge: float = 0.05) -> Discriminant | None:
+    """Covariance of a class: (1 - shrink) own + shrink pooled, plus ridge on the diagonal, over standardised features.
+
+    None if a class has less than two rows, of which no covariance can be told.
+    """
+    if not len(x):
+        return None
     shift, scale = x.mean(0), x.std(0) + 1e-6
     z = (x - shift) / scale
     parts = [z[y == c] for c in (0, 1)]
     if not all(len(p) > 1 for p in parts):
-        raise ValueError("both classes need two labelled rows at least")
+        return None
     own = [np.cov(p.T) for p in parts]
     pooled = sum(len(p) * c for p, c in zip(parts, own, strict=True)) / len(z)
     means, factors, offsets = [], [], []
@@ -59,31 +64,44 @@ def _sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column | None
     return x[order], rows["y"].to_numpy()[order]
 
 
-def classifier(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Discriminant:
-    """Learns from labelled rows whose crc32(doc_id as text) mod 3 is not 1, `most` of them at most."""
+def classifier(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Discriminant | None:
+    """Learns from labelled rows whose crc32(doc_id as text) mod 3 is not 1, `most` of them at most.
+
+    None if they have not two rows of each class: then nothing can be told apart.
+    """
     return fit_discriminant(*_sample(docs, labels, "quality", remainder(F.col("doc_id"), 3) != 1, most))
 
 
-def quality_scores(docs: DataFrame, model: Discriminant) -> DataFrame:
-    """docs with score and predicted. A null text is an empty one and gets a score too; extra columns stay."""
+def _score(text: Column, model: Discriminant | None) -> Column:
+    """The model's score of a text; 0.5 without a model. No other column of the table passes through Python."""
+    if model is None:
+        return F.lit(0.5)
 
-    def rows(cols: dict[str, list]) -> dict[str, object]:
-        s = model.score(np.array([features(t or "") for t in cols["text"]]))
-        return cols | {"score": s, "predicted": (s >= 0.5).astype(np.int32)}
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([features(t) for t in texts], float).reshape(len(texts), len(NAMES))))
 
-    schema = StructType([f for f in docs.schema.fields if f.name not in ("score", "predicted")])
-    return map_arrow(docs.select(schema.names), schema.add("score", "double").add("predicted", "integer"), rows)
+    return score(F.coalesce(text, F.lit("")))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted), one row a document; repeated rows get equal scores."""
-    out = quality_scores(docs_of(docs), classifier(docs, labels))
-    return out.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+    """(doc_id, held_out, score, predicted), one row a document.
+
+    A null text is an empty one and gets a score too. Repeated rows, and ties of any kind, get equal scores; a null doc_id
+    counts as an empty id in held_out. Labels without two rows of each class give 0.5, predicted 1, to all. An empty table
+    gives an empty result; further columns are ignored, whatever their names.
+    """
+    rows = docs_of(docs)
+    out = rows.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), _score(F.col("text"), classifier(docs, labels)).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are predicted to be of quality 1, with the columns of docs."""
-    return quality_scores(docs, classifier(docs, labels)).filter("predicted = 1").select(*docs.columns)
+    """The documents that are predicted to be of quality 1 (see score_quality), with the columns of docs, whatever their names.
+
+    Repeated rows stay or go together. Labels that do not tell classes apart let all documents stay.
+    """
+    return docs.filter(_score(F.col("text"), classifier(docs, labels)) >= 0.5)
 
 
 #: The score may only fall as these rise.
@@ -102,7 +120,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, most: int = 20_000, model:
     Base rules count over the whole text; a document of under 50 words, or with over half of its words inside repeated
     3-word windows, fails them. The others are kept if the trees give 0.5 or more: node arrays, scored for a batch at a
     time, that can only fall as the FALLING statistics rise. A null text is empty (and fails). Repeated rows are judged
-    alike; extra columns are ignored; an empty table gives an empty result.
+    alike, and so are ties; extra columns are ignored, whatever their names; an empty table gives an empty result. Without
+    labels there are no trees, and the base rules alone decide.
     """
     model = model or rule_model(docs, labels, most)
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

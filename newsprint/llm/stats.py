@@ -100,10 +100,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column
     """(doc_id, text, y): at most `most` labelled documents, those of the least hash of their id.
 
     The bound makes the label side safe to broadcast, so the documents are scanned and not shuffled. Labels that are
-    null and ids that are null take no part; of several labels of a document the largest counts.
+    null and ids that are null take no part; of several labels of a document the largest counts, and of several texts of
+    an id the one of least hash, so that a repeated id is one row and the bound holds.
     """
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).dropna()
     if learn is not None:
         chosen = chosen.filter(learn)
     chosen = chosen.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs_of(docs).join(F.broadcast(chosen), "doc_id")
+    found = docs_of(docs).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("y").alias("y"))

@@ -86,8 +86,8 @@ class Model:
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Calibrated probability; a share of the raw one breaks ties inside a level step."""
-        if not texts:
-            return np.zeros(0)
+        if not texts or not len(self.forest.feature):
+            return np.zeros(len(texts))
         p = 1 / (1 + np.exp(-self.forest.raw(np.array([features(t, self.lexicon) for t in texts]))))
         return np.clip(0.99 * np.interp(p, self.knots, self.shares) + 0.01 * p, 0, 1)
 
@@ -117,8 +117,10 @@ def classifier(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Model:
 def score_toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row a document.
 
-    A null text is an empty one and gets a score too. Repeated rows get equal scores; a null doc_id counts as an empty
-    id in held_out; extra columns are ignored; an empty table gives an empty result if a model is given.
+    The lexicon has at most 400 words and beginnings, each in 12 toxic training documents or more (see learn_lexicon).
+    A null text is an empty one and gets a score too. Repeated rows, and ties of any kind, get equal scores; a null doc_id
+    counts as an empty id in held_out; extra columns are ignored, whatever their names; an empty table gives an empty
+    result. Without labelled rows the score is 0; labels of one class give all documents nearly that class's score.
     """
     model = model or classifier(docs, labels)
 

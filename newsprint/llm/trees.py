@@ -38,8 +38,11 @@ def fit(x: np.ndarray, y: np.ndarray, signs: np.ndarray | None = None, trees: in
 
     signs: for each feature +1 (the score may only rise with it), -1 (only fall) or 0. A split of such a feature is taken
     only if its children's values are in that order, and the children are then held to either side of their mean.
+    Without rows there are no trees, and the log-odds are 0.
     """
     n, width = x.shape
+    if not n:
+        return Forest(np.zeros((0, 1), int), np.zeros((0, 1)), np.zeros((0, 1)), 0.0)
     signs = np.zeros(width, int) if signs is None else np.asarray(signs)
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for j in range(width)]
     binned = np.stack([np.searchsorted(edges[j], x[:, j], "left") for j in range(width)], 1)
