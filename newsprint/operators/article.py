@@ -36,6 +36,12 @@ SKIPPED = {"script", "style", "noscript", "template"}
 #: An open tag of the left kind ends when one of the right comes.
 CLOSES = {"p": BLOCKS | {"h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "footer", "header", "nav", "form"}, "li": {"li"}, "td": {"td", "tr"}, "tr": {"tr"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}}
 
+#: Elements that stand inside a line of text; and those that do if all of their children do.
+PHRASING = frozenset(
+    """abbr audio b bdo br button cite code data datalist dfn em embed i img input kbd label mark math meter noscript object
+    output progress q ruby samp script select small span strong sub sup textarea time var wbr""".split()
+) | {"a", "del", "ins"}
+
 
 class Node:
     __slots__ = ("tag", "attrs", "kids", "up", "score")
@@ -46,13 +52,22 @@ class Node:
         self.score: float | None = None
 
     def walk(self) -> Iterator[Node]:
-        yield self
-        for k in self.kids:
-            if isinstance(k, Node):
-                yield from k.walk()
+        """This node and those below it in the order of the page; nesting may be of any depth."""
+        open_ = [self]
+        while open_:
+            node = open_.pop()
+            yield node
+            open_ += [k for k in reversed(node.kids) if isinstance(k, Node)]
 
     def raw(self) -> str:
-        return "".join(k if isinstance(k, str) else k.raw() for k in self.kids)
+        out, open_ = [], self.kids[::-1]
+        while open_:
+            k = open_.pop()
+            if isinstance(k, str):
+                out.append(k)
+            else:
+                open_ += reversed(k.kids)
+        return "".join(out)
 
     def text(self) -> str:
         return re.sub(r"\s{2,}", " ", self.raw().strip())
@@ -135,7 +150,9 @@ class _Attempt:
         self.to_score: list[Node] = []
 
     def prepare(self, node: Node) -> None:
-        for kid in [k for k in node.kids if isinstance(k, Node)]:
+        open_ = [k for k in reversed(node.kids) if isinstance(k, Node)]
+        while open_:
+            kid = open_.pop()
             if kid.tag in SKIPPED or self.goes(kid):
                 kid.drop()
                 continue
@@ -143,7 +160,7 @@ class _Attempt:
                 self.to_score.append(kid)
             if kid.tag == "div":
                 self.wrap_phrases(kid)
-            self.prepare(kid)
+            open_ += [k for k in reversed(kid.kids) if isinstance(k, Node)]
 
     def goes(self, n: Node) -> bool:
         if not _visible(n):
@@ -175,7 +192,7 @@ class _Attempt:
         out: list[Node | str] = []
         run: Node | None = None
         for k in div.kids:
-            inline = isinstance(k, str) or (k.tag in "a abbr b bdo br button cite code em i img kbd label mark q small span strong sub sup time u var".split() and not any(x.tag in BLOCKS - {"img"} for x in k.walk()))
+            inline = isinstance(k, str) or (k.tag in PHRASING and not any(x.tag in BLOCKS - {"img"} for x in k.walk()))
             if inline and (run is not None or not isinstance(k, str) or k.strip()):
                 if run is None:
                     run = Node("p", {}, div)
@@ -286,7 +303,7 @@ def extract_article(pages: DataFrame, page: str = "page_id", title: str | None =
             for key, html, head in zip(batch["page"], batch["html"], batch["title"], strict=True):
                 try:
                     rows.append({"page": key} | readable(html, head))
-                except (RecursionError, ValueError, AssertionError):
+                except (ValueError, AssertionError):
                     rows.append({"page": key, "length": 0, "status": "failed"})
             out = pd.DataFrame(rows, columns=["page", *names]).rename(columns={"page": page})
             yield out.astype(object).where(out.notna(), None).astype({"length": "int32"})

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsprint.session import cut
+
 #: Words that say nothing of a section.
 STOPWORDS = (
     "the", "and", "for", "with", "this", "that", "from", "are", "was", "were",
@@ -20,7 +22,8 @@ STOPWORDS = (
 def tokenise(text: Column) -> Column:
     """Runs of letters and marks, lower-cased, of 3 to 24 grapheme clusters, without stop words."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{M}]+)"), F.lit(1))
-    size = lambda t: F.regexp_count(t, F.lit(r"\X"))
+    # An ASCII letter is a cluster by itself; only other tokens have theirs counted.
+    size = lambda t: F.when(F.octet_length(t) == F.length(t), F.length(t)).otherwise(F.regexp_count(t, F.lit(r"\X")))
     return F.filter(runs, lambda t: size(t).between(3, 24) & ~t.isin(*STOPWORDS))
 
 
@@ -64,8 +67,9 @@ def nb_scores(freq: DataFrame, counts: DataFrame, stats: DataFrame) -> DataFrame
 
     In sparse form: -N ln(total + V) for all sections, plus c ln(n + 1) where a token was seen in a section. So items
     meet only the (token, section) rows that match, by an equi-join on the token; the sections are a table of their own,
-    as small as the number of section names.
+    as small as the number of section names. Frequencies and counts are written first, so that no text is tokenised twice.
     """
+    freq, counts, stats = cut(freq), cut(counts), cut(stats)
     size = vocabulary_size(counts)
     floor_of = stats.crossJoin(size).select("section", F.log(F.col("total_tokens") + F.col("vocabulary")).alias("denom"))
     lengths = freq.groupBy("item_id").agg(F.sum("n").alias("total"))
@@ -77,11 +81,14 @@ def nb_scores(freq: DataFrame, counts: DataFrame, stats: DataFrame) -> DataFrame
 
 
 def predict_margin(scores: DataFrame) -> DataFrame:
-    """(item_id, section, margin): the best section and its lead over the second (null with one section)."""
-    best = F.reverse(F.array_sort(F.collect_list(F.struct("score", "section"))))
-    top = scores.groupBy("item_id").agg(best.alias("b"))
-    first, second = F.get("b", F.lit(0)), F.get("b", F.lit(1))
-    return top.select("item_id", first["section"].alias("section"), (first["score"] - second["score"]).alias("margin"))
+    """(item_id, section, margin): the best section and its lead over the second (null with one section).
+
+    The two best of each item are all that is kept: a window whose group limit cuts before and after the shuffle.
+    """
+    best = Window.partitionBy("item_id").orderBy(F.col("score").desc(), F.col("section").desc())
+    two = scores.withColumn("place", F.row_number().over(best)).filter("place <= 2")
+    first, second = (F.max(F.when(F.col("place") == k, F.col("score"))) for k in (1, 2))
+    return two.groupBy("item_id").agg(F.max(F.when(F.col("place") == 1, F.col("section"))).alias("section"), (first - second).alias("margin"))
 
 
 def nb_predict(freq: DataFrame, counts: DataFrame, stats: DataFrame, margin: float = 1.0) -> DataFrame:

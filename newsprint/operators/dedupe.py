@@ -35,8 +35,14 @@ def dedupe_items(items: DataFrame, keys: tuple[str, ...] = KEYS, tie: tuple[str,
     the undecided items that share either with a kept one go. Minima are group-bys with partial results, so a guid that
     very many items share costs a row a task, and only the minima of either kind meet in a join; the anti joins that
     follow start from plain shuffles, of which Spark can split a hot key's. Each round works on what the last one left.
+
+    A null key (an undated item has no edition date) is an edition of its own: joins take null for a value.
     """
-    keys = list(keys)
+    named = {f"key{i}": F.coalesce(F.col(k).cast("string"), F.lit("")) for i, k in enumerate(keys)} | {f"none{i}": F.col(k).isNull() for i, k in enumerate(keys)}
+    keys, whole = list(named), items.columns
+    if clash := {c.lower() for c in whole} & {*keys, "o", "lk", "ik"}:
+        raise ValueError(f"dedupe_items uses these column names itself: {sorted(clash)}")
+    items = items.withColumns(named)
     if "gen" not in items.columns:
         items = items.withColumn("gen", F.lit(0))
     key = F.coalesce(F.lower("link"), F.lit("")).alias("lk"), F.coalesce("item_id", F.lit("")).alias("ik")
@@ -54,4 +60,4 @@ def dedupe_items(items: DataFrame, keys: tuple[str, ...] = KEYS, tie: tuple[str,
         raise RuntimeError(f"dedupe did not settle in {most_rounds} rounds")
     chosen = kept.select(*keys, "o")
     out = items.withColumn("o", order_struct(*tie)).join(chosen, [*keys, "o"], "left_semi")
-    return out.dropDuplicates([*keys, "o"]).drop("o")
+    return out.dropDuplicates([*keys, "o"]).select(*whole, *([] if "gen" in whole else ["gen"]))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from newsprint.functions.urls import normalized_host
 
 
-def drop_paused(items: DataFrame, feeds: DataFrame) -> DataFrame:
-    return items.join(feeds.filter("is_paused").select("feed_id"), "feed_id", "left_anti")
+def drop_paused(items: DataFrame, feeds: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by: columns, such as reader_id, that both tables have, if every reader has feeds of their own (likewise below)."""
+    return items.join(feeds.filter("is_paused").select(*by, "feed_id"), [*by, "feed_id"], "left_anti")
 
 
 def drop_removed_feeds(items: DataFrame, feeds: DataFrame) -> DataFrame:
@@ -17,10 +18,10 @@ def drop_removed_feeds(items: DataFrame, feeds: DataFrame) -> DataFrame:
     return items.join(feeds.select("feed_id"), "feed_id", "left_semi")
 
 
-def drop_excluded_hosts(items: DataFrame, hosts: DataFrame) -> DataFrame:
+def drop_excluded_hosts(items: DataFrame, hosts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Items of a host that is not excluded; items without a host stay."""
     out = items.withColumn("host", normalized_host(F.col("link")))
-    return out.join(hosts.select("host").distinct(), "host", "left_anti").drop("host")
+    return out.join(hosts.select(*by, "host").distinct(), [*by, "host"], "left_anti").drop("host")
 
 
 def hide_read(items: DataFrame, read: DataFrame, keys: tuple[str, ...] = ("item_id",)) -> DataFrame:
@@ -40,9 +41,9 @@ def read_state(log: DataFrame) -> DataFrame:
     return out.select("reader_id", "item_id")
 
 
-def resolve_section(items: DataFrame, pins: DataFrame, predicted: DataFrame, feeds: DataFrame) -> DataFrame:
+def resolve_section(items: DataFrame, pins: DataFrame, predicted: DataFrame, feeds: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """section: the pin, else a confident prediction, else the feed's section now, else the item's own."""
-    out = items.join(pins.select("item_id", F.col("section").alias("pin")), "item_id", "left")
-    out = out.join(predicted.select("item_id", F.col("section").alias("guess")), "item_id", "left")
-    out = out.join(feeds.select("feed_id", F.col("section").alias("feed_section")), "feed_id", "left")
+    out = items.join(pins.select(*by, "item_id", F.col("section").alias("pin")), [*by, "item_id"], "left")
+    out = out.join(predicted.select(*by, "item_id", F.col("section").alias("guess")), [*by, "item_id"], "left")
+    out = out.join(feeds.select(*by, "feed_id", F.col("section").alias("feed_section")), [*by, "feed_id"], "left")
     return out.withColumn("section", F.coalesce("pin", "guess", "feed_section", "section")).drop("pin", "guess", "feed_section")

@@ -27,8 +27,8 @@ def enrich_images(items: DataFrame, crawl: DataFrame, k: int = 24, run_keys: tup
 
 
 def place(items: DataFrame, checks: DataFrame | None = None, keys: tuple[str, ...] = KEYS, tie: tuple[str, ...] = (), validate: bool = False) -> DataFrame:
-    """Deduped, interleaved items in their slots. `usable` says whether an image may lead."""
-    kept = dedupe_items(items, keys, tie)
+    """Deduped, interleaved items in their slots. `usable` says whether an image may lead. Undated items are in no edition."""
+    kept = dedupe_items(items.dropna(subset=list(keys)), keys, tie)
     ranked = editions.round_robin(kept, keys, tie)
     if checks is None:
         ranked = ranked.withColumn("usable", F.col("image_url").isNotNull())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -12,7 +13,7 @@ from newsprint.functions import dates, text, urls
 from newsprint.operators import article, classify, dedupe, editions, filters, items, pages, registry
 from newsprint.plans import publish, reflow
 from newsprint.plans.fixtures import VIEWS, view, with_views
-from newsprint.session import shared_dir
+from newsprint.session import cut, shared_dir
 from newsprint.sources import feeds as feed_docs
 from newsprint.sources import opml, store
 from newsprint.streaming import jobs
@@ -103,15 +104,16 @@ _TOK = "list_filter(regexp_split_to_array(lower({}), '[^A-Za-z0-9_]+'), lambda x
 
 
 @query(
-    f"""with p as (select d.doc_id, {_TOK.format("coalesce(d.text, '')")} as a, {_TOK.format("b.text")} as b
-            from documents d join benchmark b on d.doc_id % 40 = b.item_id)
-    select doc_id, round(case when len(a) = 0 or len(b) = 0 then 0.0
+    f"""with p as (select d.doc_id, {_TOK.format("coalesce(d.text, '')")} as a, {_TOK.format("b.text")} as b, item_id
+            from documents d cross join (select count(*) as m from benchmark) c join benchmark b on d.doc_id % c.m = b.item_id % c.m)
+    select doc_id, item_id, round(case when len(a) = 0 or len(b) = 0 then 0.0
         else 1 - length(array_to_string(list_filter(b, lambda x: not list_contains(a, x)), ' ')) / length(array_to_string(b, ' ')) end, 6) as similarity from p"""
 )
 def text_similarity(spark, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", F.col("text").alias("b"))
-    both = _documents(spark, sf).join(bench, F.col("doc_id") % 40 == F.col("item_id"))
-    return both.select("doc_id", F.round(text.text_similarity(F.col("text"), F.col("b")), 6).alias("similarity"))
+    m = bench.count()
+    both = _documents(spark, sf).withColumn("k", F.col("doc_id") % m).join(bench.withColumn("k", F.col("item_id") % m), "k")
+    return both.select("doc_id", "item_id", F.round(text.text_similarity(F.col("text"), F.col("b")), 6).alias("similarity"))
 
 
 _INNER = "regexp_replace(trim(regexp_replace({}, '<[^>]*>', '', 'g'), ' ' || chr(10) || chr(9) || chr(13)), '\\s{{2,}}', ' ', 'g')"
@@ -192,8 +194,7 @@ def link_kind(spark, sf):
     ev = events(spark, sf)
     link = F.replace(F.element_at(F.array(*map(F.lit, _LINKS)), (F.col("row_id") % 9 + 1).cast("int")), F.lit("{}"), F.col("row_id").cast("string"))
     ev = ev.select("row_id", link.alias("link"))
-    tube = F.when(F.col("row_id") % 9 < 4, urls.youtube_id(F.col("link")))
-    return ev.select("row_id", "link", urls.link_kind(F.col("link")).alias("kind"), tube.alias("youtube"), urls.vimeo_id(F.col("link")).alias("vimeo"))
+    return ev.select("row_id", "link", urls.link_kind(F.col("link")).alias("kind"), urls.youtube_id(F.col("link")).alias("youtube"), urls.vimeo_id(F.col("link")).alias("vimeo"))
 
 
 @query(
@@ -807,11 +808,11 @@ def top_k_newest(spark, sf):
     return editions.top_k_newest(events(spark, sf), tie=("feed_id", "item_id", "link", "row_id")).select("row_id")
 
 
-@query(with_views("select edition_date, row_id, row_number() over (partition by edition_date order by published_at desc, row_id) as place from items_ev qualify place <= 24", "items_ev"))
+@query(with_views("select edition_date, row_id, row_number() over (partition by edition_date order by published_at desc, row_id) as place from items_ev", "items_ev"))
 def newest_first(spark, sf):
-    top = editions.top_k_newest(events(spark, sf), 24, ("edition_date",), TIE)
     place = F.row_number().over(Window.partitionBy("edition_date").orderBy(F.col("published_at").desc_nulls_last(), "row_id"))
-    return editions.newest_first(top.select("edition_date", "row_id", "published_at"), "row_id").withColumn("place", place).drop("published_at")
+    ordered = editions.newest_first(events(spark, sf).select("edition_date", "row_id", "published_at"), "row_id")
+    return ordered.withColumn("place", place).drop("published_at")
 
 
 @query(with_views("select distinct section, dense_rank() over (order by lower(section), section) as place from items_ev", "items_ev"))
@@ -970,6 +971,31 @@ def reflow_edition(spark, sf):
     return out.select("row_id", "edition_date")
 
 
+@query(
+    with_views(
+        "select row_id, edition_date from kept_", "items_ev", "feeds_ev", "reads_ev",
+        ctes=(
+            f"""f as (select * replace (reader_id || ' ' || cast(edition_date as varchar) as edition_date, row_id * 2 + cast(reader_id as int) as row_id) from items_ev, (values ('0'), ('1')) r(reader_id)
+            where (reader_id, feed_id) not in (select cast(user_id // 10 % 2 as varchar), feed_id from feeds_ev where is_paused)
+            and {_NORM_SQL.format('link')} <> 'site' || cast(2 + cast(reader_id as int) as varchar) || '.example'
+            and (reader_id, item_id) not in (select cast(cast(reader_id as int) % 2 as varchar), item_id from reads_ev))""",
+            _KEPT[0].replace("from items_ev", "from f"), _KEPT[1], _KEPT[2].replace("kept as", "kept_ as"),
+        ),
+    )
+)
+def reflow_readers(spark, sf):
+    """Two readers over the same items, each with feeds paused, a host excluded and items read of their own."""
+    readers = F.explode(F.array(F.lit("0"), F.lit("1"))).alias("reader_id")
+    ev = events(spark, sf).select("*", readers).withColumn("row_id", F.col("row_id") * 2 + F.col("reader_id").cast("long"))
+    feeds = view(spark, sf, "feeds_ev").select("*", readers)
+    feeds = feeds.withColumn("is_paused", F.col("is_paused") & (F.floor(F.col("user_id") / 10) % 2 == F.col("reader_id").cast("long")))
+    reads = view(spark, sf, "reads_ev").withColumn("reader_id", (F.col("reader_id").cast("long") % 2).cast("string"))
+    hosts = spark.createDataFrame([("0", "site2.example"), ("1", "site3.example")], "reader_id string, host string")
+    empty = ev.select("reader_id", "item_id", "section").limit(0)
+    out = reflow.reflow(ev, feeds, hosts, reads, empty, empty, keys=("reader_id", "edition_date"), tie=TIE)
+    return out.select("row_id", F.concat_ws(" ", "reader_id", F.col("edition_date").cast("string")).alias("edition_date"))
+
+
 # Single columns and flavours, registered under names of their own
 
 
@@ -978,14 +1004,14 @@ def _case_links(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).select("row_id", link.alias("link"))
 
 
-@query(f"select event_id as row_id, case event_id % 9 when 0 then 'ab c' || {_ID} when 1 then 'x' || {_ID} when 2 then 's' || {_ID} end as id from events where event_id % 9 < 4")
+@query(f"select event_id as row_id, case event_id % 9 when 0 then 'ab c' || {_ID} when 1 then 'x' || {_ID} when 2 then 's' || {_ID} end as id from events")
 def youtube_id(spark, sf):
-    return _case_links(spark, sf).filter("row_id % 9 < 4").select("row_id", urls.youtube_id(F.col("link")).alias("id"))
+    return _case_links(spark, sf).select("row_id", urls.youtube_id(F.col("link")).alias("id"))
 
 
-@query(f"select event_id as row_id, case event_id % 9 when 4 then {_ID} end as id from events where event_id % 9 in (4, 5)")
+@query(f"select event_id as row_id, case event_id % 9 when 4 then {_ID} when 8 then {_ID} end as id from events")
 def vimeo_id(spark, sf):
-    return _case_links(spark, sf).filter("row_id % 9 in (4, 5)").select("row_id", urls.vimeo_id(F.col("link")).alias("id"))
+    return _case_links(spark, sf).select("row_id", urls.vimeo_id(F.col("link")).alias("id"))
 
 
 @query(with_views("select row_id, case when row_id % 5 = 0 then 'Channel' else source_title end as title from items_ev", "items_ev"))
@@ -994,10 +1020,10 @@ def source_title(spark, sf):
     return events(spark, sf).select("row_id", items.source_title(stored, F.lit("Channel")).alias("title"))
 
 
-@query("select doc_id, md5(case when doc_id % 2 = 0 then coalesce(text, '') else 'd' end) as digest from documents where coalesce(text, '') <> ''")
+@query("select doc_id, md5(case when doc_id % 2 = 0 and coalesce(text, '') <> '' then text else 'd' end) as digest from documents")
 def choose_body(spark, sf):
     content = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("")
-    return _documents(spark, sf).filter("text <> ''").select("doc_id", F.md5(items.choose_body(content, F.lit("d"))).alias("digest"))
+    return _documents(spark, sf).select("doc_id", F.md5(items.choose_body(content, F.lit("d"))).alias("digest"))
 
 
 @query(with_views("select row_id, case when row_id % 3 = 0 then item_id else link end as item_id from items_ev", "items_ev"))
@@ -1026,6 +1052,40 @@ def feed_flavour(spark, sf):
     return out.groupBy(kind).agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("link") == F.col("want")).alias("links"), F.count_if(F.col("channel_title") == "C").alias("titles"))
 
 
+@query("select cast(doc_id as varchar) as feed_id, source as channel_title from documents")
+def channel_title(spark, sf):
+    """The first title of a channel or feed outside its entries; an entry's title, or a later one, is none of it."""
+    source = text.html_escape(F.col("source"))
+    entry = F.lit("<item><title>entry</title><link>https://d.example/</link></item>")
+    rss = F.concat(F.lit("<rss><title>outside</title><channel>"), F.when(F.col("doc_id") % 4 == 0, entry).otherwise(""), F.lit("<title> "), source, F.lit(" </title><title>late</title></channel></rss>"))
+    atom = F.concat(F.lit("<feed><title>"), source, F.lit("</title><entry><title>entry</title></entry><title>late</title></feed>"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("feed_id"), F.encode(F.when(F.col("doc_id") % 2 == 0, rss).otherwise(atom), "utf-8").alias("body"))
+    return feed_docs.parse_feed_documents(docs).filter("pos = -1").select("feed_id", "channel_title")
+
+
+@query(
+    f"""select cast(doc_id as varchar) as feed_id, lang as title, source as guid, md5(case when {_TRIMMED} = '' then 'late' else {_TRIMMED} end) as description,
+        case when doc_id % 2 = 0 then 'https://d.example/' else 'https://d.example/atom' end || cast(doc_id as varchar) as link, 'day ' || cast(doc_id as varchar) as pub_date from documents"""
+)
+def feed_field_rules(spark, sf):
+    """Which of several values of a field counts: the first that is not empty, but of dates the last."""
+
+    def tags(name: str, *values):
+        return F.concat(*[F.concat(F.lit(f"<{name}>"), v, F.lit(f"</{name}>")) for v in values])
+
+    late, number = F.lit("late"), F.col("doc_id").cast("string")
+    clean = F.regexp_replace(text.html_escape(F.col("text")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    fields = F.concat(tags("title", F.lit(" "), text.html_escape(F.col("lang")), late), tags("guid", text.html_escape(F.col("source")), late), tags("description", clean, late))
+    fields = F.concat(fields, tags("pubDate", late, F.concat(F.lit("day "), number)))
+    rss = F.concat(F.lit("<rss><channel><item>"), fields, tags("link", F.concat(F.lit("https://d.example/"), number), late), F.lit("</item></channel></rss>"))
+    links = F.concat(F.lit("<link rel='self' href='self'/><link href='https://d.example/atom"), number, F.lit("'/><link href='late'/>"))
+    atom = F.concat(F.lit("<feed><entry>"), fields, links, F.lit("</entry></feed>"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("text", F.coalesce("text", F.lit("")))
+    docs = docs.select(number.alias("feed_id"), F.encode(F.when(F.col("doc_id") % 2 == 0, rss).otherwise(atom), "utf-8").alias("body"))
+    out = feed_docs.parse_feed_documents(docs).filter("pos = 0")
+    return out.select("feed_id", "title", "guid", F.md5("description").alias("description"), "link", "pub_date")
+
+
 @query(with_views("select token, sum(n)::bigint as n, string_agg(section || '=' || n, ',' order by section) as sections from counts group by 1", "moves_doc", ctes=_MODEL))
 def state_pack(spark, sf):
     packed = classify.state_pack(*_model(spark, sf)).select(F.explode("tokenCounts").alias("token", "by"))
@@ -1058,6 +1118,29 @@ def write_edition(spark, sf):
     return store.read_edition(spark, path, "2024-01-07").unionByName(store.read_edition(spark, path, "2024-01-08")).select("row_id", "title")
 
 
+@query(with_views("select row_id, title, edition_date from items_ev", "items_ev"))
+def read_edition(spark, sf):
+    """Every stored day, read as a partition by itself."""
+    path = f"{shared_dir(spark)}/editions-{uuid.uuid4().hex}"
+    ev = events(spark, sf).select("row_id", "title", "edition_date")
+    store.write_edition(ev, path)
+    days = [str(r[0]) for r in spark.read.parquet(path).select("edition_date").distinct().collect()]
+    out = [store.read_edition(spark, path, day).select("row_id", "title", "edition_date") for day in days]
+    return functools.reduce(DataFrame.unionByName, out, ev.limit(0))
+
+
+@query(with_views("select edition_date, row_id, slot, slot_rank, page_no from placed", "items_ev", ctes=_SLOTS))
+def edition_documents(spark, sf):
+    """One JSON document a day, written, one of them written again, and read as rows."""
+    path = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+    nested = cut(editions.edition_nest(_placed(spark, sf), ["row_id", "title"]))
+    store.write_documents(nested, path)
+    first = nested.agg(F.min("edition_date")).first()[0]
+    store.write_documents(nested.filter(F.col("edition_date") == F.lit(first)), path)
+    again = store.read_documents(spark, path, nested.schema)
+    return editions.edition_flatten(again).select("edition_date", "row_id", "slot", "slot_rank", "page_no")
+
+
 # Streams over the events, run to their end, against batch SQL
 
 
@@ -1109,6 +1192,16 @@ def stream_accumulate(spark, sf):
     return spark.read.parquet(f"{path}/editions").select("row_id")
 
 
+@query(with_views("select row_id from kept", "items_ev", ctes=_KEPT))
+def stream_refresh(spark, sf):
+    """The paper rebuilt from the stream, and once more when nothing new has come, which leaves it published."""
+    path = f"{shared_dir(spark)}/paper-{uuid.uuid4().hex}"
+    live = _stream(spark, sf, "items_ev").drop("edition_date").withColumn("published_at", F.col("published_at").cast("timestamp"))
+    for _ in range(2):
+        jobs.stream_refresh(live, f"{path}/editions", f"{path}/checkpoint", TIE, {"availableNow": True}).awaitTermination()
+    return spark.read.parquet(f"{path}/editions").select("row_id")
+
+
 @query(with_views("select item_id, section from best where r = 1 and margin >= 1", "moves_doc", "items_doc", ctes=_SCORE))
 def stream_classify(spark, sf):
     path = f"{shared_dir(spark)}/filed-{uuid.uuid4().hex}"
@@ -1120,7 +1213,8 @@ def stream_classify(spark, sf):
 def stream_retention(spark, sf):
     path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
     store.write_edition(events(spark, sf).select("row_id", "edition_date"), path)
-    return jobs.stream_retention(spark, path, "2024-01-20").select("row_id")
+    jobs.stream_retention(_stream(spark, sf, "items_ev"), path, f"{path}-checkpoint", "2024-01-20").awaitTermination()
+    return spark.read.parquet(path).select("row_id")
 
 
 @query(

@@ -19,6 +19,12 @@ def reflow(
     items: DataFrame, feeds: DataFrame, hosts: DataFrame, read: DataFrame, pins: DataFrame, predicted: DataFrame,
     checks: DataFrame | None = None, keys: tuple[str, ...] = KEYS, tie: tuple[str, ...] = (),
 ) -> DataFrame:
-    """The stored rows are left as they are; what the filters leave is deduped and placed again, so slots refill."""
-    seen = filters.hide_read(filters.drop_excluded_hosts(filters.drop_paused(items, feeds), hosts), read)
-    return place(filters.resolve_section(seen, pins, predicted, feeds), checks, keys, tie)
+    """The stored rows are left as they are; what the filters leave is deduped and placed again, so slots refill.
+
+    Keys beside the date, such as reader_id, are those of whoever reads: feeds, hosts, read items, pins and predictions
+    have these columns too, and a reader's rows apply to that reader alone.
+    """
+    by = tuple(k for k in keys if k not in KEYS)
+    seen = filters.drop_excluded_hosts(filters.drop_paused(items, feeds, by), hosts, by)
+    seen = filters.hide_read(seen, read, (*by, "item_id"))
+    return place(filters.resolve_section(seen, pins, predicted, feeds, by), checks, keys, tie)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def write_edition(items: DataFrame, path: str) -> None:
@@ -29,5 +30,35 @@ def prune_editions(editions: DataFrame, today: str, retention: int = 7) -> DataF
     return editions.filter(F.col("edition_date") >= F.date_sub(F.lit(today).cast("date"), retention - 1))
 
 
+def drop_pruned(spark: SparkSession, path: str, today: str, retention: int = 7) -> list[str]:
+    """Deletes the days that retention does not keep, folder by folder, and names them. The other days are not touched.
+
+    The days are known from the folders' names (no row is read), and there are no more of them than days stored.
+    """
+    days = [str(r[0]) for r in prunable_dates(spark.read.parquet(path), today, retention).orderBy("edition_date").collect()]
+    jvm = spark.sparkContext._jvm
+    for day in days:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/edition_date={day}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return days
+
+
+def write_documents(nested: DataFrame, path: str) -> None:
+    """Each edition as one JSON document, in a folder of its date; a date's document is replaced as a whole.
+
+    Keys are in order, dates and times in ISO form, and nulls are written. nested: see edition_nest.
+    """
+    fields = sorted(c for c in nested.columns if c != "edition_date")
+    options = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ssXXX"}
+    body = F.to_json(F.struct(F.col("edition_date").cast("string").alias("edition_date"), *fields), options)
+    rows = nested.select("edition_date", body.alias("value")).repartition("edition_date")
+    rows.write.partitionBy("edition_date").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(path)
+
+
+def read_documents(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The documents of write_documents, as rows of the nested form."""
+    return spark.read.text(path).select(F.from_json("value", schema).alias("d")).select("d.*")
+
+
 def prunable_dates(editions: DataFrame, today: str, retention: int = 7) -> DataFrame:
     return editions.select("edition_date").distinct().filter(F.col("edition_date") < F.date_sub(F.lit(today).cast("date"), retention - 1))

@@ -10,7 +10,8 @@ from newsprint.operators.classify import nb_predict, token_frequencies
 from newsprint.operators.dedupe import dedupe_items
 from newsprint.operators.filters import read_state
 from newsprint.operators.registry import fetch_state
-from newsprint.sources.store import prune_editions, write_edition
+from newsprint.session import cut
+from newsprint.sources.store import drop_pruned, write_edition
 
 
 def timestamps(df: DataFrame, column: str = "published_at") -> DataFrame:
@@ -32,7 +33,10 @@ def stream_day_counts(items: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def stream_late_items(items: DataFrame, today: str) -> DataFrame:
-    """Items with `timing`: late ones (before today) stay out of today's paper, early ones wait for their day."""
+    """Items with `timing`: late ones (before today) stay out of today's paper, early ones wait for their day.
+
+    Late here is by the calendar; what a watermark leaves out never reaches stream_day_counts or stream_dedupe.
+    """
     day, now = F.to_date("published_at"), F.lit(today).cast("date")
     return items.withColumn("timing", F.when(day < now, "late").when(day > now, "early").otherwise("today"))
 
@@ -43,10 +47,14 @@ def stream_feed_health(log: DataFrame) -> DataFrame:
 
 
 def stream_classify(items: DataFrame, counts: DataFrame, stats: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Predictions for arriving items with the model as it stands, batch by batch."""
+    """Predictions for arriving items with the model as it stands, batch by batch.
 
-    def batch(df: DataFrame, _: int) -> None:
-        nb_predict(token_frequencies(df), counts, stats).write.mode("append").parquet(out)
+    Every batch is a partition of its own, written as a whole: one that runs again after a failure replaces its rows.
+    """
+    counts, stats = cut(counts), cut(stats)
+
+    def batch(df: DataFrame, number: int) -> None:
+        nb_predict(token_frequencies(df), counts, stats).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -78,11 +86,20 @@ def stream_accumulate(items: DataFrame, path: str, checkpoint: str, tie: tuple[s
     return query.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def stream_refresh(items: DataFrame, path: str, checkpoint: str, tie: tuple[str, ...] = ()) -> StreamingQuery:
-    """The hourly rebuild; what arrived while nothing ran is read at the start, from the checkpoint on."""
-    return stream_accumulate(items, path, checkpoint, tie, {"processingTime": "1 hour"})
+def stream_refresh(items: DataFrame, path: str, checkpoint: str, tie: tuple[str, ...] = (), trigger: dict | None = None) -> StreamingQuery:
+    """The hourly rebuild; what arrived while nothing ran is read at the start, from the checkpoint on.
+
+    Only days that a batch touches are written, so a rebuild without items leaves the published paper as it is.
+    """
+    return stream_accumulate(items, path, checkpoint, tie, trigger or {"processingTime": "1 hour"})
 
 
-def stream_retention(spark: SparkSession, path: str, today: str, retention: int = 7) -> DataFrame:
-    """What retention leaves of the stored editions; run after each batch."""
-    return prune_editions(spark.read.parquet(path), today, retention)
+def stream_retention(items: DataFrame, path: str, checkpoint: str, today: str, retention: int = 7, trigger: dict | None = None) -> StreamingQuery:
+    """Deletes the days that have run out, after each batch of arriving items. A batch that is run again deletes no more."""
+    spark = items.sparkSession
+
+    def batch(df: DataFrame, _: int) -> None:
+        drop_pruned(spark, path, today, retention)
+
+    query = items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return query.trigger(**(trigger or {"availableNow": True})).start()
