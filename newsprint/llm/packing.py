@@ -50,7 +50,7 @@ class PieceEncoder:
     beginning of a special string, is never a plain piece).
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 150_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
