@@ -43,7 +43,9 @@ def shards(docs: DataFrame, n_shards: int = 8, ranges: int = 512, per_range: int
     their group. Sampled splitters give `ranges` fine ranges, whose exact bytes are then counted. A fine range that lies
     across a shard boundary, or that a hot group of equal texts overfills, is subdivided: inside it, rows go to shards
     by their running bytes. So a shard differs from total / n_shards by less than one row. A slot is the row's place in
-    its shard. No window holds more than a fine range; ranges grow in number as the bytes do (ranges is the least).
+    its shard. No window holds more than a fine range; there is one for 100,000 rows, `ranges` at least and 65536 at most,
+    so that splitters and sums stay small (beyond 6.5 billion rows a range grows instead). The sample draws `per_range` keys
+    a range, 8 above 4096 ranges: it only places the splitters, and exact sums over all rows decide.
 
     Size is the bytes of the text plus 1; a null text has none. Rows alike in doc_id and text lie side by side. An empty
     table gives an empty result; further columns are ignored.

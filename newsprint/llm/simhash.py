@@ -129,20 +129,37 @@ def band_keys(fp: Column, bands: int, shared: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(k), *[part[i] for i in pick]) for k, pick in enumerate(combinations(range(bands), shared))])
 
 
+def rest_masks(bands: int, shared: int, parts: int) -> list[list[int]]:
+    """For every choice of bands (see band_keys) the bits outside of it, dealt into parts, as masks of signed longs."""
+    cuts = [64 * i // bands for i in range(bands + 1)]
+    out = []
+    for pick in combinations(range(bands), shared):
+        rest = [bit for i in range(bands) if i not in pick for bit in range(cuts[i], cuts[i + 1])]
+        out.append([int(np.array(sum(1 << bit for bit in rest[j::parts]), np.uint64).view(np.int64)) for j in range(parts)])
+    return out
+
+
 def links(fps: DataFrame, radius: int = 3, bands: int = 5, shard: int = 4096) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) with the same components as all links within the radius.
 
     Fingerprints within the radius agree wholly in at least bands - radius of the bands, so every link lies inside a
-    bucket of equal band choices. A bucket is a shard with a BK-tree of its own, built where the shuffle brings it. A
-    bucket of more than `shard` fingerprints is dealt into parts, and a task gets two parts at most: the tree is bounded
-    and no pair is left out. Trees go nowhere by broadcast, as their number grows with the corpus.
+    bucket of equal band choices. A bucket is a shard with a BK-tree of its own, built where the shuffle brings it. In a
+    bucket of more than `shard` fingerprints the other bits are dealt into radius + 1 parts, of which two fingerprints
+    within the radius have one in common, and each part's value is a bucket of its own. What is still larger (fingerprints
+    that agree in a dozen bits more) is cut into pieces, and a task gets two of them: the tree is bounded and no pair is
+    left out. Trees go nowhere by broadcast, as their number grows with the corpus.
     """
-    keyed = fps.select("fp", F.explode(band_keys(F.col("fp"), bands, bands - radius)).alias("key"))
-    hot = salted_count(keyed, ["key"]).filter(F.col("n") > shard).select("key", F.ceil(F.col("n") / shard).alias("parts"))
+    keyed = fps.select("fp", F.posexplode(band_keys(F.col("fp"), bands, bands - radius)).alias("pick", "key"))
+    hot = written(salted_count(keyed, ["key"]).filter(F.col("n") > shard).select("key"))
+    masks = F.array(*[F.array(*map(F.lit, m)) for m in rest_masks(bands, bands - radius, radius + 1)])
+    finer = keyed.join(hot, "key").select("fp", "key", F.posexplode(F.get(masks, F.col("pick"))).alias("part", "mask"))
+    finer = finer.select("fp", F.xxhash64("key", "part", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+    large = written(salted_count(finer, ["key"]).filter(F.col("n") > shard).select("key", F.ceil(F.col("n") / shard).alias("parts")))
     part = F.pmod(F.xxhash64(F.lit("part"), "fp"), F.col("parts"))
-    dealt = keyed.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", part)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    dealt = dealt.withColumn("other", other).select("fp", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("cell"))
+    pieces = finer.join(large, "key").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cells = pieces.select("fp", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("cell"))
+    small = keyed.join(hot, "key", "left_anti").select("fp", "key").unionByName(finer.join(large, "key", "left_anti"))
+    dealt = small.withColumnRenamed("key", "cell").unionByName(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(points: np.ndarray) -> Iterator[pa.RecordBatch]:

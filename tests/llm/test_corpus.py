@@ -153,6 +153,34 @@ def test_bk_tree_and_parts(spark):
     assert whole.count() > 100
 
 
+@pytest.mark.parametrize("shard", [4096, 40, 3])
+def test_hot_buckets(spark, shard):
+    """A family of 600 fingerprints that agree in half of their bits, some in far more: the same components as all pairs."""
+    rng = random.Random(4)
+    base = rng.getrandbits(64)
+    points = {base ^ sum(1 << b for b in rng.sample(range(30, 64), rng.randrange(9))) for _ in range(500)}
+    points |= {base ^ sum(1 << b for b in rng.sample(range(50, 64), rng.randrange(4))) for _ in range(100)}
+    array = np.unique(np.array(sorted(points), np.uint64))
+    near = np.bitwise_count(array[:, None] ^ array) <= 3
+    head = np.arange(len(array))
+    for _ in array:
+        new = np.where(near, head[None, :], len(array)).min(axis=1)
+        if (new == head).all():
+            break
+        head = new
+    signed = array.view(np.int64)
+    fps = spark.createDataFrame([(int(x),) for x in signed], "fp long")
+    got = {r.node: r.root for r in simhash.components(simhash.links(fps, shard=shard)).collect()}
+    least = {h: min(signed[head == h].tolist()) for h in set(head.tolist())}
+    assert {int(x): got.get(int(x), int(x)) for x in signed} == {int(x): least[h] for x, h in zip(signed, head.tolist(), strict=True)}
+
+
+def test_rest_masks():
+    for k, masks in enumerate(simhash.rest_masks(5, 2, 4)):
+        bits = [m & (1 << 64) - 1 for m in masks]
+        assert sum(m.bit_count() for m in bits) == (bits[0] | bits[1] | bits[2] | bits[3]).bit_count() == 64 - sum(12 + (i in (1, 2, 3, 4)) for i in list(simhash.combinations(range(5), 2))[k])
+
+
 def test_simhash_empty_and_stage(docs, none):
     assert simhash.near_duplicates(none).collect() == []
     kept = simhash.keep_one(docs)
