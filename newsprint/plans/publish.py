@@ -18,10 +18,11 @@ def enrich_images(items: DataFrame, crawl: DataFrame, k: int = 24, run_keys: tup
 
     The pages table meets only the links of these items: at most k rows a run stand on the small side.
     """
-    chosen = editions.top_k_newest(items, k, run_keys, tie).filter("image_url is null").select("link").distinct()
+    newest = cut(editions.top_k_newest(items, k, run_keys, tie).select(*dict.fromkeys(("link", "image_url", *run_keys, *tie))))
+    chosen = newest.filter("image_url is null").select("link").distinct()
     named = crawl.select(F.col("url").alias("link"), "html").join(chosen, "link").groupBy("link").agg(F.min("html").alias("html"))
     found = named.select("link", pages.og_image(F.col("html"), F.col("link")).alias("og"))
-    top = editions.top_k_newest(items, k, run_keys, tie).select(*run_keys, *tie).distinct().withColumn("in_budget", F.lit(True))
+    top = newest.select(*run_keys, *tie).distinct().withColumn("in_budget", F.lit(True))
     out = items.join(top, [*run_keys, *tie], "left").join(found, "link", "left")
     return out.withColumn("image_url", F.when(F.col("in_budget"), F.coalesce("image_url", "og")).otherwise(F.col("image_url"))).drop("og", "in_budget")
 
