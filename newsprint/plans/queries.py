@@ -77,26 +77,29 @@ def html_escape(spark, sf):
     return _documents(spark, sf).select("doc_id", F.md5(text.html_escape(F.col("text"))).alias("digest"))
 
 
-@query(
-    """select doc_id, case when doc_id % 4 < 3 then '' else md5('see ' || coalesce(text, '')) end as summary from documents"""
-)
+_STARTS = ("Article URL: ", "Submitted by ", "LINK: ", "link:", "see ", "the url: ", "URL: ", "")
+_BEGUN = "[" + ", ".join(f"'{x}'" for x in _STARTS) + "][doc_id % 8 + 1] || coalesce(text, '')"
+
+
+@query(f"select doc_id, case when regexp_matches(lower({_BEGUN}), '^({'|'.join(text.BOILERPLATE)})') then '' else md5({_BEGUN}) end as summary from documents")
 def clean_summary(spark, sf):
-    starts = F.element_at(F.array(*map(F.lit, ("Article URL: ", "Submitted by ", "LINK: ", "see "))), (F.col("doc_id") % 4 + 1).cast("int"))
-    clean = text.clean_summary(F.concat(starts, F.col("text")))
-    return _documents(spark, sf).select("doc_id", F.when(clean == "", "").otherwise(F.md5(clean)).alias("summary"))
+    begun = F.concat(F.element_at(F.array(*map(F.lit, _STARTS)), (F.col("doc_id") % 8 + 1).cast("int")), F.col("text"))
+    df = _documents(spark, sf).withColumns({"begun": begun, "clean": text.clean_summary(begun)})
+    return df.select("doc_id", F.when((F.col("clean") == "") & (F.col("begun") != ""), "").otherwise(F.md5("clean")).alias("summary"))
 
 
 @query(
     with_views(
-        """select row_id, case when row_id % 3 = 0 and event_type <> 'view' then title || ' [VIDEO]' else title end as shown
+        """select row_id, case when row_id % 9 in (0, 1, 2, 4, 6) and event_type <> 'view' then title || ' [VIDEO]' else title end as shown
         from (select row_id, title, section as event_type from items_ev) t""",
         "items_ev",
     )
 )
 def display_title(spark, sf):
-    ev = events(spark, sf)
+    """Titles of links of all kinds (see link_kind), some of which tell of a video themselves."""
+    ev = events(spark, sf).drop("link").join(_case_links(spark, sf), "row_id")
     told = F.when(F.col("section") == "view", F.lit("Watch this")).otherwise(F.col("summary"))
-    shown = text.display_title(F.col("title"), told, F.col("row_id") % 3 == 0)
+    shown = text.display_title(F.col("title"), told, urls.link_kind(F.col("link")) == "video")
     return ev.select("row_id", shown.alias("shown"))
 
 
