@@ -32,7 +32,7 @@ def written(df: DataFrame) -> DataFrame:
     """Cuts the lineage: the rows as Parquet in the shared folder, read again, so that a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

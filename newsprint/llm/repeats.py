@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsprint.llm.common import docs_of, map_arrow, map_pieces, row_key, written
+from newsprint.llm.common import docs_of, map_arrow, map_pieces, row_key, sieved, written
 
 _CHUNK = 1 << 20
 _KEY = ["rid", "did"]
@@ -133,9 +133,13 @@ def anchors(data: bytes, bounds: np.ndarray, sample: int, q: int) -> tuple[np.nd
 
 
 def _by_document(rows: DataFrame, texts: DataFrame, *fields: str) -> DataFrame:
-    """Different rows gathered for the document they belong to (no more than its own bytes give), with its text."""
+    """Different rows gathered for the document they belong to (no more than its own bytes give), with its text.
+
+    Texts without a row are left out before the shuffle (see sieved).
+    """
     gathered = rows.groupBy(*_KEY).agg(F.collect_set(F.struct(*fields)).alias("at"))
-    return texts.join(gathered.select(*_KEY, *[F.col("at")[f].alias(f) for f in fields]), _KEY)
+    gathered = written(gathered.select(*_KEY, *[F.col("at")[f].alias(f) for f in fields]))
+    return sieved(texts, gathered, "rid").join(gathered, _KEY)
 
 
 def _texts(piece: pa.RecordBatch) -> tuple[bytes, np.ndarray]:
@@ -296,7 +300,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, q: int = 50, block: int =
         sharing.select(*_KEY, F.lit(None).cast("struct<s: int, e: int>").alias("x"), F.lit(True).alias("shares"))
     )
     marks = written(marks.groupBy(*_KEY).agg(F.collect_set("x").alias("x"), F.max("shares").alias("shares")).select(*_KEY, "x.s", "x.e", "shares"))
-    touched = map_arrow(texts.join(marks.filter(F.size("s") > 0), _KEY), schema, remove)
+    cut = marks.filter(F.size("s") > 0)
+    touched = map_arrow(sieved(texts, cut, "rid").join(cut, _KEY), schema, remove)
     clean = scanned.join(marks, _KEY, "left").filter(F.coalesce(F.size("s"), F.lit(0)) <= 0)
     none = F.expr("cast(array() as array<struct<s: int, e: int>>)")
     clean = clean.select("doc_id", "n_bytes", none.alias("spans"), F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.coalesce("shares", F.lit(False)).alias("shares_passage"))
