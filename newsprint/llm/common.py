@@ -133,14 +133,15 @@ def one_row_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
     counted = rows.groupBy("root", "doc_id", "rid").agg(F.count(F.lit(1)).alias("n"))
     least = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "n")).alias("x"))
     # One key for both, so that neither a text with many copies nor a null id gathers rows.
-    chosen = written(least.select(F.xxhash64("x.none", "x.doc_id", "x.rid").alias("_row"), F.col("x.n").alias("_n")).distinct())
+    key, n, whole = unlike(docs, "key"), unlike(docs, "n"), unlike(docs, "whole")
+    chosen = written(least.select(F.xxhash64("x.none", "x.doc_id", "x.rid").alias(key), F.col("x.n").alias(n)).distinct())
     doc_id, text = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))
-    found = docs.withColumn("_row", F.xxhash64(doc_id.isNull(), doc_id, text)).join(chosen, "_row")
-    if chosen.filter("_n > 1").isEmpty():
+    found = docs.withColumn(key, F.xxhash64(doc_id.isNull(), doc_id, text)).join(chosen, key)
+    if chosen.filter(F.col(n) > 1).isEmpty():
         return found.select(*docs.columns)
     row = F.struct(*docs.columns)
-    again = found.filter("_n > 1").groupBy("_row").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("r")).select("r.*")
-    return found.filter("_n = 1").select(*docs.columns).unionByName(again)
+    again = found.filter(F.col(n) > 1).groupBy(key).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias(whole)).select(f"{whole}.*")
+    return found.filter(F.col(n) == 1).select(*docs.columns).unionByName(again)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

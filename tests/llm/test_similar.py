@@ -77,7 +77,7 @@ def test_stage_takes_copies_of_a_few_changes(spark):
 @pytest.mark.parametrize("shard", [2, 5])
 def test_parts_lose_no_link(spark, texts, shard):
     rows = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], SCHEMA)
-    prints = rows.transform(similar.shingled, 5).localCheckpoint()
+    prints = similar.written(rows.transform(similar.shingled, 5))
     of = {r.node: r.doc_id for r in prints.collect()}
     groups, want = plain_classes(texts), Counter()
     for r in prints.select("node").distinct().collect():
