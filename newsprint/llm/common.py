@@ -36,6 +36,18 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes that belong to no word turn into a space; A-Z turn into a-z. Bytes from 0x80 on are parts of words.
+_WORD_BYTES = {
+    digits: bytes(b if b >= 0x80 or digits and 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
+    for digits in (True, False)
+}
+
+
+def byte_words(text: str | None, digits: bool) -> list[bytes]:
+    """Words of letters (and digits) and characters beyond ASCII as UTF-8, A-Z in lower case; a null text has none."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES[digits]).split()
+
+
 def row_key() -> list[Column]:
     """Columns rid and did, which tell rows of (doc_id, text) apart. Rows alike in both share a key."""
     return [F.xxhash64("doc_id", "text").alias("rid"), F.coalesce("doc_id", F.lit(0)).alias("did")]

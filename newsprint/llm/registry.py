@@ -1,4 +1,4 @@
-"""Registered queries of the corpus operators. None has SQL: each is tested against a plain version instead."""
+"""Registered queries of the corpus operators, and SQL for those that it can express; the others are tested against a plain version."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsprint.llm import decontaminate, lines, packing, quality, repeats, secrets, sharding, simhash, toxicity
+from newsprint.llm import decontaminate, divergence, lines, packing, quality, repeats, resample, secrets, sharding, simhash, toxicity
 from newsprint.llm.common import table
 
 
@@ -54,12 +54,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_docs(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_docs(spark, sf_dir))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.digest(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    ops = (op1_suffix_dedup, op2_simhash, op3_sharding, op4_secrets, op5_quality, op6_decontamination, op7_line_dedup, op8_packing, op9_toxicity, op10_quality_rules)
+    ops = (op1_suffix_dedup, op2_simhash, op3_sharding, op4_secrets, op5_quality, op6_decontamination, op7_line_dedup, op8_packing, op9_toxicity, op10_quality_rules, op11_source_divergence, op13_resampling)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_source_divergence": divergence.SQL, "op13_resampling": resample.SQL}
