@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsprint.llm import decontaminate, divergence, lines, packing, quality, repeats, resample, secrets, sharding, simhash, toxicity
+from newsprint.llm import decontaminate, divergence, lines, neighbours, packing, quality, repeats, resample, secrets, sharding, simhash, toxicity
 from newsprint.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(_docs(spark, sf_dir))
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.digest(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -65,7 +69,7 @@ def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    ops = (op1_suffix_dedup, op2_simhash, op3_sharding, op4_secrets, op5_quality, op6_decontamination, op7_line_dedup, op8_packing, op9_toxicity, op10_quality_rules, op11_source_divergence, op13_resampling)
+    ops = (op1_suffix_dedup, op2_simhash, op3_sharding, op4_secrets, op5_quality, op6_decontamination, op7_line_dedup, op8_packing, op9_toxicity, op10_quality_rules, op11_source_divergence, op12_embedding_dedup, op13_resampling)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
