@@ -13,24 +13,49 @@ from pyspark.sql import functions as F
 
 from newsprint.llm.common import byte_words, map_pieces, slices, written
 
-_RUN = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
-_POSTING = pa.schema([("lang", pa.string()), ("term", pa.string()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+_RUN = pa.schema([("lang", pa.string()), ("term", pa.string()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("docs", pa.int64())])
+_POSTING = pa.schema([f for f in _RUN if f.name != "docs"])
 _SUM = "lang string, source string, item string, value long"
 
 
+def _added(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and the sum of the values of each."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[: len(key)]
+    return key[first], np.add.reduceat(value[order], first) if len(key) else value
+
+
+def _run(block: dict[tuple[str, str], tuple[Counter, Counter]]) -> pa.RecordBatch:
+    """A block's postings in the order of language and term: a row for each, with its sources."""
+    terms = sorted(set().union(*(count for count, _ in block.values())))
+    place = {t: i for i, t in enumerate(terms)}
+    groups = sorted(block)
+    langs = sorted({lang for lang, _ in groups})
+    size = [len(block[g][0]) for g in groups]
+    head = np.concatenate([np.fromiter(map(place.__getitem__, block[g][0]), np.int64, n) + langs.index(g[0]) * len(terms) for g, n in zip(groups, size, strict=True)])
+    count = np.concatenate([np.fromiter(block[g][0].values(), np.int64, n) for g, n in zip(groups, size, strict=True)])
+    seen = np.concatenate([np.fromiter(map(block[g][1].__getitem__, block[g][0]), np.int64, n) for g, n in zip(groups, size, strict=True)])
+    order = np.argsort(head, kind="stable")
+    heads, docs = _added(head, seen)
+    cuts = pa.array(np.r_[np.searchsorted(head[order], heads), len(head)], pa.int32())
+    sources = pa.array([s for _, s in groups]).take(pa.array(np.repeat(np.arange(len(groups)), size)[order]))
+    arrays = [
+        pa.array(langs).take(pa.array(heads // len(terms))), pa.array(terms, pa.binary()).cast(pa.string()).take(pa.array(heads % len(terms))),
+        pa.ListArray.from_arrays(cuts, sources), pa.ListArray.from_arrays(cuts, pa.array(count[order])), pa.array(docs),
+    ]
+    return pa.RecordBatch.from_arrays(arrays, schema=_RUN)
+
+
 def term_runs(docs: DataFrame, most: int = 400_000) -> DataFrame:
-    """(lang, term, source, n, docs): sorted runs of postings, each of a block of documents that fills the memory.
+    """(lang, term, sources, counts, docs): sorted runs of postings, each of a block of documents that fills the memory.
 
     A task counts terms in dictionaries of its own, in one pass over its documents. Once they hold `most` postings (and
-    before that, a document at most more), they go out as a run in the order of (lang, term, source), and a new block
-    begins. Each (lang, source) has a posting of the term '' with the number of its documents, so that groups without
-    terms are known. A very long text is one document of a block, whose different terms are all that is held.
+    before that, a document at most more), they go out as a run in the order of (lang, term), and a new block begins.
+    Each (lang, source) has a posting of the term '' with no occurrence, so that groups without terms are known. A very
+    long text is one document of a block, whose different terms are all that is held.
     """
 
-    def emit(block: dict[tuple[str, str], tuple[Counter, Counter]]) -> pa.RecordBatch:
-        rows = sorted((lang, term.decode("utf-8", "surrogatepass"), source, n, seen[term]) for (lang, source), (count, seen) in block.items() for term, n in count.items())
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RUN, strict=True)], schema=_RUN)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
         held = 0
@@ -43,17 +68,16 @@ def term_runs(docs: DataFrame, most: int = 400_000) -> DataFrame:
                     count.update(words)
                     count[b""] += 0
                     seen.update(set(words))
-                    seen[b""] += 1
                     held += len(count)
                     if held >= most:
-                        yield emit(block)
+                        yield _run(block)
                         block.clear()
                         held = 0
         if block:
-            yield emit(block)
+            yield _run(block)
 
     named = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    return named.mapInArrow(run, "lang string, term string, source string, n long, docs long")
+    return named.mapInArrow(run, "lang string, term string, sources array<string>, counts array<long>, docs long")
 
 
 def _starts(*columns: pa.Array) -> np.ndarray:
@@ -68,18 +92,18 @@ def _starts(*columns: pa.Array) -> np.ndarray:
 
 def _merge(table: pa.Table, least: int) -> pa.RecordBatch:
     """Postings of whole terms from rows in order; terms in fewer than `least` documents of their language go, '' stays."""
-    lang, term, source = (table.column(c).combine_chunks() for c in ("lang", "term", "source"))
-    n, docs = (table.column(c).to_numpy() for c in ("n", "docs"))
-    each = _starts(lang, term, source)
-    count = np.add.reduceat(n, each)
+    lang, term, sources, counts = (table.column(c).combine_chunks() for c in ("lang", "term", "sources", "counts"))
     first = _starts(lang, term)
-    seen = np.add.reduceat(docs, first)
-    inner = np.searchsorted(each, np.r_[first, len(n)])
+    seen = np.add.reduceat(table.column("docs").to_numpy(), first)
+    names = sources.flatten().dictionary_encode()
+    size = np.diff(np.r_[first, len(term)])
+    head = np.repeat(np.repeat(np.arange(len(first)), size), pc.list_value_length(sources).to_numpy())
+    key, count = _added(head * len(names.dictionary) + names.indices.to_numpy(), counts.flatten().to_numpy())
+    cuts = pa.array(np.searchsorted(key // len(names.dictionary), np.arange(len(first) + 1)), pa.int32())
+    lists = pa.ListArray.from_arrays(cuts, names.dictionary.take(pa.array(key % len(names.dictionary))))
     heads = term.take(pa.array(first))
-    lists = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), source.take(pa.array(each)))
-    numbers = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(count))
     keep = pa.array((seen >= least) | np.asarray(pc.equal(heads, "")))
-    arrays = [lang.take(pa.array(first)), heads, lists, numbers]
+    arrays = [lang.take(pa.array(first)), heads, lists, pa.ListArray.from_arrays(cuts, pa.array(count))]
     return pa.RecordBatch.from_arrays([a.filter(keep) for a in arrays], schema=_POSTING)
 
 
@@ -88,7 +112,7 @@ def postings(runs: DataFrame, least: int = 3) -> DataFrame:
 
     Runs are dealt by (lang, term) into hash shards; Spark's sort of a shard spills and heap-merges the runs that it
     gets, and a task streams over them in order, with the rows of an Arrow batch and of one term in memory. A term has a
-    row for each block and source at most, so a frequent one is no heavier than its sources.
+    row for each block at most, so a frequent one is no heavier than its sources.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +130,7 @@ def postings(runs: DataFrame, least: int = 3) -> DataFrame:
         if rest:
             yield _merge(pa.Table.from_batches(rest), least)
 
-    shards = runs.repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
+    shards = runs.repartition("lang", "term").sortWithinPartitions("lang", "term")
     return shards.mapInArrow(run, "lang string, term string, sources array<string>, counts array<long>")
 
 
@@ -142,43 +166,42 @@ def _together(rows: DataFrame, most: int = 1 << 20) -> DataFrame:
 
     Beside a pair's sums for terms that only one of its sources has (see _alone), a shared term adds
     f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0), with p0 and q0 the shares of a count of zero. Corrections are held as
-    numbers of a batch's groups and added up once `most` are there, so a task sends a row for each pair and that many of
-    them at most.
+    numbers of a batch's groups and added up once about `most` are there, so a task sends a row for each pair and batch
+    at most. Terms of as many sources are worked on together, a slice of their pairs at a time.
     """
 
     def run(piece: pa.RecordBatch) -> dict[str, object]:
-        names: dict[tuple[str, str], int] = {}
+        lists = {c: piece.column(c) for c in ("sources", "counts", "totals")}
+        size = pc.list_value_length(lists["sources"]).to_numpy()
+        start = np.cumsum(size) - size
+        names, langs = lists["sources"].flatten().dictionary_encode(), piece.column("lang").dictionary_encode()
+        width = len(names.dictionary)
+        own = names.indices.to_numpy().astype(np.int64) + np.repeat(langs.indices.to_numpy().astype(np.int64), size) * width
+        count, total = (lists[c].flatten().to_numpy() for c in ("counts", "totals"))
+        p, p0 = shares(count, total), shares(np.zeros_like(count), total)
+        key, value = np.zeros(0, np.int64), np.zeros(0, np.int64)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        out: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
         held = 0
-
-        def added() -> tuple[np.ndarray, np.ndarray]:
-            pair, value = (np.concatenate([x[k] for x in (out, *parts)]) for k in (0, 1))
-            pair, at = np.unique(pair, return_inverse=True)
-            total = np.zeros(len(pair), np.int64)
-            np.add.at(total, at, value)
-            return pair, total
-
-        columns = [piece.column(c).to_pylist() for c in ("lang", "sources", "counts", "totals")]
-        for lang, sources, counts, totals in zip(*columns, strict=True):
-            own = np.array([names.setdefault((lang, s), len(names)) for s in sources], np.int64)
-            count, total = np.array(counts, np.int64), np.array(totals, np.int64)
-            p, p0 = shares(count, total), shares(np.zeros_like(count), total)
-            step = max(1, most // len(own))
-            for lo in range(0, len(own), step):
-                a, b = p[lo : lo + step, None], p0[lo : lo + step, None]
-                value = surprise(a, p[None]) - surprise(a, p0[None]) - surprise(b, p[None]) + surprise(b, p0[None])
-                pair = own[lo : lo + step, None] << 32 | own[None]
-                keep = pair != own[None] << 32 | own[None]
-                parts.append((pair[keep], value[keep]))
-                held += value.size
-                if held >= most:
-                    out, held = added(), 0
-                    parts.clear()
-        pair, value = added()
-        known = list(names)
-        first, second = [known[x] for x in (pair >> 32).tolist()], [known[x][1] for x in (pair & 0xFFFFFFFF).tolist()]
-        return {"lang": [x[0] for x in first], "source": [x[1] for x in first], "item": second, "value": value}
+        for n in np.unique(size).tolist():
+            at = start[size == n]
+            step = max(1, most // (n * n))
+            part = max(1, min(n, most // n))
+            for lo in range(0, len(at), step):
+                place = at[lo : lo + step, None] + np.arange(n)
+                for i in range(0, n, part):
+                    a, b, g = (x[place[:, i : i + part]][:, :, None] for x in (p, p0, own))
+                    q, q0, h = (x[place][:, None, :] for x in (p, p0, own))
+                    found = surprise(a, q) - surprise(a, q0) - surprise(b, q) + surprise(b, q0)
+                    keep = g != h
+                    parts.append(_added((g << 32 | h)[keep], found[keep]))
+                    held += len(parts[-1][0])
+                    if held >= most:
+                        key, value = _added(*(np.concatenate([x, *(y[k] for y in parts)]) for k, x in enumerate((key, value))))
+                        parts, held = [], 0
+        key, value = _added(*(np.concatenate([x, *(y[k] for y in parts)]) for k, x in enumerate((key, value))))
+        first, second = key >> 32, key & 0xFFFFFFFF
+        named = {"lang": langs.dictionary.take(pa.array(first // width)), "source": names.dictionary.take(pa.array(first % width))} if width else {"lang": [], "source": []}
+        return named | {"item": names.dictionary.take(pa.array(second % max(1, width))), "value": value}
 
     return map_pieces(rows, _SUM, run, 8 << 20)
 
