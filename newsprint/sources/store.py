@@ -1,22 +1,172 @@
-"""Editions on disk: a partition for each day."""
+"""Editions on disk: a folder for each day, and a manifest that says which files of it count."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import re
+import uuid
+from collections.abc import Callable, Iterable
+from datetime import date
+
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, StringType, StructField, StructType
+
+_MANIFEST, _STAGE = "_manifest", "_stage"
+#: Manifests that stay beside the newest one, for readers that have just looked it up.
+_KEPT = 20
+_FILE = re.compile(r"part-\d+-([0-9a-f-]{36})")
+
+
+class _Files:
+    """The few file-system calls of the store, by Hadoop's interface, so that any store that Spark reads will do."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.jvm = spark.sparkContext._jvm
+        self.fs = self.path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(name)
+
+    def names(self, folder: str) -> list[str]:
+        at = self.path(folder)
+        return sorted(x.getPath().getName() for x in self.fs.listStatus(at)) if self.fs.exists(at) else []
+
+    def read(self, name: str) -> str:
+        stream = self.fs.open(self.path(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        stream = self.fs.create(self.path(name), False)
+        try:
+            stream.write(bytearray(text.encode("utf-8")))
+        finally:
+            stream.close()
+
+    def move(self, old: str, new: str) -> bool:
+        """False if new is there already."""
+        return not self.fs.exists(self.path(new)) and self.fs.rename(self.path(old), self.path(new))
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self.path(name), True)
+
+
+def _day_of(folder: str) -> str | None:
+    """The date that a folder is named for, if it is one."""
+    found = re.fullmatch(r"edition_date=(\d{4}-\d{2}-\d{2})", folder)
+    try:
+        return date.fromisoformat(found[1]).isoformat() if found else None
+    except ValueError:
+        return None
+
+
+def _manifest(files: _Files, path: str) -> tuple[int, dict]:
+    """Number and content of the newest manifest: the version of each day, and the schema of its rows.
+
+    A store without one (days written by plain Spark) counts as it lies: its days have no version, all of their files count.
+    """
+    numbers = [int(n[:-5]) for n in files.names(f"{path}/{_MANIFEST}") if re.fullmatch(r"\d+\.json", n)]
+    if numbers:
+        return max(numbers), json.loads(files.read(f"{path}/{_MANIFEST}/{max(numbers):010d}.json"))
+    return 0, {"days": {d: None for d in map(_day_of, files.names(path)) if d}, "schema": None}
+
+
+def _swap(files: _Files, path: str, change: Callable[[dict], dict], tries: int = 20) -> tuple[dict, dict]:
+    """Puts a changed manifest in the place of the newest one, whole or not at all; the old one and the new one.
+
+    It is written aside and renamed to the next number. Where another writer had that number first, its manifest is read
+    and the change is made to it instead.
+    """
+    for _ in range(tries):
+        number, old = _manifest(files, path)
+        new, aside = change(json.loads(json.dumps(old))), f"{path}/{_MANIFEST}/.{uuid.uuid4().hex}"
+        files.write(aside, json.dumps(new, sort_keys=True))
+        if files.move(aside, f"{path}/{_MANIFEST}/{number + 1:010d}.json"):
+            for name in files.names(f"{path}/{_MANIFEST}"):
+                if re.fullmatch(r"\d+\.json", name) and int(name[:-5]) <= number - _KEPT:
+                    files.delete(f"{path}/{_MANIFEST}/{name}")
+            return old, new
+        files.delete(aside)
+    raise RuntimeError(f"{path}: other writers were first {tries} times")
+
+
+def _publish(rows: DataFrame, path: str, write: Callable[[DataFrameWriter, str], None], schema: StructType) -> None:
+    """Replaces the days of rows, all at once: new files lie beside the old ones, and count once the manifest names them.
+
+    A write that fails before that leaves the old days as they are, for whoever reads by the manifest. The files of
+    the replaced versions are then deleted; those of a write that was cut off stay until `sweep`.
+    """
+    files, version = _Files(rows.sparkSession, path), uuid.uuid4().hex
+    stage = f"{path}/{_STAGE}/{version}"
+    # AQE deals a large day to several tasks and gathers small ones, by the bytes that the shuffle has counted.
+    write(rows.filter("edition_date is not null").hint("rebalance", "edition_date").write.partitionBy("edition_date"), stage)
+    written = {}
+    for day in filter(None, map(_day_of, files.names(stage))):
+        for name in files.names(f"{stage}/edition_date={day}"):
+            if found := _FILE.match(name):
+                files.fs.mkdirs(files.path(f"{path}/edition_date={day}"))
+                if not files.move(f"{stage}/edition_date={day}/{name}", f"{path}/edition_date={day}/{name}"):
+                    raise OSError(f"{path}: {name} can't be moved to its day")
+                written[day] = found[1]
+    if written:
+        old, _ = _swap(files, path, lambda m: {"days": m["days"] | written, "schema": schema.jsonValue()})
+        for day in written.keys() & old["days"].keys():
+            _forget(files, path, day, written[day])
+    files.delete(stage)
+
+
+def _forget(files: _Files, path: str, day: str, version: str | None) -> None:
+    """Deletes the data files of a day but those of a version."""
+    for name in files.names(f"{path}/edition_date={day}"):
+        found = _FILE.match(name)
+        if found and found[1] != version:
+            files.delete(f"{path}/edition_date={day}/{name}")
+
+
+def _globs(days: dict[str, str | None], path: str) -> list[str]:
+    return [f"{path}/edition_date={d}" + (f"/part-*-{v}*" if v else "") for d, v in sorted(days.items())]
 
 
 def write_edition(items: DataFrame, path: str) -> None:
     """Replaces the days in items and leaves the others. Days without a row in items are untouched, so an empty rebuild
-    does not wipe out an edition that has items."""
-    out = items.repartition("edition_date")
-    out.write.partitionBy("edition_date").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    does not wipe out an edition that has items; rows without a date are in no edition.
+
+    The days are swapped at once and whole (see _publish). A day of very many rows is written by several tasks.
+    """
+    _publish(items, path, lambda w, to: w.parquet(to), items.schema)
+
+
+def read_editions(spark: SparkSession, path: str, days: Iterable[str] | None = None, schema: StructType | None = None) -> DataFrame:
+    """The rows of the given days (of all days, if none are given), as the manifest has them.
+
+    A day that is not stored, and a path that does not exist, give no rows; a folder whose name is no date is never
+    looked at; a file that can't be decoded gives none of its rows. Without rows the columns are those of `schema`, or of
+    what was last written, or just edition_date.
+    """
+    _, manifest = _manifest(_Files(spark, path), path)
+    wanted = manifest["days"].keys() if days is None else set(days)
+    found = {d: v for d, v in manifest["days"].items() if d in wanted}
+    if schema is None and manifest["schema"]:
+        schema = StructType.fromJson(manifest["schema"])
+    schema = schema or (None if found else StructType([StructField("edition_date", DateType())]))
+    if not found:
+        return spark.createDataFrame([], schema)
+    reader = spark.read.option("basePath", path).option("ignoreCorruptFiles", "true")
+    rows = (reader.schema(schema) if schema else reader).parquet(*_globs(found, path))
+    return rows.select(*(f.name for f in schema)) if schema else rows
 
 
 def read_edition(spark: SparkSession, path: str, day: str) -> DataFrame:
-    """The rows of a day, by partition pruning; none if there is no such day."""
-    return spark.read.parquet(path).filter(F.col("edition_date") == F.lit(day).cast("date"))
+    """The rows of a day, from its files alone; none if there is no such day (see read_editions)."""
+    return read_editions(spark, path, [day])
+
+
+def stored_days(spark: SparkSession, path: str) -> list[str]:
+    """The dates that a store has editions of, in order."""
+    return sorted(_manifest(_Files(spark, path), path)[1]["days"])
 
 
 def publish_guard(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("edition_date",)) -> DataFrame:
@@ -31,33 +181,60 @@ def prune_editions(editions: DataFrame, today: str, retention: int = 7) -> DataF
 
 
 def drop_pruned(spark: SparkSession, path: str, today: str, retention: int = 7) -> list[str]:
-    """Deletes the days that retention does not keep, folder by folder, and names them. The other days are not touched.
+    """Deletes the days that retention does not keep, and names them. All else is left alone, folders of other names too.
 
-    The days are known from the folders' names (no row is read), and there are no more of them than days stored.
+    The days are the folders' names (no row is read). They leave the manifest first, so no reader finds half a day.
     """
-    days = [str(r[0]) for r in prunable_dates(spark.read.parquet(path), today, retention).orderBy("edition_date").collect()]
-    jvm = spark.sparkContext._jvm
-    for day in days:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/edition_date={day}")
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    return days
+    files = _Files(spark, path)
+    least = date.fromordinal(date.fromisoformat(today).toordinal() - retention + 1).isoformat()
+    gone = [d for d in map(_day_of, files.names(path)) if d and d < least]
+    number, _ = _manifest(files, path)
+    if gone and number:
+        _swap(files, path, lambda m: m | {"days": {d: v for d, v in m["days"].items() if d >= least}})
+    for day in gone:
+        files.delete(f"{path}/edition_date={day}")
+    return gone
+
+
+def sweep(spark: SparkSession, path: str) -> None:
+    """Deletes what writes that were cut off have left: files that the manifest does not name. No write may be running."""
+    files = _Files(spark, path)
+    number, manifest = _manifest(files, path)
+    if not number:
+        return
+    files.delete(f"{path}/{_STAGE}")
+    for day in filter(None, map(_day_of, files.names(path))):
+        if day not in manifest["days"] or manifest["days"][day]:
+            _forget(files, path, day, manifest["days"].get(day))
 
 
 def write_documents(nested: DataFrame, path: str) -> None:
-    """Each edition as one JSON document, in a folder of its date; a date's document is replaced as a whole.
+    """Each edition as one JSON document, in a folder of its date; a date's documents are replaced as a whole, as in
+    write_edition.
 
     Keys are in order, dates and times in ISO form, and nulls are written. nested: see edition_nest.
     """
     fields = sorted(c for c in nested.columns if c != "edition_date")
     options = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ssXXX"}
     body = F.to_json(F.struct(F.col("edition_date").cast("string").alias("edition_date"), *fields), options)
-    rows = nested.select("edition_date", body.alias("value")).repartition("edition_date")
-    rows.write.partitionBy("edition_date").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(path)
+    _publish(nested.select("edition_date", body.alias("value")), path, lambda w, to: w.text(to), nested.schema)
 
 
 def read_documents(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The documents of write_documents, as rows of the nested form."""
-    return spark.read.text(path).select(F.from_json("value", schema).alias("d")).select("d.*")
+    """The documents of write_documents, as rows of the nested form.
+
+    A document that is no JSON, that does not fit the schema, or that lacks its date or one of its lists gives no row; so
+    does a path that does not exist.
+    """
+    _, manifest = _manifest(_Files(spark, path), path)
+    if not manifest["days"]:
+        return spark.createDataFrame([], schema)
+    lines = spark.read.text(_globs(manifest["days"], path))
+    marked = StructType([*schema, StructField("_broken", StringType())])
+    whole = F.from_json("value", marked, {"columnNameOfCorruptRecord": "_broken"})
+    needed = [f.name for f in schema if f.name == "edition_date" or f.dataType.typeName() == "array" and f.name in ("secondaries", "briefs")]
+    rows = lines.select(whole.alias("d")).filter("d._broken is null").select("d.*").drop("_broken")
+    return rows.dropna(subset=needed) if needed else rows
 
 
 def prunable_dates(editions: DataFrame, today: str, retention: int = 7) -> DataFrame:
