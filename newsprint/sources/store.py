@@ -63,15 +63,22 @@ def _day_of(folder: str) -> str | None:
         return None
 
 
+def _table_and_day(part: str) -> tuple[str, str | None]:
+    """Of a part such as _seen/rows/edition_date=2024-01-01/bucket=3, its table (_seen/rows; '' for editions) and its day."""
+    names = part.split("/")
+    at = next((i for i, n in enumerate(names) if n.startswith("edition_date=")), len(names))
+    return "/".join(names[:at]), _day_of(names[at]) if at < len(names) else None
+
+
 def _manifest(files: _Files, path: str) -> tuple[int, dict]:
-    """Number and content of the newest manifest: the version of each day, and the schema of its rows.
+    """Number and content of the newest manifest: the version of each part (a day, or a bucket of one), and schemas of tables.
 
     A store without one (days written by plain Spark) counts as it lies: its days have no version, all of their files count.
     """
     numbers = [int(n[:-5]) for n in files.names(f"{path}/{_MANIFEST}") if re.fullmatch(r"\d+\.json", n)]
     if numbers:
         return max(numbers), json.loads(files.read(f"{path}/{_MANIFEST}/{max(numbers):010d}.json"))
-    return 0, {"days": {d: None for d in map(_day_of, files.names(path)) if d}, "schema": None}
+    return 0, {"parts": {n: None for n in files.names(path) if _day_of(n)}, "schemas": {}}
 
 
 def _swap(files: _Files, path: str, change: Callable[[dict], dict], tries: int = 20) -> tuple[dict, dict]:
@@ -93,50 +100,91 @@ def _swap(files: _Files, path: str, change: Callable[[dict], dict], tries: int =
     raise RuntimeError(f"{path}: other writers were first {tries} times")
 
 
-def _publish(rows: DataFrame, path: str, write: Callable[[DataFrameWriter, str], None], schema: StructType) -> None:
-    """Replaces the days of rows, all at once: new files lie beside the old ones, and count once the manifest names them.
+def _leaves(files: _Files, top: str, depth: int) -> list[str]:
+    """Folders of so many levels of partition columns under top, by their relative names."""
+    found = [""]
+    for _ in range(depth):
+        found = [f"{f}/{n}".lstrip("/") for f in found for n in files.names(f"{top}/{f}".rstrip("/")) if "=" in n]
+    return found
+
 
-    A write that fails before that leaves the old days as they are, for whoever reads by the manifest. The files of
-    the replaced versions are then deleted; those of a write that was cut off stay until `sweep`.
+def publish(rows: dict[str, DataFrame], path: str, by: tuple[str, ...], gone: Callable[[str, set[str]], bool], write: Callable[[DataFrameWriter, str], None] | None = None, schemas: dict | None = None) -> None:
+    """Replaces parts of tables, all at once: new files lie beside the old ones, and count once the manifest names them.
+
+    rows holds a DataFrame for each table ('' is the editions' own), whose parts are values of the columns `by`, the
+    first of them edition_date. Parts with new rows are replaced; gone(part, new parts) says which others go with them.
+    A write that fails before the swap leaves all as it was, for whoever reads by the manifest. The files of the
+    replaced versions are then deleted; those of a write that was cut off stay until `sweep`.
     """
-    files, version = _Files(rows.sparkSession, path), uuid.uuid4().hex
+    files, version = _Files(next(iter(rows.values())).sparkSession, path), uuid.uuid4().hex
     stage = f"{path}/{_STAGE}/{version}"
-    # AQE deals a large day to several tasks and gathers small ones, by the bytes that the shuffle has counted.
-    write(rows.filter("edition_date is not null").hint("rebalance", "edition_date").write.partitionBy("edition_date"), stage)
-    written = {}
-    for day in filter(None, map(_day_of, files.names(stage))):
-        for name in files.names(f"{stage}/edition_date={day}"):
-            if found := _FILE.match(name):
-                files.fs.mkdirs(files.path(f"{path}/edition_date={day}"))
-                if not files.move(f"{stage}/edition_date={day}/{name}", f"{path}/edition_date={day}/{name}"):
-                    raise OSError(f"{path}: {name} can't be moved to its day")
-                written[day] = found[1]
-    if written:
-        old, _ = _swap(files, path, lambda m: {"days": m["days"] | written, "schema": schema.jsonValue()})
-        for day in written.keys() & old["days"].keys():
-            _forget(files, path, day, written[day])
+    if not _manifest(files, path)[0]:
+        _swap(files, path, lambda m: m)  # what lies there now counts, what is moved there from here on does not yet
+    new: dict[str, str] = {}
+    for k, (table, df) in enumerate(rows.items()):
+        # AQE deals a large part to several tasks and gathers small ones, by the bytes that the shuffle has counted.
+        writer = df.filter("edition_date is not null").hint("rebalance", *by).write.partitionBy(*by)
+        (write or (lambda w, to: w.parquet(to)))(writer, f"{stage}/{k}")
+        for leaf in _leaves(files, f"{stage}/{k}", len(by)):
+            part = f"{table}/{leaf}".lstrip("/")
+            if _table_and_day(part)[1]:
+                files.fs.mkdirs(files.path(f"{path}/{part}"))
+                for name in files.names(f"{stage}/{k}/{leaf}"):
+                    if found := _FILE.match(name):
+                        if not files.move(f"{stage}/{k}/{leaf}/{name}", f"{path}/{part}/{name}"):
+                            raise OSError(f"{path}: {name} can't be moved to its part")
+                        new[part] = found[1]
+    stored = {t: json.loads(df.schema.json()) for t, df in rows.items()} | (schemas or {})
+
+    def change(m: dict) -> dict:
+        stay = {p: v for p, v in m["parts"].items() if p not in new and not gone(p, set(new))}
+        return {"parts": stay | new, "schemas": m["schemas"] | stored}
+
+    before, after = _swap(files, path, change) if new else ({"parts": {}}, {"parts": {}})
+    for part in before["parts"]:
+        if after["parts"].get(part, "") != before["parts"][part]:
+            _forget(files, path, part, after["parts"].get(part, ""))
     files.delete(stage)
 
 
-def _forget(files: _Files, path: str, day: str, version: str | None) -> None:
-    """Deletes the data files of a day but those of a version."""
-    for name in files.names(f"{path}/edition_date={day}"):
+def _forget(files: _Files, path: str, part: str, version: str | None) -> None:
+    """Deletes the data files of a part but those of a version."""
+    for name in files.names(f"{path}/{part}"):
         found = _FILE.match(name)
         if found and found[1] != version:
-            files.delete(f"{path}/edition_date={day}/{name}")
+            files.delete(f"{path}/{part}/{name}")
+
+
+def _of_replaced_days(part: str, new: set[str]) -> bool:
+    """Whether a part, of whatever table, is of a day that is written as a whole."""
+    return any(_table_and_day(part)[1] == _table_and_day(p)[1] for p in new)
 
 
-def _globs(days: dict[str, str | None], path: str) -> list[str]:
-    return [f"{path}/edition_date={d}" + (f"/part-*-{v}*" if v else "") for d, v in sorted(days.items())]
+def _globs(path: str, parts: dict[str, str | None]) -> list[str]:
+    return [f"{path}/{p}" + (f"/part-*-{v}*" if v else "") for p, v in sorted(parts.items())]
+
+
+def read_parts(spark: SparkSession, path: str, table: str, wanted: Callable[[str], bool] | None = None, schema: StructType | None = None) -> DataFrame:
+    """The rows of a table's parts that are wanted (of all), by their files alone, as the manifest has them."""
+    _, manifest = _manifest(_Files(spark, path), path)
+    found = {p: v for p, v in manifest["parts"].items() if _table_and_day(p)[0] == table and (wanted is None or wanted(p))}
+    if schema is None and table in manifest["schemas"]:
+        schema = StructType.fromJson(manifest["schemas"][table])
+    schema = schema or (None if found else StructType([StructField("edition_date", DateType())]))
+    if not found:
+        return spark.createDataFrame([], schema)
+    reader = spark.read.option("basePath", f"{path}/{table}".rstrip("/")).option("ignoreCorruptFiles", "true")
+    rows = (reader.schema(schema) if schema else reader).parquet(*_globs(path, found))
+    return rows.select(*(f.name for f in schema)) if schema else rows
 
 
 def write_edition(items: DataFrame, path: str) -> None:
     """Replaces the days in items and leaves the others. Days without a row in items are untouched, so an empty rebuild
     does not wipe out an edition that has items; rows without a date are in no edition.
 
-    The days are swapped at once and whole (see _publish). A day of very many rows is written by several tasks.
+    The days are swapped at once and whole (see publish). A day of very many rows is written by several tasks.
     """
-    _publish(items, path, lambda w, to: w.parquet(to), items.schema)
+    publish({"": items}, path, ("edition_date",), _of_replaced_days)
 
 
 def read_editions(spark: SparkSession, path: str, days: Iterable[str] | None = None, schema: StructType | None = None) -> DataFrame:
@@ -146,17 +194,8 @@ def read_editions(spark: SparkSession, path: str, days: Iterable[str] | None = N
     looked at; a file that can't be decoded gives none of its rows. Without rows the columns are those of `schema`, or of
     what was last written, or just edition_date.
     """
-    _, manifest = _manifest(_Files(spark, path), path)
-    wanted = manifest["days"].keys() if days is None else set(days)
-    found = {d: v for d, v in manifest["days"].items() if d in wanted}
-    if schema is None and manifest["schema"]:
-        schema = StructType.fromJson(manifest["schema"])
-    schema = schema or (None if found else StructType([StructField("edition_date", DateType())]))
-    if not found:
-        return spark.createDataFrame([], schema)
-    reader = spark.read.option("basePath", path).option("ignoreCorruptFiles", "true")
-    rows = (reader.schema(schema) if schema else reader).parquet(*_globs(found, path))
-    return rows.select(*(f.name for f in schema)) if schema else rows
+    wanted = None if days is None else set(days)
+    return read_parts(spark, path, "", None if wanted is None else lambda part: _table_and_day(part)[1] in wanted, schema)
 
 
 def read_edition(spark: SparkSession, path: str, day: str) -> DataFrame:
@@ -166,7 +205,15 @@ def read_edition(spark: SparkSession, path: str, day: str) -> DataFrame:
 
 def stored_days(spark: SparkSession, path: str) -> list[str]:
     """The dates that a store has editions of, in order."""
-    return sorted(_manifest(_Files(spark, path), path)[1]["days"])
+    return sorted({d for t, d in map(_table_and_day, _manifest(_Files(spark, path), path)[1]["parts"]) if not t})
+
+
+def tables_of(spark: SparkSession, path: str) -> dict[str, set[str]]:
+    """The dates that each table beside the editions has parts of."""
+    found: dict[str, set[str]] = {}
+    for table, day in map(_table_and_day, _manifest(_Files(spark, path), path)[1]["parts"]):
+        found.setdefault(table, set()).add(day)
+    return found
 
 
 def publish_guard(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("edition_date",)) -> DataFrame:
@@ -187,13 +234,14 @@ def drop_pruned(spark: SparkSession, path: str, today: str, retention: int = 7)
     """
     files = _Files(spark, path)
     least = date.fromordinal(date.fromisoformat(today).toordinal() - retention + 1).isoformat()
-    gone = [d for d in map(_day_of, files.names(path)) if d and d < least]
-    number, _ = _manifest(files, path)
-    if gone and number:
-        _swap(files, path, lambda m: m | {"days": {d: v for d, v in m["days"].items() if d >= least}})
-    for day in gone:
-        files.delete(f"{path}/edition_date={day}")
-    return gone
+    number, manifest = _manifest(files, path)
+    gone = {d for d in map(_day_of, files.names(path)) if d and d < least}
+    old = {(t, d) for t, d in map(_table_and_day, manifest["parts"]) if d < least}
+    if old and number:
+        _swap(files, path, lambda m: m | {"parts": {p: v for p, v in m["parts"].items() if _table_and_day(p)[1] >= least}})
+    for table, day in old | {("", d) for d in gone}:
+        files.delete(f"{path}/{table}/edition_date={day}" if table else f"{path}/edition_date={day}")
+    return sorted(gone)
 
 
 def sweep(spark: SparkSession, path: str) -> None:
@@ -203,9 +251,13 @@ def sweep(spark: SparkSession, path: str) -> None:
     if not number:
         return
     files.delete(f"{path}/{_STAGE}")
-    for day in filter(None, map(_day_of, files.names(path))):
-        if day not in manifest["days"] or manifest["days"][day]:
-            _forget(files, path, day, manifest["days"].get(day))
+    for table in {_table_and_day(p)[0] for p in manifest["parts"]} | {""}:
+        top = f"{path}/{table}".rstrip("/")
+        for part in (f"{table}/{leaf}".lstrip("/") for depth in (1, 2) for leaf in _leaves(files, top, depth)):
+            if _table_and_day(part)[1] and manifest["parts"].get(part, ""):
+                _forget(files, path, part, manifest["parts"][part])
+            elif _table_and_day(part)[1] and part not in manifest["parts"]:
+                _forget(files, path, part, "")
 
 
 def write_documents(nested: DataFrame, path: str) -> None:
@@ -217,7 +269,8 @@ def write_documents(nested: DataFrame, path: str) -> None:
     fields = sorted(c for c in nested.columns if c != "edition_date")
     options = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ssXXX"}
     body = F.to_json(F.struct(F.col("edition_date").cast("string").alias("edition_date"), *fields), options)
-    _publish(nested.select("edition_date", body.alias("value")), path, lambda w, to: w.text(to), nested.schema)
+    schemas = {"": json.loads(nested.schema.json())}
+    publish({"": nested.select("edition_date", body.alias("value"))}, path, ("edition_date",), _of_replaced_days, lambda w, to: w.text(to), schemas)
 
 
 def read_documents(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -227,9 +280,9 @@ def read_documents(spark: SparkSession, path: str, schema: StructType) -> DataFr
     does a path that does not exist.
     """
     _, manifest = _manifest(_Files(spark, path), path)
-    if not manifest["days"]:
+    if not manifest["parts"]:
         return spark.createDataFrame([], schema)
-    lines = spark.read.text(_globs(manifest["days"], path))
+    lines = spark.read.text(_globs(path, manifest["parts"]))
     marked = StructType([*schema, StructField("_broken", StringType())])
     whole = F.from_json("value", marked, {"columnNameOfCorruptRecord": "_broken"})
     needed = [f.name for f in schema if f.name == "edition_date" or f.dataType.typeName() == "array" and f.name in ("secondaries", "briefs")]

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from newsprint.operators.classify import nb_predict, token_frequencies
-from newsprint.operators.dedupe import dedupe_items
 from newsprint.operators.filters import read_state
 from newsprint.operators.registry import fetch_state
+from newsprint.plans.accumulate import add_items
 from newsprint.session import cut
-from newsprint.sources.store import drop_pruned, write_edition
+from newsprint.sources.store import drop_pruned
 
 
 def timestamps(df: DataFrame, column: str = "published_at") -> DataFrame:
@@ -63,24 +63,15 @@ def stream_read_state(log: DataFrame) -> DataFrame:
     return read_state(log)
 
 
-def stream_accumulate(items: DataFrame, path: str, checkpoint: str, tie: tuple[str, ...] = (), trigger: dict | None = None) -> StreamingQuery:
-    """Days grow: a batch is joined to the stored days it touches, deduped, and written over those days.
+def stream_accumulate(items: DataFrame, path: str, checkpoint: str, tie: tuple[str, ...] = (), trigger: dict | None = None, buckets: int = 8) -> StreamingQuery:
+    """Days grow: after each batch the stored paper is what one dedupe of all items so far keeps, in whatever order they came.
 
-    A batch that is run again after a failure gives the same days, as the stored rows it would add are duplicates.
+    A batch reads and writes the buckets of its days that its items touch (see add_items). One that is run again after a
+    failure changes nothing.
     """
-    spark = items.sparkSession
 
     def batch(df: DataFrame, _: int) -> None:
-        fresh = df.withColumn("edition_date", F.to_date("published_at")).filter("edition_date is not null").withColumn("gen", F.lit(0))
-        try:
-            stored = spark.read.schema(fresh.schema).parquet(path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            stored = fresh.limit(0)
-        days = fresh.select("edition_date").distinct()
-        prior = stored.join(days, "edition_date", "left_semi").withColumn("gen", F.lit(1))
-        write_edition(dedupe_items(fresh.unionByName(prior), tie=tie), path)
+        add_items(df.withColumns({"edition_date": F.to_date("published_at"), "gen": F.lit(0)}), path, tie, buckets)
 
     query = items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return query.trigger(**(trigger or {"availableNow": True})).start()

@@ -59,6 +59,21 @@ def test_a_write_cut_off_half_way(spark, tmp_path, monkeypatch, step):
     assert marks(spark.read.parquet(path)) == [(d, "last", 1) for d in DAYS]
 
 
+def test_a_first_write_cut_off_gives_no_rows(spark, tmp_path, monkeypatch):
+    path, real, left = f"{tmp_path}/e", store._Files.move, [4]
+
+    def move(self, old, new):
+        left[0] -= 1
+        if not left[0]:
+            raise OSError("gone")
+        return real(self, old, new)
+
+    monkeypatch.setattr(store._Files, "move", move)
+    with pytest.raises(OSError, match="gone"):
+        store.write_edition(paper(spark), path)
+    assert spark.read.parquet(path).count() > 0 and store.read_editions(spark, path).count() == 0 and store.stored_days(spark, path) == []
+
+
 def test_writers_that_meet(spark, tmp_path, monkeypatch):
     """A writer that finds its number taken makes its change to the other's manifest."""
     path = f"{tmp_path}/e"
