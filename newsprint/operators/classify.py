@@ -91,10 +91,42 @@ def predict_margin(scores: DataFrame) -> DataFrame:
     return two.groupBy("item_id").agg(F.max(F.when(F.col("place") == 1, F.col("section"))).alias("section"), (first - second).alias("margin"))
 
 
+def nb_model(counts: DataFrame, stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The model in the form that items join: (token, sections), with what an occurrence adds to the score of each of its
+    sections; and one row (order, denom, ready), with all sections from the one that costs least per token to the dearest."""
+    weights = counts.groupBy("token").agg(F.collect_list(F.struct("section", F.log(F.col("n") + 1).alias("w"))).alias("sections"))
+    denoms = stats.crossJoin(vocabulary_size(counts)).select("section", "docs", F.log(F.col("total_tokens") + F.col("vocabulary")).alias("denom"))
+    cheap = lambda x, y: F.when(x["denom"] < y["denom"], -1).when(x["denom"] > y["denom"], 1).when(x["section"] > y["section"], -1).otherwise(1)
+    order = denoms.agg(F.collect_list(F.struct("section", "denom")).alias("s"), (F.count_if(F.col("docs") >= 3) >= 3).alias("ready"))
+    return weights, order.select(F.array_sort("s", cheap).alias("order"), F.map_from_entries("s").alias("denom"), "ready")
+
+
+def nb_best(freq: DataFrame, weights: DataFrame, order: DataFrame, margin: float = 1.0) -> DataFrame:
+    """(item_id, section, margin) where the model is ready and sure, from the two best sections of each item.
+
+    An item's score in a section without a token of its own is just what its length costs there, so of these sections
+    only the two cheapest can matter; with m sections matched they are among the m + 2 cheapest of all. So an item meets
+    its matches and two more, however many sections there are.
+    """
+    none = F.struct(F.lit(None).cast("string").alias("section"), F.lit(0.0).alias("w"))
+    met = freq.join(weights, "token", "left").select("item_id", "n", F.explode(F.concat(F.array(none), F.coalesce("sections", F.array().cast("array<struct<section:string,w:double>>")))).alias("s"))
+    sums = met.groupBy("item_id", F.col("s.section").alias("section")).agg(F.sum(F.col("n") * F.col("s.w")).alias("gain"), F.sum("n").alias("n"))
+    # The row without a section has the number of all tokens.
+    each = sums.groupBy("item_id").agg(F.max(F.when(F.col("section").isNull(), F.col("n"))).alias("total"), F.collect_list(F.when(F.col("section").isNotNull(), F.struct("section", "gain"))).alias("got"))
+    each = each.crossJoin(F.broadcast(order)).filter("ready")
+    score = lambda section, gain, denom: F.struct((gain - F.col("total") * denom).alias("score"), section.alias("section"))
+    known = F.filter("got", lambda g: F.col("denom")[g["section"]].isNotNull())
+    matched = F.transform(known, lambda g: score(g["section"], g["gain"], F.col("denom")[g["section"]]))
+    names = F.transform("got", lambda g: g["section"])
+    free = F.slice(F.filter(F.slice("order", F.lit(1), F.size("got") + 2), lambda s: ~F.array_contains(names, s["section"])), 1, 2)
+    two = F.slice(F.sort_array(F.concat(matched, F.transform(free, lambda s: score(s["section"], F.lit(0.0), s["denom"]))), asc=False), 1, 2)
+    out = each.select("item_id", two.alias("two")).select("item_id", F.get("two", F.lit(0))["section"].alias("section"), (F.get("two", F.lit(0))["score"] - F.get("two", F.lit(1))["score"]).alias("margin"))
+    return out.filter(F.col("section").isNotNull() & F.coalesce(F.col("margin") >= margin, F.lit(True)))
+
+
 def nb_predict(freq: DataFrame, counts: DataFrame, stats: DataFrame, margin: float = 1.0) -> DataFrame:
-    """(item_id, section) where the model is ready and sure."""
-    sure = predict_margin(nb_scores(freq, counts, stats)).filter(F.coalesce(F.col("margin") >= margin, F.lit(True)))
-    return sure.crossJoin(classifier_ready(stats).filter("ready")).select("item_id", "section", "margin")
+    """(item_id, section, margin) where the model is ready and sure (see nb_best)."""
+    return nb_best(freq, *nb_model(counts, stats), margin)
 
 
 def state_explode(state: DataFrame) -> tuple[DataFrame, DataFrame]:

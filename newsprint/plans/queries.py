@@ -1228,4 +1228,38 @@ def stream_retention(spark, sf):
     )
 )
 def stream_read_state(spark, sf):
-    return jobs.stream_read_state(_drain(_stream(spark, sf, "read_log_ev")))
+    """The log as a stream, whose changes of each reader's state come to the state at its end."""
+    path = f"{shared_dir(spark)}/reads-{uuid.uuid4().hex}"
+    jobs.stream_read_state(_stream(spark, sf, "read_log_ev"), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return jobs.current_reads(spark, f"{path}/out")
+
+
+@query(
+    with_views(
+        """select row_id, cast(edition_date as varchar) as edition_date, case when day(edition_date) <= 15 then 'late' else 'on_time' end as timing, null::bigint as n from items_ev
+        union all select null, cast(edition_date as varchar), 'closed', count(*) from items_ev
+        where day(edition_date) > 15 and edition_date < (select cast(max(published_at) - interval 1 day as date) from items_ev) group by 2""",
+        "items_ev",
+    )
+)
+def stream_late_table(spark, sf):
+    """The second half of the month first, then the first half, whose days have closed by then: each item is in one table."""
+    path = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
+    ev = view(spark, sf, "items_ev").select("row_id", F.col("published_at").cast("timestamp").alias("published_at"))
+    for half in (F.dayofmonth("published_at") > 15, F.dayofmonth("published_at") <= 15):
+        ev.filter(half).write.mode("append").parquet(f"{path}/in")
+        live = spark.readStream.schema(ev.schema).parquet(f"{path}/in")
+        jobs.stream_late_table(live, f"{path}/out", f"{path}/checkpoint", salts=4).awaitTermination()
+    out = spark.read.parquet(f"{path}/out").groupBy("timing", "row_id", "edition_date").agg(F.sum("n").alias("n"))
+    return out.select("row_id", F.col("edition_date").cast("string").alias("edition_date"), "timing", "n")
+
+
+@query(with_views("select row_id, cast(edition_date as varchar) as edition_date from items_ev where day(edition_date) % 2 = 1 or row_id % 2 = 0", "items_ev"))
+def edition_rewrite(spark, sf):
+    """All days written, then every second one replaced, beside a folder of another name; all days as the manifest has them."""
+    path = f"{shared_dir(spark)}/editions-{uuid.uuid4().hex}"
+    ev = events(spark, sf).select("row_id", "edition_date")
+    store.write_edition(ev, path)
+    ev.write.parquet(f"{path}/edition_date=junk")
+    store.write_edition(ev.filter((F.dayofmonth("edition_date") % 2 == 0) & (F.col("row_id") % 2 == 0)), path)
+    return store.read_editions(spark, path).select("row_id", F.col("edition_date").cast("string").alias("edition_date"))

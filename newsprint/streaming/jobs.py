@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from newsprint.operators.classify import nb_predict, token_frequencies
+from newsprint.operators.classify import nb_best, nb_model, token_frequencies
 from newsprint.operators.filters import read_state
 from newsprint.operators.registry import fetch_state
 from newsprint.plans.accumulate import add_items
 from newsprint.session import cut
 from newsprint.sources.store import drop_pruned
+from newsprint.streaming.stateful import day_timing, keyed_state, read_changes
 
 
 def timestamps(df: DataFrame, column: str = "published_at") -> DataFrame:
@@ -35,7 +36,8 @@ def stream_day_counts(items: DataFrame, delay: str = "1 day") -> DataFrame:
 def stream_late_items(items: DataFrame, today: str) -> DataFrame:
     """Items with `timing`: late ones (before today) stay out of today's paper, early ones wait for their day.
 
-    Late here is by the calendar; what a watermark leaves out never reaches stream_day_counts or stream_dedupe.
+    Late here is by the calendar; what a watermark leaves out never reaches stream_day_counts or stream_dedupe, and
+    is what stream_late_table has in a table of its own.
     """
     day, now = F.to_date("published_at"), F.lit(today).cast("date")
     return items.withColumn("timing", F.when(day < now, "late").when(day > now, "early").otherwise("today"))
@@ -49,18 +51,49 @@ def stream_feed_health(log: DataFrame) -> DataFrame:
 def stream_classify(items: DataFrame, counts: DataFrame, stats: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Predictions for arriving items with the model as it stands, batch by batch.
 
-    Every batch is a partition of its own, written as a whole: one that runs again after a failure replaces its rows.
+    The model is written once, in the form that items join (see classify.nb_model); a batch joins its items with it and
+    writes nothing but its predictions. Every batch is a partition of its own, written as a whole: one that runs again
+    after a failure replaces its rows.
     """
-    counts, stats = cut(counts), cut(stats)
+    weights, order = (cut(x) for x in nb_model(counts, stats))
 
     def batch(df: DataFrame, number: int) -> None:
-        nb_predict(token_frequencies(df), counts, stats).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        nb_best(token_frequencies(df), weights, order).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_read_state(log: DataFrame) -> DataFrame:
-    return read_state(log)
+def stream_late_table(items: DataFrame, out: str, checkpoint: str, delay: str = "1 day", salts: int = 16, trigger: dict | None = None) -> StreamingQuery:
+    """Every item in one of the tables timing=on_time, timing=late and timing=undated under out, and the sizes of days
+    that have closed in timing=closed (see stateful.day_timing). A batch that is run again replaces its rows."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        rows = df.withColumn("batch", F.lit(number).cast("long")).write.partitionBy("timing", "batch").mode("overwrite")
+        rows.option("partitionOverwriteMode", "dynamic").parquet(out)
+
+    with keyed_state(items.sparkSession):
+        query = day_timing(items, delay, salts).writeStream.outputMode("append").foreachBatch(batch).option("checkpointLocation", checkpoint)
+        return query.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def stream_read_state(log: DataFrame, out: str | None = None, checkpoint: str | None = None, trigger: dict | None = None) -> DataFrame | StreamingQuery:
+    """What readers have read. A stream keeps the state of each reader and writes changes to out, a partition for each
+    batch (see stateful.read_changes, and current_reads for the state as it stands); a log at rest is reduced at once."""
+    if not log.isStreaming:
+        return read_state(log)
+
+    def batch(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    with keyed_state(log.sparkSession):
+        query = read_changes(log).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint)
+        return query.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def current_reads(spark: SparkSession, out: str) -> DataFrame:
+    """(reader_id, item_id) read as of the last change of each item in the table that stream_read_state writes."""
+    last = spark.read.parquet(out).groupBy("reader_id", "item_id").agg(F.max_by("is_read", "version").alias("is_read"))
+    return last.filter("is_read").select("reader_id", "item_id")
 
 
 def stream_accumulate(items: DataFrame, path: str, checkpoint: str, tie: tuple[str, ...] = (), trigger: dict | None = None, buckets: int = 8) -> StreamingQuery:
