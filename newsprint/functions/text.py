@@ -78,10 +78,21 @@ def _tokens(text: Column) -> Column:
 
 
 def text_similarity(a: Column, b: Column) -> Column:
-    """1 less the share of b's text that stands in tokens a lacks; 0 if either has none."""
+    """1 less the share of b's text that stands in tokens a lacks; 0 if either has none.
+
+    Tokens of both are sorted together, those of a first, so that one pass over them tells what a lacks.
+    """
     left, right = _tokens(a), _tokens(b)
-    extra = F.filter(right, lambda t: ~F.array_contains(left, t))
-    share = F.length(F.array_join(extra, " ")) / F.length(F.array_join(right, " "))
+    tagged = [F.transform(x, lambda t, k=k: F.struct(t.alias("t"), F.lit(k).alias("k"))) for k, x in enumerate((F.array_distinct(left), right))]
+    none = F.struct(F.lit("").alias("known"), F.lit(0).alias("n"), F.lit(0).alias("size"))
+
+    def step(state: Column, x: Column) -> Column:
+        lacks = (x["k"] == 1) & (x["t"] != state["known"])
+        known = F.when(x["k"] == 0, x["t"]).otherwise(state["known"])
+        return F.struct(known.alias("known"), (state["n"] + lacks.cast("int")).alias("n"), (state["size"] + F.when(lacks, F.length(x["t"])).otherwise(0)).alias("size"))
+
+    joined = F.aggregate(F.array_sort(F.concat(*tagged)), none, step, lambda s: s["size"] + F.greatest(s["n"] - 1, F.lit(0)))
+    share = joined / F.length(F.array_join(right, " "))
     return F.when((F.size(left) == 0) | (F.size(right) == 0), F.lit(0.0)).otherwise(1 - share)
 
 

@@ -93,12 +93,13 @@ def predict_margin(scores: DataFrame) -> DataFrame:
 
 def nb_model(counts: DataFrame, stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The model in the form that items join: (token, sections), with what an occurrence adds to the score of each of its
-    sections; and one row (order, denom, ready), with all sections from the one that costs least per token to the dearest."""
-    weights = counts.groupBy("token").agg(F.collect_list(F.struct("section", F.log(F.col("n") + 1).alias("w"))).alias("sections"))
-    denoms = stats.crossJoin(vocabulary_size(counts)).select("section", "docs", F.log(F.col("total_tokens") + F.col("vocabulary")).alias("denom"))
+    sections; and one row (order, denom, ready), with all sections from the one that costs least per token to the dearest.
+    Both are written, so that whoever joins them trains nothing anew."""
+    weights = cut(counts.groupBy("token").agg(F.collect_list(F.struct("section", F.log(F.col("n") + 1).alias("w"))).alias("sections")))
+    denoms = stats.crossJoin(vocabulary_size(weights)).select("section", "docs", F.log(F.col("total_tokens") + F.col("vocabulary")).alias("denom"))
     cheap = lambda x, y: F.when(x["denom"] < y["denom"], -1).when(x["denom"] > y["denom"], 1).when(x["section"] > y["section"], -1).otherwise(1)
     order = denoms.agg(F.collect_list(F.struct("section", "denom")).alias("s"), (F.count_if(F.col("docs") >= 3) >= 3).alias("ready"))
-    return weights, order.select(F.array_sort("s", cheap).alias("order"), F.map_from_entries("s").alias("denom"), "ready")
+    return weights, cut(order.select(F.array_sort("s", cheap).alias("order"), F.map_from_entries("s").alias("denom"), "ready"))
 
 
 def nb_best(freq: DataFrame, weights: DataFrame, order: DataFrame, margin: float = 1.0) -> DataFrame:

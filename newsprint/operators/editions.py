@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsprint.operators.dedupe import KEYS, order_struct
+from newsprint.session import cut
 
 SECONDARIES, BRIEFS = 3, 12
 
@@ -54,35 +55,35 @@ def validated_lead(ranked: DataFrame, checks: DataFrame, keys: tuple[str, ...] =
     return judged.filter(F.col("usable") | (F.col("try") == tries + 1)).groupBy(*keys).agg(F.min("rr").alias("rr"))
 
 
+def _front(ranked: DataFrame, keys: list[str], leads: DataFrame) -> DataFrame:
+    """(keys, rr, slot, slot_rank) of the front page: the lead, and the first 15 of the others, found among the first 16."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("rr"))
+    top = ranked.select(*keys, "rr").withColumn("n", place).filter(F.col("n") <= SECONDARIES + BRIEFS + 1)
+    beside = top.join(leads.select(*keys, F.col("rr").alias("lead")), keys, "left").filter("lead is null or rr <> lead")
+    beside = beside.withColumn("n", F.col("n") - F.coalesce(F.col("lead") < F.col("rr"), F.lit(False)).cast("int")).filter(F.col("n") <= SECONDARIES + BRIEFS)
+    second = F.col("n") > SECONDARIES
+    others = beside.select(*keys, "rr", F.when(second, "brief").otherwise("secondary").alias("slot"), (F.col("n") - F.when(second, SECONDARIES).otherwise(0)).alias("slot_rank"))
+    return others.unionByName(leads.select(*keys, "rr", F.lit("lead").alias("slot"), F.lit(1).alias("slot_rank")))
+
+
 def slots(ranked: DataFrame, keys: tuple[str, ...] = KEYS, leads: DataFrame | None = None) -> DataFrame:
     """ranked with slot, slot_rank and page_no: the lead, three secondaries, twelve briefs, then section pages.
 
-    The front page needs the first 15 rows of an edition only: Spark's group limit stops there. The others are ranked
-    inside their section, so no task gets a whole edition to sort.
+    The front page needs the first 16 rows of an edition only: Spark's group limit stops there. It is written, 16 rows an
+    edition, and joined once; the others are ranked inside their section, so no task gets a whole edition to sort.
     """
     keys = list(keys)
     leads = lead_pick(ranked, tuple(keys)) if leads is None else leads
-    lead = ranked.join(leads, [*keys, "rr"], "left_semi")
-    rest = ranked.join(leads, [*keys, "rr"], "left_anti")
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("rr"))
-    front = rest.withColumn("n", place).filter(F.col("n") <= SECONDARIES + BRIEFS)
-    later = rest.join(front.select(*keys, "rr"), [*keys, "rr"], "left_anti")
-    names = later.select(*keys, "section").distinct()
+    front = cut(_front(ranked, keys, cut(leads.select(*keys, "rr"))))
+    own = F.when(F.col("slot").isNull(), F.struct("section"))
+    rank = F.row_number().over(Window.partitionBy(*keys, own).orderBy("rr"))
+    placed = ranked.join(front, [*keys, "rr"], "left").withColumn("slot_rank", F.coalesce("slot_rank", rank))
+    names = ranked.select(*keys, "section", "rr").join(front.select(*keys, "rr"), [*keys, "rr"], "left_anti").select(*keys, "section").distinct()
     page = F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.lower("section"), "section")) + 1
-    pages = names.withColumn("page_no", page)
-    first, second = F.lit("secondary"), F.lit("brief")
-    parts = [
-        lead.withColumns({"slot": F.lit("lead"), "slot_rank": F.lit(1), "page_no": F.lit(1)}),
-        front.withColumns(
-            {
-                "slot": F.when(F.col("n") <= SECONDARIES, first).otherwise(second),
-                "slot_rank": F.when(F.col("n") <= SECONDARIES, F.col("n")).otherwise(F.col("n") - SECONDARIES),
-                "page_no": F.lit(1),
-            }
-        ).drop("n"),
-        later.withColumns({"slot": F.lit("section"), "slot_rank": F.row_number().over(Window.partitionBy(*keys, "section").orderBy("rr"))}).join(pages, [*keys, "section"]),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    pages = names.select(*keys, F.struct("section").alias("own"), page.alias("page"))
+    out = placed.withColumn("own", own).join(pages, [*keys, "own"], "left")
+    out = out.withColumns({"page_no": F.when(F.col("slot").isNull(), F.col("page")).otherwise(1), "slot": F.coalesce("slot", F.lit("section"))})
+    return out.select(*ranked.columns, "slot", "slot_rank", "page_no")
 
 
 def front_page(ranked: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

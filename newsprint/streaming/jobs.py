@@ -10,7 +10,6 @@ from newsprint.operators.classify import nb_best, nb_model, token_frequencies
 from newsprint.operators.filters import read_state
 from newsprint.operators.registry import fetch_state
 from newsprint.plans.accumulate import add_items
-from newsprint.session import cut
 from newsprint.sources.store import drop_pruned
 from newsprint.streaming.stateful import day_timing, keyed_state, read_changes
 
@@ -55,7 +54,7 @@ def stream_classify(items: DataFrame, counts: DataFrame, stats: DataFrame, out:
     writes nothing but its predictions. Every batch is a partition of its own, written as a whole: one that runs again
     after a failure replaces its rows.
     """
-    weights, order = (cut(x) for x in nb_model(counts, stats))
+    weights, order = nb_model(counts, stats)
 
     def batch(df: DataFrame, number: int) -> None:
         nb_best(token_frequencies(df), weights, order).write.mode("overwrite").parquet(f"{out}/batch={number}")
