@@ -78,12 +78,15 @@ def _tokens(text: Column) -> Column:
 
 
 def text_similarity(a: Column, b: Column) -> Column:
-    """1 less the share of b's text that stands in tokens a lacks; 0 if either has none.
+    """1 less the share of b's text that stands in tokens a lacks; 0 if either has none, or is null.
 
     Tokens of both are sorted together, those of a first, so that one pass over them tells what a lacks.
     """
-    left, right = _tokens(a), _tokens(b)
-    tagged = [F.transform(x, lambda t, k=k: F.struct(t.alias("t"), F.lit(k).alias("k"))) for k, x in enumerate((F.array_distinct(left), right))]
+    left, right = (_tokens(F.coalesce(x, F.lit(""))) for x in (a, b))
+    tagged = (
+        F.transform(F.array_distinct(left), lambda t: F.struct(t.alias("t"), F.lit(0).alias("k"))),
+        F.transform(right, lambda t: F.struct(t.alias("t"), F.lit(1).alias("k"))),
+    )
     none = F.struct(F.lit("").alias("known"), F.lit(0).alias("n"), F.lit(0).alias("size"))
 
     def step(state: Column, x: Column) -> Column:
