@@ -137,23 +137,37 @@ def _key_bytes(read: Read, size: int) -> tuple[str, int] | None:
 
 
 def _headers(data: bytes) -> Iterator[int]:
-    """Where, at bytes that a multiple of four characters precede, an object begins that ends with the data and names an algorithm."""
-    if not data.rstrip(b" \t\r\n").endswith(b"}"):
+    """Where, at bytes that a multiple of four characters precede, an object begins that ends with the data and names an algorithm.
+
+    An object that ends with the data begins at the one brace that matches the last one. Braces are counted from the
+    end, past strings, whose quotes are those behind an even number of backslashes; only that object is then parsed.
+    """
+    body = data.rstrip(b" \t\r\n")
+    if not body.endswith(b"}"):
+        return
+    depth, quoted = 0, False
+    for m in reversed([*_MARKS.finditer(body)]):
+        at, mark = m.start(), m[0]
+        if mark.endswith(b'"'):
+            quoted ^= len(mark) % 2 == 1
+        elif not quoted:
+            depth += 1 if mark in b"}]" else -1
+            if not depth:
+                break
+    else:
         return
-    text = data.decode("latin-1")
-    size = len(text.rstrip())
-    for m in _OBJECT.finditer(text):
-        if m.start() % 3 == 0:
-            try:
-                head, end = _JSON.raw_decode(text, m.start())
-                if end == size and isinstance(head.get("alg"), str) and data[m.start() :].decode():
-                    yield m.start()
-            except (ValueError, RecursionError):
-                pass
-
-
-_OBJECT = re.compile(r"\{\s*\"")
-_JSON = json.JSONDecoder()
+    if at % 3 == 0 and _OBJECT.match(body, at):
+        try:
+            head = json.loads(body[at:].decode("latin-1"))
+            if isinstance(head.get("alg"), str) and data[at:].decode():
+                yield at
+        except (ValueError, RecursionError):
+            pass
+
+
+_OBJECT = re.compile(rb"\{\s*\"")
+#: A quote with the backslashes before it, or a bracket.
+_MARKS = re.compile(rb'\\*"|[{}\[\]]')
 
 
 def _tokens(text: str, lo: int, hi: int) -> list[tuple[int, int, str]]:
