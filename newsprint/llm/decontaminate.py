@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsprint.llm.common import absent, docs_of, map_arrow, row_key, unlike, written
@@ -146,29 +146,35 @@ def scanned(docs: DataFrame, windows: DataFrame, k: int = 5, most_bits: int = 27
 
 
 def hits(found: DataFrame, windows: DataFrame) -> DataFrame:
-    """(rid, did, runs, items) of the documents with a benchmark window: runs are merged word runs, items in order."""
+    """(rid, did, runs, items) of the documents with a benchmark window: runs are merged word runs, items in order.
+
+    A window stands in the join once, with all of its items, so a window of many items and many documents is a row for
+    each of the documents.
+    """
     window = ["n", "h1", "h2"]
     rows = found.select(*_KEY, F.explode("found").alias("w")).select(*_KEY, "w.*")
     # Both sides written: Spark can split the rows of a window that very many documents hold.
     rows = written(rows.join(written(windows.select(*window).distinct()), window))
-    runs = rows.groupBy(*_KEY).agg(F.array_sort(F.collect_set(F.struct(F.col("s").cast("int").alias("s"), (F.col("s") + F.col("n")).cast("int").alias("e")))).alias("runs"))
-    named = rows.select(*_KEY, *window).distinct().join(written(windows.filter("item is not null").select(*window, "item").distinct()), window)
-    items = named.groupBy(*_KEY).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    sets = windows.filter("item is not null").groupBy(*window).agg(F.array_sort(F.collect_set("item")).alias("set"))
+    named = rows.select(*_KEY, *window).distinct().join(written(sets), window)
+    items = named.groupBy(*_KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("set")))).alias("items"))
     empty = F.array().cast("array<string>")
-    return written(runs.join(items, _KEY, "left").select(*_KEY, _merged("runs").alias("runs"), F.coalesce("items", empty).alias("items")))
+    return written(_merged(rows).join(items, _KEY, "left").select(*_KEY, "runs", F.coalesce("items", empty).alias("items")))
 
 
-def _merged(runs: str):
-    """Runs in order, those that meet or overlap made one."""
-    none = F.array().cast("array<struct<s:int,e:int>>")
+def _merged(rows: DataFrame) -> DataFrame:
+    """(rid, did, runs): runs of words in order, those that meet or overlap made one.
 
-    def add(done, run):
-        last = F.element_at(done, -1)
-        apart = (F.size(done) == 0) | (run["s"] > last["e"])
-        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], run["e"]).alias("e"))))
-        return F.when(apart, F.concat(done, F.array(run))).otherwise(longer)
-
-    return F.aggregate(runs, none, add)
+    A window begins a run if it starts behind the ends of all before it; a run ends where the last of its windows does.
+    Rows alike count once, so copies of a document add nothing.
+    """
+    spans = rows.select(*_KEY, F.col("s").cast("int").alias("s"), (F.col("s") + F.col("n")).cast("int").alias("e")).distinct()
+    order = Window.partitionBy(*_KEY).orderBy("s", "e")
+    before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begun = spans.withColumn("own", F.when(before.isNull() | (F.col("s") > before), F.col("s")))
+    runs = begun.withColumn("own", F.max("own").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy(*_KEY, "own").agg(F.max("e").alias("e"))
+    return runs.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct(F.col("own").alias("s"), "e"))).alias("runs"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
