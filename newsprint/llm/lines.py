@@ -44,7 +44,8 @@ def edits_within(s: Column, t: Column, threshold: int) -> Column:
 def split_lines(docs: DataFrame) -> DataFrame:
     """(rid, did, idx, line, lid, n) for every line with a character other than white space."""
     keyed = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    out = keyed.select(*row_key(), F.posexplode(F.split("text", "\n")).alias("idx", "line"))
+    # The key of a row is worked out once, in front of the lines, which would carry the whole text along otherwise.
+    out = keyed.select(*row_key(), F.split("text", "\n").alias("lines")).select(*_KEY, F.posexplode("lines").alias("idx", "line"))
     return out.filter(F.col("line").rlike(r"[^\x09-\x0D\x20]")).select("*", F.xxhash64("line").alias("lid"), F.length("line").alias("n"))
 
 
@@ -163,15 +164,24 @@ def duplicate_lines(docs: DataFrame, least: int = 24) -> DataFrame:
     return mine.select(*_KEY, removed.alias("removed"), F.aggregate("x", F.lit(0).cast("long"), lambda s, e: s + e["links"]).alias("n_links"))
 
 
+def _mask(removed: Column) -> Column:
+    """Whether each line up to the last removed one goes, from the numbers of removed lines in order."""
+    before = F.slice(F.concat(F.array(F.lit(-1)), removed), F.lit(1), F.size(removed))
+    return F.flatten(F.zip_with(before, removed, lambda x, y: F.concat(F.array_repeat(F.lit(False), y - x - 1), F.array(F.lit(True)))))
+
+
 def _judged(docs: DataFrame, least: int) -> tuple[DataFrame, str]:
     """docs with a further column, a struct (text, n_lines, n_removed, n_links), whose name is returned too."""
     rid, did, new = unlike(docs, "rid"), unlike(docs, "did"), unlike(docs, "new")
     text, doc_id = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
     keyed = docs.withColumns({rid: F.xxhash64(doc_id, text), did: F.coalesce(doc_id, F.lit(0))})
-    gone = duplicate_lines(docs, least).select(F.col("rid").alias(rid), F.col("did").alias(did), F.struct("removed", "n_links").alias(new))
+    gone = duplicate_lines(docs, least).withColumn("mask", _mask(F.col("removed")))
+    gone = gone.select(F.col("rid").alias(rid), F.col("did").alias(did), F.struct("removed", "n_links", "mask").alias(new))
     lines, empty = F.split(text, "\n"), F.array().cast("array<int>")
     removed = F.coalesce(F.col(f"{new}.removed"), empty)
-    kept = F.when(F.size(removed) == 0, text).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(removed, i)), "\n"))
+    # The mask comes out of the join, so a line looks at one place of it and nothing is worked out for each line.
+    goes = lambda _, i: ~F.coalesce(F.get(F.col(f"{new}.mask"), i), F.lit(False))
+    kept = F.when(F.size(removed) == 0, text).otherwise(F.array_join(F.filter(lines, goes), "\n"))
     what = F.struct(kept.alias("text"), F.size(lines).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), F.coalesce(F.col(f"{new}.n_links"), F.lit(0)).alias("n_links"))
     return keyed.join(gone, [rid, did], "left").withColumn(new, what).select(*docs.columns, new), new
 
