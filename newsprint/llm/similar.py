@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsprint.llm.common import components, docs_of, map_arrow, one_row_each, sieved, written
@@ -32,25 +32,25 @@ def band_hashes(hashes: np.ndarray) -> np.ndarray:
     return np.array(keys, np.uint64).view(np.int64)
 
 
-def shingled(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, rid, node, fp, grams, keys): node stands for the set of shingle hashes, grams holds it in order."""
+def shingled(docs: DataFrame, shingle: int, grams: bool = True) -> DataFrame:
+    """(doc_id, rid, node, fp, grams, keys): node stands for the set of shingle hashes, grams holds it in order, if asked for."""
 
     def rows(cols: dict[str, list]) -> dict[str, object]:
         import xxhash
 
         sets = [np.unique(shingle_hashes(t, shingle)) for t in cols["text"]]
-        grams = [s.tobytes() for s in sets]
-        return {
+        held = [s.tobytes() for s in sets]
+        out = {
             "doc_id": cols["doc_id"],
             "rid": cols["rid"],
-            "node": np.array([xxhash.xxh64_intdigest(g) for g in grams], np.uint64).view(np.int64),
+            "node": np.array([xxhash.xxh64_intdigest(g) for g in held], np.uint64).view(np.int64),
             "fp": np.array([simhash_of(s) for s in sets], np.uint64).view(np.int64),
-            "grams": grams,
             "keys": [band_hashes(s) for s in sets],
         }
+        return out | {"grams": held} if grams else out
 
     keyed = docs_of(docs).withColumn("rid", F.xxhash64("text"))
-    return map_arrow(keyed, "doc_id long, rid long, node long, fp long, grams binary, keys array<long>", rows)
+    return map_arrow(keyed, f"doc_id long, rid long, node long, fp long, {'grams binary, ' if grams else ''}keys array<long>", rows)
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -113,43 +113,92 @@ def _compared(dealt: DataFrame, similarity: float, radius: int) -> DataFrame:
     return dealt.select("cell", "node", "fp", "grams").repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
-def similar_links(prints: DataFrame, similarity: float = 0.8, radius: int = RADIUS, shard: int = 256) -> DataFrame:
+def prefix_cells(nodes: DataFrame, sets: DataFrame, similarity: float = 0.8, shard: int = 256) -> DataFrame:
+    """(cell, node): every pair of nodes (node, root) of two roots, similar enough, meets in a cell. Ids alone, no sets.
+
+    Shingles are put in one order, the rarest among these nodes first. Of two similar sets the smaller has one of its first
+    n - ceil(2s / (1 + s) * n) + 1 shingles among the first n - ceil(s * n) + 1 of the larger. Documents of one template
+    that are not similar begin with shingles of their own, so they meet nowhere, however many they are. A shingle counts if
+    nodes of two roots have it and one has it early; shingles of the same nodes count once. A cell of over `shard` nodes is
+    dealt into parts, of which those with early nodes meet all.
+    """
+
+    def exploded(cols: dict[str, list]) -> dict[str, object]:
+        held = [np.frombuffer(g, np.int64) for g in cols["grams"]]
+        sizes = np.array([len(h) for h in held], np.int64)
+        flat = np.concatenate([np.zeros(0, np.int64), *held])
+        return {"node": np.repeat(np.array(cols["node"], np.int64), sizes), "size": np.repeat(sizes, sizes), "gram": flat}
+
+    grams = map_arrow(sets.join(nodes, "node").select("node", "grams"), "node long, size long, gram long", exploded)
+    counts = written(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
+    # A group is the shingles of one text that another has too; those of its own alone come before them.
+    mine = grams.join(counts, "gram").groupBy("node").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("x"))
+
+    def first(share: float) -> Column:
+        return F.col("size") - F.ceil(F.col("size") * share - 1e-6) + 1 - (F.col("size") - F.size("x"))
+
+    mine = mine.select("node", "x", first(similarity).cast("int").alias("late"), first(2 * similarity / (1 + similarity)).alias("early")).filter("late > 0")
+    places = mine.select("node", "early", F.posexplode(F.slice("x", F.lit(1), F.col("late"))).alias("at", "x"))
+    places = written(places.select("node", F.col("x.gram").alias("gram"), (F.col("at") < F.col("early")).alias("early")).join(nodes, "node"))
+    live = places.groupBy("gram").agg(
+        F.count(F.lit(1)).alias("m"), F.count_if("early").alias("k"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(F.xxhash64("node", "early")).alias("sum")
+    )
+    live = written(live.filter("k > 0 and low <> high").groupBy("m", "k", "sum").agg(F.min("gram").alias("gram")))
+    cells = places.join(live, "gram").withColumns({"parts": F.ceil(F.col("m") / shard), "heads": F.ceil(F.col("k") / shard)})
+    small = cells.filter("parts = 1").select(F.xxhash64("gram", F.lit(0).cast("long"), F.lit(0).cast("long")).alias("cell"), "node")
+    large = cells.filter("parts > 1")
+
+    def numbers(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
+    hashed = F.xxhash64(F.lit("part"), "node")
+    heads = large.filter("early").select("gram", "node", F.pmod(hashed, F.col("heads")).alias("i"), numbers("parts").alias("j"))
+    all_ = large.select("gram", "node", F.pmod(hashed, F.col("parts")).alias("j"), numbers("heads").alias("i")).select("gram", "node", "i", "j")
+    return small.unionByName(heads.unionByName(all_).select(F.xxhash64("gram", "i", "j").alias("cell"), "node")).distinct()
+
+
+def _sets_of(prints: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, fp, grams) of prints with grams, for the nodes wanted and some others; repeats stay."""
+    return sieved(prints.select(F.col("node").alias("lid"), "fp", "grams"), wanted.select(F.col("node").alias("lid"))).withColumnRenamed("lid", "node")
+
+
+def similar_links(
+    prints: DataFrame, similarity: float = 0.8, radius: int = RADIUS, shard: int = 256, first: int = 4, sets_of: Callable[[DataFrame, DataFrame], DataFrame] = _sets_of
+) -> DataFrame:
     """Edges (a, b) between nodes of prints (see shingled) with the same components as all similar pairs of a bucket.
 
-    Nodes that share a band are a bucket; buckets of the same nodes count once. A bucket of over `shard` nodes is first
-    dealt into parts, other parts for every band, so that its similar nodes come together in few components. Then every
-    node outside a bucket's largest component meets all of the bucket, so no pair of two components is left out, and
-    the work is the square of a bucket only where it is not similar to itself.
+    Nodes that share a band are a bucket; buckets of the same nodes count once. The first few bands link most of what is
+    similar; of the others, only buckets whose nodes are not yet one component are looked at, so a set is not sent once for
+    every band. A bucket of over `shard` nodes is dealt into parts, other parts for every band. What lies in large buckets
+    and is in different components after that goes by prefix_cells, which lose no pair and need no square of a bucket.
     """
-    members = written(prints.select("node", F.explode("keys").alias("key")).distinct())
-    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("sum")).filter("n > 1")
-    buckets = written(buckets.groupBy("n", "sum").agg(F.min("key").alias("key")).select("key", "n"))
-    shared = written(members.join(buckets, "key"))
+    members = written(prints.select("node", F.posexplode("keys").alias("band", "key")).distinct())
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("sum"), F.min("band").alias("band")).filter("n > 1")
+    buckets = written(buckets.groupBy("n", "sum").agg(F.min(F.struct("band", "key")).alias("x")).select("x.key", "x.band", "n"))
+    shared = written(members.select("node", "key").join(buckets, "key"))
     wanted = written(shared.select("node").distinct())
-    some = sieved(prints.select(F.col("node").alias("lid"), "fp", "grams"), wanted.select(F.col("node").alias("lid")))
-    sets = some.withColumnRenamed("lid", "node").groupBy("node").agg(F.first("fp").alias("fp"), F.first("grams").alias("grams"))
+    sets = sets_of(prints, wanted).groupBy("node").agg(F.first("fp").alias("fp"), F.first("grams").alias("grams"))
     sets = written(sets.join(wanted, "node"))
 
-    parts = F.ceil(F.col("n") / shard)
-    dealt = shared.withColumn("cell", F.xxhash64("key", F.pmod(F.xxhash64("key", "node"), parts)))
-    near = written(_compared(dealt.join(sets, "node"), similarity, radius))
+    def met(rows: DataFrame) -> DataFrame:
+        dealt = rows.withColumn("cell", F.xxhash64("key", F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("n") / shard))))
+        return written(_compared(dealt.select("cell", "node").join(sets, "node"), similarity, radius))
+
+    def unsettled(links: DataFrame, rows: DataFrame) -> DataFrame:
+        """The rows, with their roots, of buckets that hold two components of links."""
+        rooted = written(rows.join(written(components(links)), "node", "left").withColumn("root", F.coalesce("root", "node")))
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+        return rooted.join(written(mixed.select("key")), "key")
+
+    near = met(shared.filter(F.col("band") < first))
+    near = near.unionByName(met(unsettled(near, shared.filter(F.col("band") >= first))))
     large = shared.filter(F.col("n") > shard)
     if large.isEmpty():
         return near
-    large = written(large.join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node")))
-    sizes = large.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
-    most = sizes.groupBy("key").agg(F.max(F.struct("m", "root")).alias("most"), F.sum("m").alias("n"))
-    # Other nodes in `rest` parts, all nodes in `parts`: every part of others meets every part of all.
-    most = most.select("key", F.col("most.root").alias("main"), F.ceil(F.col("n") / shard).alias("parts"), F.ceil((F.col("n") - F.col("most.m")) / shard).alias("rest"))
-    split = written(large.drop("n").join(written(most.filter("rest > 0")), "key"))
-
-    def numbers(count: str):
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
-
-    hashed = F.xxhash64(F.lit("part"), "node")
-    every = split.select("key", "node", F.pmod(hashed, F.col("parts")).alias("i"), numbers("rest").alias("j"))
-    others = split.filter("root <> main").select("key", "node", F.pmod(hashed, F.col("rest")).alias("j"), numbers("parts").alias("i"))
-    cells = every.unionByName(others).select("node", F.xxhash64("key", "i", "j").alias("cell")).distinct()
+    nodes = written(unsettled(near, large).select("node", "root").distinct())
+    if nodes.isEmpty():
+        return near
+    cells = written(prefix_cells(nodes, sets, similarity, shard))
     return near.unionByName(written(_compared(cells.join(sets, "node"), similarity, radius)))
 
 
@@ -157,9 +206,16 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     """One row of every class of documents, with its columns: the least by (doc_id, nulls last, hash of the text).
 
     Documents that share `similarity` of their shingles of `shingle` words are linked, and a class is what links connect.
-    A null text is empty; texts without a word are one class; a text of fewer words is one shingle.
+    A null text is empty; texts without a word are one class; a text of fewer words is one shingle. Sets of shingles are
+    not kept for all documents: those of documents that share a band with others are worked out a second time.
     """
-    prints = written(shingled(docs, shingle))
-    roots = components(similar_links(prints, similarity))
+    prints = written(shingled(docs, shingle, grams=False))
+
+    def sets_of(_: DataFrame, wanted: DataFrame) -> DataFrame:
+        texts = prints.join(wanted, "node").groupBy("node").agg(F.min("rid").alias("lid"))
+        some = sieved(docs_of(docs).withColumn("lid", F.xxhash64("text")), texts)
+        return shingled(some.select("doc_id", "text"), shingle).select("node", "fp", "grams")
+
+    roots = components(similar_links(prints, similarity, sets_of=sets_of))
     rows = prints.select("doc_id", "rid", "node").join(roots, "node", "left")
     return one_row_each(docs, rows.select("doc_id", "rid", F.coalesce("root", "node").alias("root")))
