@@ -202,7 +202,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     """
     prints = written(fingerprints(docs, shingle))
     named = _classes(prints, radius)
-    least = named.groupBy("root").agg(F.min("head").alias("component_id"))
+    # Both sides are written, so that the join starts from two plain shuffles, of which Spark can split a large component.
+    named = written(named)
+    least = written(named.groupBy("root").agg(F.min("head").alias("component_id")))
     classes = named.join(least, "root").select("fp", "component_id", "n_copies")
     out = prints.join(classes, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_copies")
