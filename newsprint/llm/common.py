@@ -140,20 +140,27 @@ def one_row_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The least row of docs by (doc_id, nulls last, hash of the text) for each root, with all columns.
 
     rows (doc_id, rid, root) holds a row for each row of docs, rid as the hash of the text (see docs_of). Rows alike in
-    doc_id and text are told apart by their other columns, and one stays.
+    doc_id and text are told apart by their other columns, and one stays. Rows that are alone under their root are told
+    by a bit table (see sieved) and stay where they are: of docs, the others and few besides are shuffled.
     """
-    counted = rows.groupBy("root", "doc_id", "rid").agg(F.count(F.lit(1)).alias("n"))
-    least = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "n")).alias("x"))
+    counted = written(rows.groupBy("root", "doc_id", "rid").agg(F.count(F.lit(1)).alias("n")))
+    least = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "n")).alias("x"), F.sum("n").alias("all"))
+    least = written(least.filter("all > 1").select("root", "x"))
     # One key for both, so that neither a text with many copies nor a null id gathers rows.
     key, n, whole = unlike(docs, "key"), unlike(docs, "n"), unlike(docs, "whole")
-    chosen = written(least.select(F.xxhash64("x.none", "x.doc_id", "x.rid").alias(key), F.col("x.n").alias(n)).distinct())
+    judged = counted.join(least, "root").select(F.xxhash64(F.col("doc_id").isNull(), "doc_id", "rid").alias(key), F.xxhash64("x.none", "x.doc_id", "x.rid").alias("head"), "n")
+    # A row's n if it stays, 0 if it goes.
+    judged = written(judged.groupBy(key).agg(F.max(F.when(F.col(key) == F.col("head"), F.col("n")).otherwise(0)).alias(n)))
     doc_id, text = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))
-    found = docs.withColumn(key, F.xxhash64(doc_id.isNull(), doc_id, text)).join(chosen, key)
-    if chosen.filter(F.col(n) > 1).isEmpty():
-        return found.select(*docs.columns)
+    marked, may = _marked(docs.withColumn(key, F.xxhash64(doc_id.isNull(), doc_id, text)), judged.select(key), key, 24)
+    alone = marked.filter(~may).select(*docs.columns)
+    found = marked.filter(may).select(*docs.columns, key).join(judged, key, "left")
+    kept = alone.unionByName(found.filter(F.coalesce(F.col(n), F.lit(1)) == 1).select(*docs.columns))
+    if judged.filter(F.col(n) > 1).isEmpty():
+        return kept
     row = F.struct(*docs.columns)
     again = found.filter(F.col(n) > 1).groupBy(key).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias(whole)).select(f"{whole}.*")
-    return found.filter(F.col(n) == 1).select(*docs.columns).unionByName(again)
+    return kept.unionByName(again)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
