@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,14 +31,52 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: the rows as Parquet in the shared folder, read again, so that a lost executor loses nothing."""
+#: Shuffle files of a query go when it ends, instead of when the driver's collector finds them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+def written(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Cuts the lineage: the rows as Parquet in the shared folder, read again, so that a lost executor loses nothing.
+
+    Inside `scratch` the table is deleted with the others there, unless `keep` hands it to the scope around that one.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    scopes = _scopes.get()[: -1 if keep else None]
+    if scopes:
+        scopes[-1].append(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables written inside at its end. What is returned from inside must read only docs and tables kept."""
+    mine: list[str] = []
+    token = _scopes.set((*_scopes.get(), mine))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for name in mine:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def give_back() -> None:
+    """Returns freed memory of this worker process to the system: Spark reuses the process, and its peak would stay."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 #: Bytes that belong to no word turn into a space; A-Z turn into a-z. Bytes from 0x80 on are parts of words.
 _WORD_BYTES = {
     digits: bytes(b if b >= 0x80 or digits and 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
@@ -83,7 +124,9 @@ def map_pieces(df: DataFrame, schema: str | StructType, rows: Callable[[pa.Recor
             for piece in slices(batch, most):
                 out = rows(piece)
                 arrays = [out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow]
+                del out
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+            give_back()
 
     return df.mapInArrow(run, target)
 
@@ -150,7 +193,7 @@ def one_row_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
     key, n, whole = unlike(docs, "key"), unlike(docs, "n"), unlike(docs, "whole")
     judged = counted.join(least, "root").select(F.xxhash64(F.col("doc_id").isNull(), "doc_id", "rid").alias(key), F.xxhash64("x.none", "x.doc_id", "x.rid").alias("head"), "n")
     # A row's n if it stays, 0 if it goes.
-    judged = written(judged.groupBy(key).agg(F.max(F.when(F.col(key) == F.col("head"), F.col("n")).otherwise(0)).alias(n)))
+    judged = written(judged.groupBy(key).agg(F.max(F.when(F.col(key) == F.col("head"), F.col("n")).otherwise(0)).alias(n)), keep=True)
     doc_id, text = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))
     marked, may = _marked(docs.withColumn(key, F.xxhash64(doc_id.isNull(), doc_id, text)), judged.select(key), key, 24)
     alone = marked.filter(~may).select(*docs.columns)

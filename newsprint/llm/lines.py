@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsprint.llm.common import components, row_key, sieved, unlike, written
+from newsprint.llm.common import components, row_key, scratch, sieved, unlike, written
 
 _KEY = ["rid", "did"]
 
@@ -151,13 +151,14 @@ def duplicate_lines(docs: DataFrame, least: int = 24) -> DataFrame:
     """
     lines = split_lines(docs)
     place = F.struct("did", "rid", "idx")
-    found = written(lines.groupBy("lid").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
-    links, degree = one_edit(lines, least)
-    classes = components(links).withColumnsRenamed({"node": "lid"})
-    known = found.join(classes, "lid", "left").join(degree, "lid", "left").filter("n > 1 or root is not null")
-    known = written(known.withColumn("root", F.coalesce("root", "lid")))
-    keeper = known.groupBy("root").agg(F.min("first").alias("keep"))
-    judged = written(known.join(keeper, "root").select("lid", "keep", F.coalesce("links", F.lit(0)).alias("links")))
+    with scratch(docs.sparkSession):
+        found = written(lines.groupBy("lid").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
+        links, degree = one_edit(lines, least)
+        classes = components(links).withColumnsRenamed({"node": "lid"})
+        known = found.join(classes, "lid", "left").join(degree, "lid", "left").filter("n > 1 or root is not null")
+        known = written(known.withColumn("root", F.coalesce("root", "lid")))
+        keeper = known.groupBy("root").agg(F.min("first").alias("keep"))
+        judged = written(known.join(keeper, "root").select("lid", "keep", F.coalesce("links", F.lit(0)).alias("links")), keep=True)
     rows = lines.select(*_KEY, "idx", "lid").join(judged, "lid").select(*_KEY, "idx", (place != F.col("keep")).alias("gone"), "links")
     mine = rows.groupBy(*_KEY).agg(F.collect_set(F.struct("idx", "gone", "links")).alias("x"))
     removed = F.array_sort(F.transform(F.filter("x", lambda e: e["gone"]), lambda e: e["idx"]))

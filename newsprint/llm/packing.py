@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from newsprint.llm.common import docs_of, map_arrow, written
+from newsprint.llm.common import docs_of, map_arrow, scratch, written
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -138,7 +138,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
                 start += length
         return out
 
-    return map_arrow(docs_of(docs), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, k int", rows)
+    return map_arrow(docs_of(docs), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, k int", rows, most=2 << 20)
 
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 4096, end_id: int = 2, workers: int | None = None) -> DataFrame:
@@ -158,15 +158,16 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 409
 
         tokenizer_path = public_tokenizers.path(TOKENIZER)
     workers = workers or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = written(pieces(docs, tokenizer_path, capacity, end_id))
-    part = F.pmod(F.xxhash64("doc_id", "start"), F.lit(workers)).cast("int")
-    dealt = found.withColumn("part", part)
-    counts = dealt.groupBy("k", "part").agg(F.count(F.lit(1)).alias("c"))
-    earlier = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.withColumns({"base": F.coalesce(F.sum("c").over(earlier), F.lit(0)), "n": F.sum("c").over(Window.partitionBy("k"))})
-    mine = Window.partitionBy("k", "part").orderBy("doc_id", "start", "ids_crc32")
-    ranked = dealt.withColumn("rank", F.row_number().over(mine) - 1).join(base.drop("c"), ["k", "part"])
-    ranked = written(ranked.withColumn("rank", F.col("rank") + F.col("base")).drop("base", "part"))
+    with scratch(docs.sparkSession):
+        found = written(pieces(docs, tokenizer_path, capacity, end_id))
+        part = F.pmod(F.xxhash64("doc_id", "start"), F.lit(workers)).cast("int")
+        dealt = found.withColumn("part", part)
+        counts = dealt.groupBy("k", "part").agg(F.count(F.lit(1)).alias("c"))
+        earlier = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        base = counts.withColumns({"base": F.coalesce(F.sum("c").over(earlier), F.lit(0)), "n": F.sum("c").over(Window.partitionBy("k"))})
+        mine = Window.partitionBy("k", "part").orderBy("doc_id", "start", "ids_crc32")
+        ranked = dealt.withColumn("rank", F.row_number().over(mine) - 1).join(base.drop("c"), ["k", "part"])
+        ranked = written(ranked.withColumn("rank", F.col("rank") + F.col("base")).drop("base", "part"), keep=True)
     whole = F.floor(F.col("n") / F.col("k"))
     classes = ranked.groupBy("k").agg(F.floor(F.max("n") / F.col("k")).alias("bins"))
     before = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)

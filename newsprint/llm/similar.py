@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsprint.llm.common import components, docs_of, map_arrow, one_row_each, sieved, written
+from newsprint.llm.common import components, docs_of, give_back, map_arrow, one_row_each, scratch, sieved, written
 from newsprint.llm.simhash import BKTree, shingle_hashes, simhash_of
 
 #: Least hashes of BANDS times ROWS orders route a document; a pair at similarity 0.8 shares a band with 0.9996.
@@ -109,6 +109,7 @@ def _compared(dealt: DataFrame, similarity: float, radius: int) -> DataFrame:
                     held, last = {}, cell
                 held[node] = (fp, grams)
         yield from emit(held)
+        give_back()
 
     return dealt.select("cell", "node", "fp", "grams").repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
@@ -209,13 +210,14 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     A null text is empty; texts without a word are one class; a text of fewer words is one shingle. Sets of shingles are
     not kept for all documents: those of documents that share a band with others are worked out a second time.
     """
-    prints = written(shingled(docs, shingle, grams=False))
+    with scratch(docs.sparkSession):
+        prints = written(shingled(docs, shingle, grams=False))
 
-    def sets_of(_: DataFrame, wanted: DataFrame) -> DataFrame:
-        texts = prints.join(wanted, "node").groupBy("node").agg(F.min("rid").alias("lid"))
-        some = sieved(docs_of(docs).withColumn("lid", F.xxhash64("text")), texts)
-        return shingled(some.select("doc_id", "text"), shingle).select("node", "fp", "grams")
+        def sets_of(_: DataFrame, wanted: DataFrame) -> DataFrame:
+            texts = prints.join(wanted, "node").groupBy("node").agg(F.min("rid").alias("lid"))
+            some = sieved(docs_of(docs).withColumn("lid", F.xxhash64("text")), texts)
+            return shingled(some.select("doc_id", "text"), shingle).select("node", "fp", "grams")
 
-    roots = components(similar_links(prints, similarity, sets_of=sets_of))
-    rows = prints.select("doc_id", "rid", "node").join(roots, "node", "left")
-    return one_row_each(docs, rows.select("doc_id", "rid", F.coalesce("root", "node").alias("root")))
+        roots = components(similar_links(prints, similarity, sets_of=sets_of))
+        rows = prints.select("doc_id", "rid", "node").join(roots, "node", "left")
+        return one_row_each(docs, rows.select("doc_id", "rid", F.coalesce("root", "node").alias("root")))
