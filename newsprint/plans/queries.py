@@ -929,19 +929,19 @@ def classifier_ready(spark, sf):
 
 @query(with_views("select item_id, section, round(score, 4) as score from score", "moves_doc", "items_doc", ctes=_SCORE))
 def nb_scores(spark, sf):
-    scores = classify.nb_scores(classify.token_frequencies(view(spark, sf, "items_doc")), *_model(spark, sf))
+    scores = classify.nb_scores(classify.occurrences(view(spark, sf, "items_doc")), *_model(spark, sf))
     return scores.select("item_id", "section", F.round("score", 4).alias("score"))
 
 
 @query(with_views("select item_id, section, round(margin, 4) as margin from best where r = 1", "moves_doc", "items_doc", ctes=_SCORE))
 def predict_margin(spark, sf):
-    scores = classify.nb_scores(classify.token_frequencies(view(spark, sf, "items_doc")), *_model(spark, sf))
+    scores = classify.nb_scores(classify.occurrences(view(spark, sf, "items_doc")), *_model(spark, sf))
     return classify.predict_margin(scores).select("item_id", "section", F.round("margin", 4).alias("margin"))
 
 
 @query(with_views("select item_id, section from best where r = 1 and margin >= 1", "moves_doc", "items_doc", ctes=_SCORE))
 def nb_predict(spark, sf):
-    return classify.nb_predict(classify.token_frequencies(view(spark, sf, "items_doc")), *_model(spark, sf)).select("item_id", "section")
+    return classify.nb_predict(classify.occurrences(view(spark, sf, "items_doc")), *_model(spark, sf)).select("item_id", "section")
 
 
 @query(with_views("select token, section, n from counts union all select '#', section, docs from stats union all select '##', section, total::bigint from stats", "moves_doc", ctes=_MODEL))

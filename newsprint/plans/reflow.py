@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame
 from newsprint.operators import classify, filters
 from newsprint.operators.dedupe import KEYS
 from newsprint.plans.publish import place
+from newsprint.session import cut
 
 
 def train(moves: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(token counts, section statistics, pins) from a log of moves."""
-    last = classify.latest_corrections(moves)
-    return classify.train_token_counts(last), classify.train_section_stats(last), classify.pin_section(moves)
+    """(token counts, section statistics, pins) from a log of moves; the last moves are written, so that texts are shuffled once."""
+    last = cut(classify.latest_corrections(moves))
+    return classify.train_token_counts(last), classify.train_section_stats(last), last.select("item_id", "section")
 
 
 def reflow(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from newsprint.operators.classify import nb_best, nb_model, token_frequencies
+from newsprint.operators.classify import nb_best, nb_model, occurrences
 from newsprint.operators.filters import read_state
 from newsprint.operators.registry import fetch_state
 from newsprint.plans.accumulate import add_items
@@ -54,10 +54,10 @@ def stream_classify(items: DataFrame, counts: DataFrame, stats: DataFrame, out:
     writes nothing but its predictions. Every batch is a partition of its own, written as a whole: one that runs again
     after a failure replaces its rows.
     """
-    weights, order = nb_model(counts, stats)
+    model = nb_model(counts, stats)
 
     def batch(df: DataFrame, number: int) -> None:
-        nb_best(token_frequencies(df), weights, order).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        nb_best(occurrences(df), *model).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
