@@ -29,3 +29,11 @@ def test_margins_with_tokens_in_two_parts(spark, most):
     once = freq.groupBy("item_id", "token").agg(F.sum("n").alias("n"))
     want = rounded(classify.predict_margin(classify.nb_scores(once, counts, stats)), "margin")
     assert len(want) == 90 and rounded(classify.predict_margin(classify.nb_scores(freq, counts, stats, most)), "margin") == want
+
+
+@pytest.mark.parametrize("most", [0, 300_000])
+def test_predictions_with_tokens_in_two_parts(spark, most):
+    freq, counts, stats = model(spark)
+    once = freq.groupBy("item_id", "token").agg(F.sum("n").alias("n"))
+    want = rounded(classify.nb_predict(once, counts, stats), "margin")
+    assert want and rounded(classify.nb_predict(freq, counts, stats, most=most), "margin") == want
