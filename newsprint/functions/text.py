@@ -73,20 +73,17 @@ def paragraph_score(text: Column) -> Column:
     return F.when(F.length(text) >= 25, 1 + parts + F.least(F.floor(F.length(text) / 100), F.lit(3))).cast("int")
 
 
-def _tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^A-Za-z0-9_]+"), lambda t: t != "")
+def _words(text: Column) -> Column:
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), "[^A-Za-z0-9_]+")
 
 
 def text_similarity(a: Column, b: Column) -> Column:
     """1 less the share of b's text that stands in tokens a lacks; 0 if either has none, or is null.
 
-    Tokens of both are sorted together, those of a first, so that one pass over them tells what a lacks.
+    Of a, only the tokens that b has too are kept, by one look at a hash set for each; these and b's are sorted together,
+    a's first, so that one pass over them tells what a lacks. So a costs no more than being split, however long it is.
     """
-    left, right = (_tokens(F.coalesce(x, F.lit(""))) for x in (a, b))
-    tagged = (
-        F.transform(F.array_distinct(left), lambda t: F.struct(t.alias("t"), F.lit(0).alias("k"))),
-        F.transform(right, lambda t: F.struct(t.alias("t"), F.lit(1).alias("k"))),
-    )
+    right = F.filter(_words(b), lambda t: t != "")
     none = F.struct(F.lit("").alias("known"), F.lit(0).alias("n"), F.lit(0).alias("size"))
 
     def step(state: Column, x: Column) -> Column:
@@ -94,9 +91,18 @@ def text_similarity(a: Column, b: Column) -> Column:
         known = F.when(x["k"] == 0, x["t"]).otherwise(state["known"])
         return F.struct(known.alias("known"), (state["n"] + lacks.cast("int")).alias("n"), (state["size"] + F.when(lacks, F.length(x["t"])).otherwise(0)).alias("size"))
 
-    joined = F.aggregate(F.array_sort(F.concat(*tagged)), none, step, lambda s: s["size"] + F.greatest(s["n"] - 1, F.lit(0)))
-    share = joined / F.length(F.array_join(right, " "))
-    return F.when((F.size(left) == 0) | (F.size(right) == 0), F.lit(0.0)).otherwise(1 - share)
+    def tag(tokens: Column, k: int) -> Column:
+        return F.transform(tokens, lambda t: F.struct(t.alias("t"), F.lit(k).alias("k")))
+
+    def of(x: Column) -> Column:
+        tagged = tag(x["both"], 0), tag(x["right"], 1)
+        joined = F.aggregate(F.sort_array(F.concat(*tagged)), none, step, lambda s: s["size"] + F.greatest(s["n"] - 1, F.lit(0)))
+        # Without a token in common the result is 0, whether a has tokens or not.
+        return F.when(F.size(x["both"]) == 0, F.lit(0.0)).otherwise(1 - joined / F.length(F.array_join(x["right"], " ")))
+
+    # The pair stands in an array of one, so that a is split once.
+    pair = F.struct(F.array_intersect(_words(a), right).alias("both"), right.alias("right"))
+    return F.get(F.transform(F.array(pair), of), F.lit(0))
 
 
 def link_density(html: Column) -> Column:
