@@ -75,11 +75,10 @@ def dedupe_items(items: DataFrame, keys: tuple[str, ...] = KEYS, tie: tuple[str,
     keys, whole = list(named), items.columns
     if clash := {c.lower() for c in whole} & {*keys, "o", "lk", "ik"}:
         raise ValueError(f"dedupe_items uses these column names itself: {sorted(clash)}")
-    items = items.withColumns(named)
     if "gen" not in items.columns:
         items = items.withColumn("gen", F.lit(0))
     key = F.coalesce(F.lower("link"), F.lit("")).alias("lk"), F.coalesce("item_id", F.lit("")).alias("ik")
-    left, kept = items.select(*keys, *key, order_struct(*tie).alias("o")), None
+    left, kept = items.select(*[c.alias(k) for k, c in named.items()], *key, order_struct(*tie).alias("o")), None
     for done in range(1, most_rounds + 1):
         by_link = left.groupBy(*keys, "lk").agg(F.min("o").alias("o"))
         by_id = left.groupBy(*keys, "ik").agg(F.min("o").alias("o"))
@@ -97,5 +96,7 @@ def dedupe_items(items: DataFrame, keys: tuple[str, ...] = KEYS, tie: tuple[str,
     else:
         raise RuntimeError(f"dedupe did not settle in {most_rounds} rounds")
     chosen = kept.select(*keys, "o")
-    out = items.withColumn("o", order_struct(*tie)).join(chosen, [*keys, "o"], "left_semi")
+    # The order and the keys are expressions here, not columns, so that what is shuffled of all items has each value once.
+    same = [c == chosen[k] for k, c in named.items()]
+    out = items.join(chosen, [*same, order_struct(*tie) == chosen["o"]], "left_semi").withColumns(named | {"o": order_struct(*tie)})
     return out.dropDuplicates([*keys, "o"]).select(*whole, *([] if "gen" in whole else ["gen"]))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsprint.functions import text
-from newsprint.operators import classify
+from newsprint.operators import classify, dedupe
 
 NAMES = ("a", "b", "c", "d")
 
@@ -48,3 +48,12 @@ def test_predictions_with_tokens_in_two_parts(spark, most):
     once = freq.groupBy("item_id", "token").agg(F.sum("n").alias("n"))
     want = rounded(classify.nb_predict(once, counts, stats), "margin")
     assert want and rounded(classify.nb_predict(freq, counts, stats, most=most), "margin") == want
+
+
+def test_dedupe_shuffles_each_value_once(spark):
+    rows = [(1, None, "i", "L", None), (2, None, "i", "m", None), (3, "d", "i", "l", None), (4, "d", "j", "L", None), (4, "d", "j", "L", None)]
+    items = spark.createDataFrame([(*r, "f") for r in rows], "row_id long, edition_date string, item_id string, link string, published_at timestamp, feed_id string")
+    out = dedupe.dedupe_items(items, tie=("row_id",))
+    assert sorted(r.row_id for r in out.collect()) == [1, 3]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex(" AS o#") < plan.index("Join LeftSemi")
