@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from newsprint.operators.sieve import may_match, sieve
 
 #: name -> (source, columns as (name, expression), filter). The expressions mean the same in both dialects.
 VIEWS: dict[str, tuple[str, dict[str, str], str]] = {
@@ -110,8 +113,22 @@ def projection(name: str) -> str:
     return f"select {', '.join(f'{e} as {c}' for c, e in columns.items())} from {source} where {where}"
 
 
+def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of moves_doc from one join by item, which the last move of each item needs anyway: texts are shuffled once,
+    and of texts without a label only the few that the sieve lets through."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet").withColumn("item_id", F.col("doc_id").cast("string")) for t in ("documents", "labels"))
+    ids = labels.select("item_id").filter("item_id is not null")
+    found = may_match(docs, F.col("item_id"), sieve(ids, "item_id")).filter("may").join(ids, "item_id")
+    by_lang = F.struct((F.col("doc_id") + 1_000_000_000).alias("seq"), F.col("lang").alias("section"))
+    by_id = F.struct(F.col("doc_id").alias("seq"), F.lit("zz").alias("section"))
+    moves = F.when(F.col("doc_id") % 5 == 0, F.array(by_lang, by_id)).otherwise(F.array(by_lang))
+    return found.select("item_id", F.coalesce("text", F.lit("")).alias("text"), F.inline(moves)).select("item_id", "seq", "section", "text")
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view as a DataFrame over the given tables."""
+    if name == "moves_doc":
+        return _moves(spark, sf_dir)
     if name in VIEWS:
         source, columns, where = VIEWS[name]
         df = spark.read.parquet(f"{sf_dir}/{source}.parquet").where(where)
