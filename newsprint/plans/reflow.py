@@ -11,8 +11,9 @@ from newsprint.session import cut
 
 
 def train(moves: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(token counts, section statistics, pins) from a log of moves; the last moves are written, so that texts are shuffled once."""
-    last = cut(classify.latest_corrections(moves))
+    """(token counts, section statistics, pins) from a log of moves; the last moves are written as tokens, so that texts are
+    shuffled and tokenised once."""
+    last = cut(classify.with_tokens(classify.latest_corrections(moves)))
     return classify.train_token_counts(last), classify.train_section_stats(last), last.select("item_id", "section")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsprint.operators import classify
 from newsprint.operators.sieve import may_match, sieve
+from newsprint.plans import reflow
 from newsprint.plans.fixtures import TABLES, view
 
 
@@ -67,3 +68,14 @@ def test_unknown_tokens_are_summed_where_they_stand(spark):
     assert "sections" in plan(gains) and tokens[2].count() == 1
     met = may_match(freq, F.col("token"), tokens[2]).filter("may")
     assert met.count() <= 4
+
+
+def test_training_looks_at_a_text_once(spark):
+    moves = [("a", 1, "x", "alpha beta"), ("a", 2, "y", "alpha beta alpha"), ("b", 1, "x", "the"), ("c", 3, "z", None), ("d", 4, None, "éclair x")]
+    df = spark.createDataFrame(moves, "item_id string, seq long, section string, text string")
+    counts, stats, pins = reflow.train(df)
+    assert "regexp" not in plan(counts) + plan(stats)
+    last = classify.latest_corrections(df)
+    assert sorted(map(str, counts.collect())) == sorted(map(str, classify.train_token_counts(last).collect()))
+    assert sorted(map(str, stats.collect())) == sorted(map(str, classify.train_section_stats(last).collect()))
+    assert sorted(r.item_id for r in pins.collect()) == ["a", "b", "c", "d"]
